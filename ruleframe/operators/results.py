@@ -18,10 +18,10 @@ def flatten_audit(result: Column, set_id: int, rule_ids: Sequence[int], compat:
                   prefix: str = "r") -> list[Column]:
     """Audit struct -> overall, set result and one column per rule key."""
     top, set_f = ("overallResult", "setResult") if compat else ("any_failed", "any_failed")
-    s = result.getField("ruleSets").getItem(F.lit(set_id).cast("bigint"))
+    s = result.getField("ruleSets")[F.lit(set_id).cast("bigint")]
     rules = s.getField("rules")
     return ([result.getField(top).alias("overall"), s.getField(set_f).alias("set_result")]
-            + [rules.getItem(F.lit(k).cast("bigint")).alias(f"{prefix}{k}") for k in rule_ids])
+            + [rules[F.lit(k).cast("bigint")].alias(f"{prefix}{k}") for k in rule_ids])
 
 
 def comparable(col: Column, dtype: T.DataType) -> Column:

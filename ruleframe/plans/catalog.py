@@ -130,11 +130,11 @@ def rule_suite_q(spark, sf_dir):
     q = F.col("quality")
     sets = q.getField("ruleSets")
     cols = [q.getField("any_failed").alias("overall"),
-            sets.getItem(F.lit(1).cast("bigint")).getField("any_failed").alias("set1"),
-            sets.getItem(F.lit(2).cast("bigint")).getField("any_failed").alias("set2")]
+            sets[F.lit(1).cast("bigint")].getField("any_failed").alias("set1"),
+            sets[F.lit(2).cast("bigint")].getField("any_failed").alias("set2")]
     for sid, rs in ((1, rules[:8]), (2, rules[8:])):
-        m = sets.getItem(F.lit(sid).cast("bigint")).getField("rules")
-        cols += [m.getItem(F.lit(r.id.id).cast("bigint")).alias(f"r{r.id.id}") for r in rs]
+        m = sets[F.lit(sid).cast("bigint")].getField("rules")
+        cols += [m[F.lit(r.id.id).cast("bigint")].alias(f"r{r.id.id}") for r in rs]
     return out.select("key", *cols)
 
 

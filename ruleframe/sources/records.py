@@ -40,8 +40,16 @@ def record_struct(location: Column, id_prefix: Column, id_: Column, page: Column
                     page.alias("page"), department.alias("department"))
 
 
-def generate_records(keys: DataFrame, key_col: str = "id", id_type: str = "int") -> DataFrame:
-    """130 records per row of ``keys``; ``id`` is the key value."""
+def generate_records(keys: DataFrame, key_col: str = "id", id_type: str = "int",
+                     num_partitions: int | None = None) -> DataFrame:
+    """130 records per row of ``keys``; ``id`` is the key value.
+
+    The output is 130x the input, so a few input partitions would make a
+    few huge output tasks.  ``num_partitions`` hash-distributes the key
+    column first (a shuffle of the small side, deterministic on retry).
+    """
+    if num_partitions:
+        keys = keys.select(key_col).repartition(num_partitions, key_col)
     seeds = F.array(*[
         F.struct(F.lit(loc).alias("location"), F.lit(page).cast("bigint").alias("page"),
                  F.lit(dept).alias("department"))
@@ -65,7 +73,7 @@ def generate(spark: SparkSession, rows: int, num_partitions: int | None = None)
     """About ``rows`` records (see :func:`generated_row_count`)."""
     n = rows // len(SEED_ROWS) // len(PREFIXES)
     ids = spark.range(0, n, 1, num_partitions) if num_partitions else spark.range(n)
-    return generate_records(ids, "id")
+    return generate_records(ids, "id")  # range is already split evenly
 
 
 def sweep_sizes(step: int = 100_000, max_rows: int = 1_000_000) -> list[int]:
