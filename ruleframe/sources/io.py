@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     Set only when the session has none (local tests): then a fresh local
     folder is used.  On a cluster this must be a shared file system path.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="ruleframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -50,3 +50,16 @@ def test_missing_id_fires(spark):
     assert v[0][4] is True
     assert v[1][14] is True
     assert v[2][9] is False
+
+
+def test_pandas_rule_hook(spark):
+    import pandas as pd
+
+    from ruleframe.functions.python import pandas_rule
+    from ruleframe.model import Id, Rule, RuleSet, RuleSuite
+
+    pandas_rule(lambda s: s.str.len() == 2, name="two_letters", spark=spark)
+    suite = RuleSuite(Id(9, 1), (RuleSet(Id(1, 1), (Rule(Id(1, 1), "two_letters({location})"),)),))
+    df = spark.createDataFrame([("US",), ("USA",)], "location string")
+    got = [r["quality"][0] for r in with_vector(spark, df, suite).collect()]
+    assert got == [True, False]
