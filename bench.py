@@ -3,8 +3,10 @@
 Records are generated from the customer keys of ``$BENCH_SF_DIR`` (130 per
 key, the benchmark's record layout), written to Parquet once, then every
 case reads the Parquet, appends its result column and writes to the no-op
-sink (full evaluation, output discarded).  One warm-up and
-``$BENCH_RUNS`` measured runs per case; the median is reported.
+sink (full evaluation, output discarded).  ``$BENCH_WARMUPS`` (2) warm-ups
+and ``$BENCH_RUNS`` (4) measured runs per case; the median is reported.
+The same cases also run on generated 100k and 1M rows
+(``$BENCH_GEN_SIZES``), reported with an ``@100k`` / ``@1m`` suffix.
 
 Prints one JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
 """
@@ -27,26 +29,12 @@ from ruleframe.operators.runner import audit_compat, run_rules, template_vector,
 from ruleframe.session import local_session  # noqa: E402
 from ruleframe.sources.bindings import bind_fields, bind_json, bind_struct  # noqa: E402
 from ruleframe.sources.io import read_parquet, scratch_path, write_noop, write_parquet  # noqa: E402
-from ruleframe.sources.records import generate_records  # noqa: E402
+from ruleframe.sources.records import generate, generate_records  # noqa: E402
 from ruleframe.sources.tables import customer_records, read_table  # noqa: E402
 from ruleframe.suites import DECISION_SUITE_RULES, baseline_rules, decision_suite, sql_suite  # noqa: E402
 
 
-def main() -> None:
-    sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
-    spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="ruleframe-bench")
-
-    t0 = time.time()
-    parts = int(os.environ.get("BENCH_PARTITIONS", str(4 * (int(cpus) if cpus.isdigit() else 8))))
-    path = write_parquet(generate_records(read_table(spark, sf_dir, "customer"), "c_custkey",
-                                          num_partitions=parts),
-                         scratch_path(spark, "bench-records"))
-    setup_sec = time.time() - t0
-    data = read_parquet(spark, path)
-    rows = data.count()
-
+def _cases(spark, data, sf_dir):
     suite, dsuite = sql_suite(), decision_suite()
     model = DecisionModel(dsuite)
     base = baseline_rules()
@@ -70,35 +58,75 @@ def main() -> None:
         "decision_json_json": noop(lambda: model.evaluate(spark, data, bind_json("payload"), service=None,
                                                           as_json=True)),
         # rules as rows: broadcast equi-join of records with the (rule, member, department) table
-        "decision_rules_join": noop(lambda: rule_hits(spark, data.withColumn("key", F.xxhash64("id", "idPrefix", "location")),
-                                                      DECISION_SUITE_RULES, "key")),
+        "decision_rules_join": noop(lambda: rule_hits(
+            spark, data.withColumn("key", F.xxhash64("id", "idPrefix", "location")), DECISION_SUITE_RULES, "key")),
+    }
+    if sf_dir:
         # driver tables: customer x nation binding, per-rule counts (partial aggregation)
-        "customer_rule_counts": lambda: rule_counts(
+        cases["customer_rule_counts"] = lambda: rule_counts(
             with_vector(spark, customer_records(spark, sf_dir), suite), "quality",
-            [r.id.id for _, r in suite.rules()]).collect(),
-    }
+            [r.id.id for _, r in suite.rules()]).collect()
+    return cases
+
+
+def _measure(fn, warmups, runs):
+    for _ in range(warmups):
+        fn()
+    times = []
+    for _ in range(runs):
+        s = time.time()
+        fn()
+        times.append(time.time() - s)
+    return round(statistics.median(times), 4)
+
+
+def main() -> None:
+    sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    ncpu = int(cpus) if cpus.isdigit() else os.cpu_count()
+    warmups = int(os.environ.get("BENCH_WARMUPS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "4"))
+    sizes = [int(x) for x in os.environ.get("BENCH_GEN_SIZES", "100000,1000000").split(",") if x]
+    spark = local_session(cpus, shuffle_partitions=ncpu, app="ruleframe-bench")
+    parts = int(os.environ.get("BENCH_PARTITIONS", str(4 * ncpu)))
+
+    # Datasets, written to Parquet once: records from the sf's customer keys
+    # (headline), and the benchmark's generated sizes.
+    t0 = time.time()
+    datasets = {"": write_parquet(
+        generate_records(read_table(spark, sf_dir, "customer"), "c_custkey", num_partitions=parts),
+        scratch_path(spark, "bench-records"))}
+    for n in sizes:
+        label = f"@{n // 1000}k" if n < 1_000_000 else f"@{n // 1_000_000}m"
+        datasets[label] = write_parquet(generate(spark, n, num_partitions=parts), scratch_path(spark, f"bench-gen-{n}"))
+    setup_sec = time.time() - t0
+
+    medians, rows, totals = {}, {}, {}
+    for label, path in datasets.items():
+        data = read_parquet(spark, path)
+        rows[label or "sf"] = data.count()
+        for name, fn in _cases(spark, data, sf_dir if label == "" else None).items():
+            medians[name + label] = _measure(fn, warmups, runs)
+        totals[label or "sf"] = round(sum(v for k, v in medians.items() if k.endswith(label) and
+                                          (label or "@" not in k)), 4)
+
+    def rps(k, v):
+        label = k[k.index("@"):] if "@" in k else "sf"
+        return round(rows[label] / v) if v > 0 else None
 
-    medians = {}
-    for name, fn in cases.items():
-        fn()  # warm-up
-        times = []
-        for _ in range(runs):
-            s = time.time()
-            fn()
-            times.append(time.time() - s)
-        medians[name] = round(statistics.median(times), 4)
-
-    total = round(sum(medians.values()), 4)
     print(json.dumps({
         "metric": "sum_of_median_case_sec",
-        "value": total,
+        "value": totals["sf"],
         "unit": "sec",
         "queries": medians,
         "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
         "rows": rows,
-        "rows_per_sec": {k: round(rows / v) for k, v in medians.items() if v > 0 and k != "customer_rule_counts"},
+        "totals": totals,
+        "rows_per_sec": {k: rps(k, v) for k, v in medians.items() if not k.startswith("customer_")},
         "setup_sec": round(setup_sec, 3),
-        "cpus": cpus,
+        "cpus": ncpu,
+        "driver_memory": spark.conf.get("spark.driver.memory", "default"),
+        "warmups": warmups,
         "runs": runs,
     }))
     spark.stop()

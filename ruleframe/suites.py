@@ -118,7 +118,9 @@ def missing_function(prefix: str = "") -> FunctionDef:
         prefix + MISSING_FN,
         (("v", "STRING"),),
         "BOOLEAN",
-        f"if(v IS NULL, true, regexp_like(v, {blank_pattern_sql()}))",
+        # NULL -> TRUE, else the blank match; ``v`` is read once so the
+        # analyzer's parameter projection collapses into the caller.
+        f"coalesce(regexp_like(v, {blank_pattern_sql()}), true)",
         Id(6, 1),
     )
 
