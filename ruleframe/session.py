@@ -11,6 +11,9 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ruleframe") -> SparkSession:
+    """A local session; input is split into at least two tasks per core so one
+    slow task does not hold a stage (cluster sessions keep their own sizing)."""
+    ncores = int(cores) if str(cores).isdigit() else (os.cpu_count() or 8)
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -20,6 +23,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.minPartitionNum", str(2 * ncores))
         .config("spark.driver.memory", os.environ.get("RULEFRAME_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
