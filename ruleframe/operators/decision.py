@@ -161,32 +161,41 @@ class DecisionModel:
         return b.cleanup(staged.withColumn(out, res).drop("__ctx"))
 
 
-def rule_table_frames(spark: SparkSession, rule_table) -> tuple[DataFrame, int, DataFrame, int]:
-    """Rules in long form: (rule_id, member, department) for membership rules
-    and (rule_id, department) for missing-id rules, with exact row counts."""
-    group_rows = [(rid, m, dept) for rid, test, dept in rule_table if test != MISSING for m in GROUPS[test]]
-    missing_rows = [(rid, dept) for rid, test, dept in rule_table if test == MISSING]
-    g = spark.createDataFrame(group_rows, "rule_id int, member string, rule_department string")
-    m = spark.createDataFrame(missing_rows, "rule_id int, rule_department string")
-    return g, len(group_rows), m, len(missing_rows)
+def rule_table_frame(spark: SparkSession, rule_table) -> tuple[DataFrame, int]:
+    """Rules in long form with an exact row count.
+
+    One row per (membership rule, member location): (false, member,
+    department, rule_id); one per missing-id rule: (true, '', department,
+    rule_id).  The flag keeps the two kinds of key apart.
+    """
+    rows = [(False, m, dept, rid) for rid, test, dept in rule_table if test != MISSING for m in GROUPS[test]]
+    rows += [(True, "", dept, rid) for rid, test, dept in rule_table if test == MISSING]
+    df = spark.createDataFrame(rows, "rule_missing boolean, rule_location string, rule_department string, rule_id int")
+    return df, len(rows)
 
 
 def rule_hits(spark: SparkSession, records: DataFrame, rule_table, key: str,
               binding: Binding | None = None) -> DataFrame:
-    """(key, rule_id) for every rule that is TRUE on a record, by joins.
-
-    The long-form alternative to a rule vector for very wide suites: the
-    group table and rule table are joined into (rule, member, department)
-    rows once, then records are equi-joined on (location, department).  A
-    record row meets at most one row per rule, so output <= rules x records.
+    """(key, rule_id) for every rule that is TRUE on a record, by one equi-join.
+
+    The long-form alternative to a rule vector for very wide suites.  Each
+    record emits at most two probe keys - (false, location, department) and,
+    when its id is missing, (true, '', department) - and a single
+    size-checked join against the long-form rule table finds the rules they
+    satisfy.  One scan of the records; output <= rules x records.  NULL
+    location or department matches nothing, as a NULL rule result is not TRUE.
     """
     b = binding or bind_fields()
     prepared = b.prepare(records)
-    rec = prepared.select(F.col(key).alias(key), b.record().alias("r")).select(key, "r.*")
-    g, ng, m, nm = rule_table_frames(spark, rule_table)
-    by_group = join_small(rec, g, [("location", "member"), ("department", "rule_department")], ng,
-                          salt_key=key).select(key, "rule_id")
-    missing = rec.where(is_missing(F.col("id")))
-    by_missing = join_small(missing, m, [("department", "rule_department")], nm,
-                            salt_key=key).select(key, "rule_id")
-    return by_group.unionByName(by_missing)
+    rec = prepared.select(F.col(key).alias(key), b.record().alias("r"))
+    dept = F.col("r.department")
+    probes = F.array(
+        F.struct(F.lit(False).alias("m"), F.col("r.location").alias("l"), dept.alias("d")),
+        F.when(is_missing(F.col("r.id")), F.struct(F.lit(True).alias("m"), F.lit("").alias("l"), dept.alias("d"))),
+    )
+    probe = (rec.select(key, F.explode(probes).alias("p"))
+             .where(F.col("p").isNotNull()).select(key, "p.m", "p.l", "p.d"))
+    rules, n = rule_table_frame(spark, rule_table)
+    joined = join_small(probe, rules, [("m", "rule_missing"), ("l", "rule_location"), ("d", "rule_department")], n,
+                        salt_key=key)
+    return joined.select(key, "rule_id")
