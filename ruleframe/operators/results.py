@@ -66,12 +66,22 @@ def distinct_results(df: DataFrame, col: str, out: str = "result") -> DataFrame:
     return df.groupBy(comparable(F.col(col), dtype).alias(out)).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Up to this many rules, counts are one row of 3 x N aggregates; above it,
+# the vector is exploded into (rule id, result) pairs and grouped (aggregate count and
+# generated code would otherwise grow with N).
+WIDE_RULES = 64
+
+
 def rule_counts(df: DataFrame, vector: str, rule_ids: Sequence[int]) -> DataFrame:
     """Per rule: rows TRUE, FALSE and NULL, as (rule_id, n_true, n_false, n_null).
 
-    One global aggregation of 3 x N conditional counts (partial per task,
-    one tiny shuffle), then unpivoted; rows are not multiplied by N.
+    Narrow suites: one global aggregation of 3 x N conditional counts
+    (partial per task, one tiny shuffle), then unpivoted; rows are not
+    multiplied by N.  Wide suites: (rule id, result) pairs exploded into a
+    partial aggregation by rule id, so each task still emits at most N rows.
     """
+    if len(rule_ids) > WIDE_RULES:
+        return _rule_counts_wide(df, vector, rule_ids)
     aggs = []
     for i, _ in enumerate(rule_ids):
         e = F.get(F.col(vector), F.lit(i))
@@ -82,6 +92,19 @@ def rule_counts(df: DataFrame, vector: str, rule_ids: Sequence[int]) -> DataFram
     return wide.selectExpr(f"stack({len(rule_ids)}, {stack}) AS (rule_id, n_true, n_false, n_null)")
 
 
+def _rule_counts_wide(df: DataFrame, vector: str, rule_ids: Sequence[int]) -> DataFrame:
+    # Explode (rule id, result) pairs built by arrays_zip: exploding the
+    # freshly computed vector directly makes the fused loop re-evaluate the
+    # whole array for every element (quadratic in the number of rules).
+    ids = F.array(*[F.lit(r) for r in rule_ids])
+    z = F.arrays_zip(ids.alias("rule_id"), F.col(vector).alias("v"))
+    v = F.col("e.v")
+    return (df.select(F.explode(z).alias("e"))
+            .groupBy(F.col("e.rule_id").alias("rule_id"))
+            .agg(F.count(F.when(v, 1)).alias("n_true"), F.count(F.when(~v, 1)).alias("n_false"),
+                 F.count(F.when(v.isNull(), 1)).alias("n_null")))
+
+
 def explode_results(df: DataFrame, key: str, vector: str, rule_ids: Sequence[int]) -> DataFrame:
     """(key, rule_id, result) rows: one per record and rule."""
     ids = F.array(*[F.lit(r) for r in rule_ids])

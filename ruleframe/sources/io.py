@@ -17,11 +17,19 @@ def shared_dir(spark: SparkSession) -> str:
     Set only when the session has none (local tests): then a fresh local
     folder is used.  On a cluster this must be a shared file system path.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        try:
+            d = spark.sparkContext.getCheckpointDir()
+        except Exception:  # sessions without a SparkContext (Spark Connect)
+            d = None
     if not d:
         d = tempfile.mkdtemp(prefix="ruleframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.sparkContext.setCheckpointDir(d)
+        except Exception:
+            pass
     return d
 
 

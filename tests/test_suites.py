@@ -83,3 +83,17 @@ def test_corrected_audit_keys_are_rule_ids(spark):
     out = run_rules(spark, recs, sql_suite()).select("key", "quality").first()
     rules = out["quality"]["ruleSets"][1]["rules"]
     assert sorted(rules) == RULES
+
+
+def test_wide_suite_runs(spark):
+    """600 rules (the suite repeated 40 times under distinct ids) still compile and agree."""
+    from ruleframe.model import Id, Rule, RuleSet, RuleSuite
+
+    base = sql_suite()
+    rules = tuple(Rule(Id(c * 100 + r.id.id, 1), r.expr) for c in range(40) for _, r in base.rules())
+    wide = RuleSuite(Id(7, 1), (RuleSet(Id(1, 1), rules),), base.functions)
+    recs = customer_records(spark, SF001)
+    got = rule_counts(with_vector(spark, recs, wide), "quality", [r.id.id for r in rules]).collect()
+    by_id = {r.rule_id: r.n_true for r in got}
+    for c in range(40):
+        assert [by_id[c * 100 + i] for i in RULES] == GOLDEN["cust_sf0.001"]
