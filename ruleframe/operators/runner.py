@@ -44,18 +44,19 @@ def audit(vector: Column, suite: RuleSuite) -> Column:
 
     struct<any_failed, ruleSets: map<set id, struct<any_failed, rules: map<rule id, boolean>>>>.
     ``any_failed`` is TRUE when some rule is FALSE (NULL when none is FALSE
-    but some is NULL).  ``vector`` must follow suite order.
+    but some is NULL).  ``vector`` must follow suite order.  Each rules map
+    is ``map_from_arrays(literal ids, vector slice)``: one expression
+    whatever the number of rules, so wide suites stay small to analyse and
+    compile.
     """
     sets = []
     pos = 0
     for s in suite.sets:
         n = len(s.rules)
         part = F.slice(vector, pos + 1, n) if len(suite.sets) > 1 else vector
-        entries = []
-        for i, r in enumerate(s.rules):
-            entries += [F.lit(r.id.id).cast("bigint"), F.get(vector, F.lit(pos + i))]
+        ids = F.array(*[F.lit(r.id.id).cast("bigint") for r in s.rules])
         sets += [F.lit(s.id.id).cast("bigint"),
-                 F.struct(_contains_false(part).alias("any_failed"), F.create_map(*entries).alias("rules"))]
+                 F.struct(_contains_false(part).alias("any_failed"), F.map_from_arrays(ids, part).alias("rules"))]
         pos += n
     return F.struct(_contains_false(vector).alias("any_failed"), F.create_map(*sets).alias("ruleSets"))
 
@@ -68,14 +69,13 @@ def audit_compat(vector: Column, n_rules: int, set_id: int = 1) -> Column:
     rule is not shown and the last key is NULL) and the set/overall results
     are "vector contains FALSE".
     """
-    entries = []
-    for i in range(n_rules):
-        entries += [F.lit(i).cast("bigint"), F.get(vector, F.lit(i + 1))]
+    keys = F.array(*[F.lit(i).cast("bigint") for i in range(n_rules)])
+    shifted = F.concat(F.slice(vector, 2, n_rules - 1), F.array(F.lit(None).cast("boolean")))
     return F.struct(
         _contains_false(vector).alias("overallResult"),
         F.create_map(
             F.lit(set_id).cast("bigint"),
-            F.struct(_contains_false(vector).alias("setResult"), F.create_map(*entries).alias("rules")),
+            F.struct(_contains_false(vector).alias("setResult"), F.map_from_arrays(keys, shifted).alias("rules")),
         ).alias("ruleSets"),
     )
 
