@@ -78,3 +78,18 @@ def generate(spark: SparkSession, rows: int, num_partitions: int | None = None)
 
 def sweep_sizes(step: int = 100_000, max_rows: int = 1_000_000) -> list[int]:
     return list(range(step, max_rows + 1, step))
+
+
+def write_sweep(spark: SparkSession, base_dir: str, sizes: list[int] | None = None,
+                num_partitions: int | None = None) -> dict[int, str]:
+    """Write one Parquet dataset of generated records per requested size.
+
+    ``base_dir`` should be shared storage (e.g. below ``spark.checkpoint.dir``).
+    Returns size -> path.  Each size is an independent narrow job.
+    """
+    paths = {}
+    for n in sizes or sweep_sizes():
+        path = f"{base_dir.rstrip('/')}/records_{n}_rows"
+        generate(spark, n, num_partitions).write.mode("overwrite").parquet(path)
+        paths[n] = path
+    return paths

@@ -3,7 +3,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from ruleframe.operators.runner import run_rules, with_vector
 from ruleframe.plans.inspect import plan_text

@@ -53,8 +53,6 @@ def test_missing_id_fires(spark):
 
 
 def test_pandas_rule_hook(spark):
-    import pandas as pd
-
     from ruleframe.functions.python import pandas_rule
     from ruleframe.model import Id, Rule, RuleSet, RuleSuite
 

@@ -97,3 +97,14 @@ def test_wide_suite_runs(spark):
     by_id = {r.rule_id: r.n_true for r in got}
     for c in range(40):
         assert [by_id[c * 100 + i] for i in RULES] == GOLDEN["cust_sf0.001"]
+
+
+def test_write_sweep(spark):
+    import tempfile
+
+    from ruleframe.sources.records import write_sweep
+
+    base = tempfile.mkdtemp(prefix="sweep-", dir=spark.conf.get("spark.checkpoint.dir"))
+    paths = write_sweep(spark, base, [1300, 2600, 3900], num_partitions=4)
+    counts = {n: spark.read.parquet(p).count() for n, p in paths.items()}
+    assert counts == {1300: 1300, 2600: 2600, 3900: 3900}
