@@ -41,18 +41,27 @@ class Binding:
 
     @property
     def field_names(self) -> list[str]:
+        """Record fields: from the DDL for JSON, else the mapping or the benchmark record."""
+        if self.kind == "json":
+            return [f.strip().split()[0].strip("`") for f in self.ddl.split(",") if f.strip()]
+        if self.columns:
+            return list(self.columns)
         return [n for n, _ in RECORD_FIELDS]
 
-    def refs(self) -> dict[str, str]:
-        """Placeholder -> SQL text."""
+    def ref(self, name: str) -> str:
+        """SQL text reaching record field ``name``."""
         if self.kind == "fields":
-            return {n: _q(self.columns.get(n, n)) for n in self.field_names}
+            return _q(self.columns.get(name, name))
         if self.kind == "struct":
-            return {n: f"{_q(self.source)}.{_q(n)}" for n in self.field_names}
+            return f"{_q(self.source)}.{_q(name)}"
         if self.kind == "json":
-            return {n: f"{_q(PARSED_COL)}.{_q(n)}" for n in self.field_names}
+            return f"{_q(PARSED_COL)}.{_q(name)}"
         raise ValueError(f"unknown binding kind {self.kind!r}")
 
+    def refs(self) -> Mapping[str, str]:
+        """Placeholder -> SQL text, for any field name a rule uses."""
+        return _Refs(self)
+
     def prepare(self, df: DataFrame) -> DataFrame:
         """Add what the rule text needs (the parsed JSON struct), nothing else."""
         if self.kind != "json":
@@ -86,6 +95,15 @@ class Binding:
         return df.drop(PARSED_COL) if self.kind == "json" else df
 
 
+class _Refs(dict):
+    def __init__(self, binding: Binding):
+        super().__init__()
+        self._b = binding
+
+    def __missing__(self, name: str) -> str:
+        return self._b.ref(name)
+
+
 def bind_fields(columns: Mapping[str, str] | None = None) -> Binding:
     """Record fields are columns; ``columns`` renames field -> column."""
     return Binding("fields", columns=dict(columns or {}))

@@ -128,3 +128,21 @@ def test_rule_counts_sum_to_rows(spark):
     recs = customer_records(spark, SF001)
     c = rule_counts(with_vector(spark, recs, sql_suite()), "quality", list(range(1, 16))).collect()
     assert all(r.n_true + r.n_false + r.n_null == 150 for r in c)
+
+
+def test_custom_record_fields(spark):
+    """Rules over a record type of the user's own, bound three ways."""
+    from ruleframe.model import Id, Rule, RuleSet, RuleSuite
+
+    suite = RuleSuite(Id(5, 1), (RuleSet(Id(1, 1), (
+        Rule(Id(1, 1), "{amount} > 100"),
+        Rule(Id(2, 1), "{currency} IN ('EUR', 'USD')"),
+    )),))
+    df = spark.createDataFrame([(150.0, "EUR"), (50.0, "JPY"), (None, None)], "amt double, cur string")
+    df = df.selectExpr("*", "named_struct('amount', amt, 'currency', cur) AS s",
+                       "to_json(named_struct('amount', amt, 'currency', cur)) AS j")
+    expected = [[True, True], [False, False], [None, None]]
+    for b in (bind_fields({"amount": "amt", "currency": "cur"}), bind_struct("s"),
+              bind_json("j", "amount DOUBLE, currency STRING")):
+        got = [r["quality"] for r in with_vector(spark, df, suite, b).orderBy(F.col("amt").desc_nulls_last()).collect()]
+        assert got == expected, b.kind
