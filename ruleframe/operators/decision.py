@@ -82,8 +82,7 @@ class DecisionTable:
     def lookup(self, spark: SparkSession, df: DataFrame, value_col: str, out: str) -> DataFrame:
         """Join form: left join on the input value; size-checked broadcast."""
         t = self.frame(spark).withColumnRenamed("output", out)
-        return (join_small(df, t, [(value_col, "input")], len(self.rows), how="left", salt_key=value_col)
-                .drop("input"))
+        return join_small(df, t, [(value_col, "input")], len(self.rows), how="left").drop("input")
 
     def conflicts(self, spark: SparkSession) -> DataFrame:
         """Inputs matched by more than one row: a UNIQUE violation."""
@@ -96,7 +95,7 @@ class DecisionTable:
         one row at most per record and broadcasts a side no larger than the table.
         """
         counts = self.frame(spark).groupBy("input").agg(F.count(F.lit(1)).alias("hits"))
-        j = join_small(df, counts, [(value_col, "input")], len(self.rows), how="left", salt_key=value_col)
+        j = join_small(df, counts, [(value_col, "input")], len(self.rows), how="left")
         hits = F.coalesce(F.col("hits"), F.lit(0)).cast("int")
         ok = hits <= 1 if self.hit_policy == "UNIQUE" else F.lit(True)
         return j.withColumn("hits", hits).withColumn("policy_ok", ok).drop("input")

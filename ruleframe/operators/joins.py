@@ -16,22 +16,25 @@ SALT_BUCKETS = 64
 
 def join_small(big: DataFrame, small: DataFrame, on: Sequence[tuple[str, str]], small_rows: int,
                how: str = "inner", salt_key: str | None = None,
-               limit: int = BROADCAST_ROW_LIMIT, buckets: int = SALT_BUCKETS) -> DataFrame:
+               limit: int | None = None, buckets: int = SALT_BUCKETS) -> DataFrame:
     """Equi-join ``big`` to ``small`` on (big column, small column) pairs.
 
     ``small_rows`` at or below ``limit``: broadcast ``small`` (no shuffle of
-    ``big``).  Above it: shuffle join with ``big`` salted by ``salt_key`` and
-    ``small`` replicated once per salt bucket, because join keys of rule
+    ``big``).  Above it: shuffle join with ``big`` salted and ``small``
+    replicated once per salt bucket, because join keys of rule and decision
     tables have few distinct values and a plain hash join would put a third
-    of ``big`` into one task.
+    of ``big`` into one task.  The salt must vary inside a hot join key and be
+    the same when a lost task recomputes: a hash of ``salt_key`` (a unique
+    column) or, by default, of the whole row.
     """
+    limit = BROADCAST_ROW_LIMIT if limit is None else limit
     if small_rows <= limit:
         bsmall = F.broadcast(small)
         cond = [big[b] == bsmall[s] for b, s in on]
         return big.join(bsmall, cond, how)
-    if salt_key is None:
-        raise ValueError("salt_key is required when the small side exceeds the broadcast limit")
-    salted_big = big.withColumn("__salt", F.pmod(F.xxhash64(F.col(salt_key)), F.lit(buckets)))
+    salt_cols = [F.col(salt_key)] if salt_key else [
+        F.col(f.name) for f in big.schema.fields if "map<" not in f.dataType.simpleString()]  # maps are not hashable
+    salted_big = big.withColumn("__salt", F.pmod(F.xxhash64(*salt_cols), F.lit(buckets)))
     salted_small = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)).cast("array<bigint>")))
     cond = [salted_big[b] == salted_small[s] for b, s in on] + [salted_big["__salt"] == salted_small["__salt"]]
     return salted_big.join(salted_small, cond, how).drop(salted_big["__salt"]).drop(salted_small["__salt"])

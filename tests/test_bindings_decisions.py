@@ -98,8 +98,13 @@ def test_join_small_salted_path_matches_broadcast(spark):
     bcast = join_small(recs, small, [("location", "loc")], 2, salt_key="key").select("key", "v")
     assert salted.exceptAll(bcast).count() == 0 and bcast.exceptAll(salted).count() == 0
     assert "__salt" in plan_text(salted, "simple")
-    with pytest.raises(ValueError):
-        join_small(recs, small, [("location", "loc")], 2, limit=0)
+    # default salt: a hash of the whole row, so one hot location spreads over buckets
+    by_row = join_small(recs, small, [("location", "loc")], 2, limit=0).select("key", "v")
+    assert by_row.exceptAll(bcast).count() == 0 and bcast.exceptAll(by_row).count() == 0
+    salts = (recs.where("location = 'US'")
+             .select(F.pmod(F.xxhash64(*[F.col(c) for c in recs.columns]), F.lit(64)).alias("s"))
+             .distinct().count())
+    assert salts > 8
 
 
 def test_decision_model_service_and_json(spark):
