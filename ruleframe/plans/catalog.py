@@ -22,6 +22,7 @@ from ruleframe.sources.bindings import bind_fields, bind_json, bind_struct, type
 from ruleframe.sources.io import cache_count, count_evaluated, read_parquet, scratch_path, write_parquet
 from ruleframe.sources.records import generate_records
 from ruleframe.sources.tables import customer_edge_records, customer_records, read_table
+from ruleframe.streaming.stream import run_to_parquet
 from ruleframe.suites import (DECISION_SUITE_RULES, GROUPS, RECORD_FIELDS, SQL_SUITE_RULES, baseline_rules,
                               decision_suite, record_ddl, sql_quote, sql_suite)
 
@@ -340,6 +341,17 @@ def bad_record_null(spark, sf_dir):
                       *flatten_vector(F.col("quality.evaluate"), N_RULES))
 
 
+def stream_rule_vector(spark, sf_dir):
+    """The suite on a stream: customer file as a streaming source, checkpointed Parquet sink."""
+    schema = read_table(spark, sf_dir, "customer").schema
+    # file streams read directories: the data folder, filtered to the customer file
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf_dir)
+    out = with_vector(spark, customer_records(spark, sf_dir, customer=stream), sql_suite())
+    sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
+    run_to_parquet(out.select("key", "quality"), sink, ckpt)
+    return _vec_out(read_parquet(spark, sink), ["key"])
+
+
 def typed_input(spark, sf_dir):
     e = customer_edge_records(spark, sf_dir)
     as_text = ", ".join(f"{n} STRING" for n, _ in RECORD_FIELDS)
@@ -393,4 +405,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "result_json": result_json,
     "bad_record_null": bad_record_null,
     "typed_input": typed_input,
+    "stream_rule_vector": stream_rule_vector,
 }

@@ -224,3 +224,4 @@ ORACLE["typed_input"] = _w(EDGE) + (
     "CASE WHEN balance < -500 THEN NULL ELSE page END AS page, "
     "CASE WHEN balance < -500 THEN NULL ELSE department END AS department, "
     "NOT (balance >= -500 AND balance < 0) AS type_ok FROM edge")
+ORACLE["stream_rule_vector"] = ORACLE["rule_vector"]

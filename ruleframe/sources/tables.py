@@ -27,26 +27,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _customer_nation(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def _customer_nation(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = (),
+                     customer: DataFrame | None = None) -> DataFrame:
     # nation is a small dimension, counted exactly (Parquet footers only)
     # before it is broadcast; a larger one is joined with the customer side
     # salted, since 25 nation keys would otherwise skew a hash join.  Left
     # join keeps every customer (an unknown nation gives a NULL location).
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", *extra)
+    c = (customer if customer is not None else read_table(spark, sf_dir, "customer")).select(
+        "c_custkey", "c_nationkey", "c_mktsegment", *extra)
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     return join_small(c, n, [("c_nationkey", "n_nationkey")], n.count(), how="left", salt_key="c_custkey")
 
 
-def customer_records(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def customer_records(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = (),
+                     customer: DataFrame | None = None) -> DataFrame:
     """One record per customer, covering all 25 location x department pairs.
 
     location from the nation's region, department from the market segment,
     id = customer key, idPrefix = nation name, page = nation key.  Carries
     ``key``, the ``keep`` customer/nation columns, the record as fields,
-    ``payload`` (JSON) and ``struct_payload``.
+    ``payload`` (JSON) and ``struct_payload``.  ``customer`` may be a
+    streaming frame of the customer table (joined to the static nation table).
     """
     base = ("c_custkey", "c_nationkey", "c_mktsegment", "n_nationkey", "n_name", "n_regionkey")
-    j = _customer_nation(spark, sf_dir, extra=tuple(k for k in keep if k not in base))
+    j = _customer_nation(spark, sf_dir, extra=tuple(k for k in keep if k not in base), customer=customer)
     rec = record_struct(case_lookup(F.col("n_regionkey"), REGION_LOCATION), F.col("n_name"),
                         F.col("c_custkey"), F.col("c_nationkey").cast("bigint"),
                         case_lookup(F.col("c_mktsegment"), SEGMENT_DEPARTMENT))

@@ -1,5 +1,5 @@
 """Rules over Structured Streaming sources."""
 
-from ruleframe.streaming.stream import stream_rules
+from ruleframe.streaming.stream import rules_on_stream, run_to_parquet, stream_rules
 
-__all__ = ["stream_rules"]
+__all__ = ["rules_on_stream", "run_to_parquet", "stream_rules"]

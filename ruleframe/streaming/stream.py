@@ -41,3 +41,17 @@ def stream_rules(spark: SparkSession, source_dir: str, schema: str, suite: RuleS
          .option("checkpointLocation", checkpoint_dir).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def run_to_parquet(stream: DataFrame, sink_dir: str, checkpoint_dir: str, timeout_sec: float | None = None) -> None:
+    """Run a streaming frame over what its source holds now (``availableNow``) into Parquet.
+
+    The checkpoint makes the run restartable: a rerun after a failure
+    continues from the last committed batch instead of rewriting output.
+    """
+    q = (stream.writeStream.format("parquet").option("path", sink_dir)
+         .option("checkpointLocation", checkpoint_dir).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(timeout_sec)
+    if q.exception() is not None:
+        raise RuntimeError(f"streaming query failed: {q.exception()}")
