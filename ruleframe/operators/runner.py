@@ -39,24 +39,39 @@ def _contains_false(v: Column) -> Column:
     return F.array_contains(v, F.lit(False))
 
 
+# Up to this many rules a rules map is built entry by entry (create_map: a
+# little faster per row); above it from two arrays (map_from_arrays: one
+# expression whatever the width, so analysis and generated code stay small).
+WIDE_MAP = 64
+
+
+def _rules_map(keys: list[int], values: Column, first: int) -> Column:
+    """map<bigint, boolean> from key ids and ``values`` elements first, first+1, ..."""
+    if len(keys) <= WIDE_MAP:
+        entries = []
+        for i, k in enumerate(keys):
+            entries += [F.lit(k).cast("bigint"), F.get(values, F.lit(first + i))]
+        return F.create_map(*entries)
+    n = len(keys)
+    part = F.slice(values, first + 1, n) if first else values
+    return F.map_from_arrays(F.array(*[F.lit(k).cast("bigint") for k in keys]), part)
+
+
 def audit(vector: Column, suite: RuleSuite) -> Column:
     """Nested result keyed by the suite's own ids.
 
     struct<any_failed, ruleSets: map<set id, struct<any_failed, rules: map<rule id, boolean>>>>.
     ``any_failed`` is TRUE when some rule is FALSE (NULL when none is FALSE
-    but some is NULL).  ``vector`` must follow suite order.  Each rules map
-    is ``map_from_arrays(literal ids, vector slice)``: one expression
-    whatever the number of rules, so wide suites stay small to analyse and
-    compile.
+    but some is NULL).  ``vector`` must follow suite order.
     """
     sets = []
     pos = 0
     for s in suite.sets:
         n = len(s.rules)
         part = F.slice(vector, pos + 1, n) if len(suite.sets) > 1 else vector
-        ids = F.array(*[F.lit(r.id.id).cast("bigint") for r in s.rules])
+        rules = _rules_map([r.id.id for r in s.rules], vector, pos)
         sets += [F.lit(s.id.id).cast("bigint"),
-                 F.struct(_contains_false(part).alias("any_failed"), F.map_from_arrays(ids, part).alias("rules"))]
+                 F.struct(_contains_false(part).alias("any_failed"), rules.alias("rules"))]
         pos += n
     return F.struct(_contains_false(vector).alias("any_failed"), F.create_map(*sets).alias("ruleSets"))
 
@@ -69,13 +84,17 @@ def audit_compat(vector: Column, n_rules: int, set_id: int = 1) -> Column:
     rule is not shown and the last key is NULL) and the set/overall results
     are "vector contains FALSE".
     """
-    keys = F.array(*[F.lit(i).cast("bigint") for i in range(n_rules)])
-    shifted = F.concat(F.slice(vector, 2, n_rules - 1), F.array(F.lit(None).cast("boolean")))
+    if n_rules <= WIDE_MAP:
+        rules = _rules_map(list(range(n_rules)), vector, 1)
+    else:
+        keys = F.array(*[F.lit(i).cast("bigint") for i in range(n_rules)])
+        shifted = F.concat(F.slice(vector, 2, n_rules - 1), F.array(F.lit(None).cast("boolean")))
+        rules = F.map_from_arrays(keys, shifted)
     return F.struct(
         _contains_false(vector).alias("overallResult"),
         F.create_map(
             F.lit(set_id).cast("bigint"),
-            F.struct(_contains_false(vector).alias("setResult"), F.map_from_arrays(keys, shifted).alias("rules")),
+            F.struct(_contains_false(vector).alias("setResult"), rules.alias("rules")),
         ).alias("ruleSets"),
     )
 

@@ -108,3 +108,20 @@ def test_write_sweep(spark):
     paths = write_sweep(spark, base, [1300, 2600, 3900], num_partitions=4)
     counts = {n: spark.read.parquet(p).count() for n, p in paths.items()}
     assert counts == {1300: 1300, 2600: 2600, 3900: 3900}
+
+
+def test_wide_audit_forms_agree(spark):
+    """Audits of a 90-rule suite (map_from_arrays path) equal the 15-rule audits repeated."""
+    from ruleframe.model import Id, Rule, RuleSet, RuleSuite
+    from ruleframe.operators.runner import audit, audit_compat
+
+    base = sql_suite()
+    rules = tuple(Rule(Id(c * 100 + r.id.id, 1), r.expr) for c in range(6) for _, r in base.rules())
+    wide = RuleSuite(Id(7, 1), (RuleSet(Id(1, 1), rules),), base.functions)
+    recs = customer_records(spark, SF001)
+    v = with_vector(spark, recs, wide).withColumn("a", audit(F.col("quality"), wide)) \
+        .withColumn("c", audit_compat(F.col("quality"), 90))
+    for row in v.select("quality", "a", "c").collect():
+        vec = row["quality"]
+        assert row["a"]["ruleSets"][1]["rules"] == {r.id.id: vec[i] for i, r in enumerate(rules)}
+        assert row["c"]["ruleSets"][1]["rules"] == {i: (vec[i + 1] if i + 1 < 90 else None) for i in range(90)}
