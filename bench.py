@@ -87,7 +87,8 @@ def main() -> None:
     warmups = int(os.environ.get("BENCH_WARMUPS", "2"))
     runs = int(os.environ.get("BENCH_RUNS", "4"))
     sizes = [int(x) for x in os.environ.get("BENCH_GEN_SIZES", "100000,1000000").split(",") if x]
-    spark = local_session(cpus, shuffle_partitions=ncpu, app="ruleframe-bench")
+    spark = local_session(cpus, shuffle_partitions=ncpu, app="ruleframe-bench",
+                          event_log_dir=os.environ.get("BENCH_EVENT_LOG_DIR") or None)
     parts = int(os.environ.get("BENCH_PARTITIONS", str(4 * ncpu)))
 
     # Datasets, written to Parquet once: records from the sf's customer keys
