@@ -24,12 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
         except Exception:  # sessions without a SparkContext (Spark Connect)
             d = None
     if not d:
+        # ``spark.checkpoint.dir`` is a core setting that a running session
+        # may not change; the context's checkpoint folder can still be set.
         d = tempfile.mkdtemp(prefix="ruleframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        try:
-            spark.sparkContext.setCheckpointDir(d)
-        except Exception:
-            pass
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 

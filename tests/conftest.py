@@ -25,8 +25,6 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     # tests run without a cluster: set a checkpoint folder only because none is configured
     if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="ruleframe-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ruleframe-test-ckpt-"))
     yield s
     s.stop()
