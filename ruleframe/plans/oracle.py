@@ -129,7 +129,9 @@ ORACLE["parquet_roundtrip"] = ORACLE["copy_records"]
 ORACLE["struct_payload_fields"] = _w(REC) + "SELECT key, location, idPrefix, id, page, department FROM rec"
 ORACLE["json_payload"] = _w(REC) + f"SELECT key, {_REC_JSON} AS payload FROM rec"
 ORACLE["json_parse"] = ORACLE["struct_payload_fields"]
-ORACLE["suite_count"] = _w(REC) + "SELECT count(*) AS rows, count(*) AS evaluated FROM rec"
+ORACLE["suite_count"] = _w(REC) + (
+    "SELECT count(*) AS rows, count_if(f) AS n_failed, count_if(NOT f) AS n_passed, count_if(f IS NULL) AS n_undecided"
+    f" FROM (SELECT {_any_failed(_preds())} AS f FROM rec)")
 ORACLE["suite_cache_count"] = ORACLE["suite_count"]
 ORACLE["rule_single"] = _w(REC) + f"SELECT key, {_rules()[0]} FROM rec"
 ORACLE["rule_vector"] = _w(REC) + f"SELECT key, {', '.join(_rules())} FROM rec"

@@ -9,6 +9,7 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,5 +65,23 @@ def cache_count(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def count_evaluated(df: DataFrame, result_col: str) -> DataFrame:
-    """Rows and rows with a non-null result: forces the result column to be computed."""
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.count(result_col).alias("evaluated"))
+    """Rows, and rows whose suite result failed, passed or stayed undecided.
+
+    ``result_col`` is a rule vector (array<boolean>) or an audit struct.
+    Failed = some rule FALSE; passed = every rule TRUE; undecided = no rule
+    FALSE but some NULL (or no result).  Reading the outcome forces every
+    rule to be evaluated: a plain ``count`` (or a count of the never-null
+    result column) is folded to ``count(1)`` and prunes the rules away.
+    One global aggregation, partial per task.
+    """
+    dtype = df.schema[result_col].dataType
+    c = F.col(result_col)
+    if isinstance(dtype, T.ArrayType):
+        failed = F.array_contains(c, F.lit(False))
+    else:
+        names = {f.name for f in dtype.fields}
+        failed = c.getField("any_failed" if "any_failed" in names else "overallResult")
+    return df.agg(F.count(F.lit(1)).alias("rows"),
+                  F.count_if(failed).alias("n_failed"),
+                  F.count_if(~failed).alias("n_passed"),
+                  F.count_if(failed.isNull()).alias("n_undecided"))
