@@ -45,11 +45,15 @@ def generate_records(keys: DataFrame, key_col: str = "id", id_type: str = "int",
     """130 records per row of ``keys``; ``id`` is the key value.
 
     The output is 130x the input, so a few input partitions would make a
-    few huge output tasks.  ``num_partitions`` hash-distributes the key
-    column first (a shuffle of the small side, deterministic on retry).
+    few huge output tasks.  ``num_partitions`` spreads the key column first
+    (a shuffle of the 130x smaller side).  Round robin, not a hash of the
+    key: copies of one hot key would all land in one task under a hash.
+    Spark sorts each input partition before a round-robin repartition
+    (``spark.sql.execution.sortBeforeRepartition``), so a retried task
+    sends the same rows to the same partitions.
     """
     if num_partitions:
-        keys = keys.select(key_col).repartition(num_partitions, key_col)
+        keys = keys.select(key_col).repartition(num_partitions)
     seeds = F.array(*[
         F.struct(F.lit(loc).alias("location"), F.lit(page).cast("bigint").alias("page"),
                  F.lit(dept).alias("department"))

@@ -126,3 +126,15 @@ def test_wide_audit_forms_agree(spark):
         vec = row["quality"]
         assert row["a"]["ruleSets"][1]["rules"] == {r.id.id: vec[i] for i, r in enumerate(rules)}
         assert row["c"]["ruleSets"][1]["rules"] == {i: (vec[i + 1] if i + 1 < 90 else None) for i in range(90)}
+
+
+def test_generator_spreads_a_hot_key(spark):
+    """A third of the keys equal: output tasks stay even (round robin, not a key hash)."""
+    from pyspark.sql import functions as F
+    from ruleframe.sources.records import generate_records
+
+    keys = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    g = generate_records(keys, "k", num_partitions=8)
+    sizes = [r["n"] for r in g.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 3000 * 130
+    assert len(sizes) == 8 and max(sizes) < 1.2 * min(sizes)
