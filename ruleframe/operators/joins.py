@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A side with at most this many rows is broadcast.  Callers pass a row count
 # they know exactly (built from driver-side metadata), never an estimate.
 BROADCAST_ROW_LIMIT = 200_000
-# Salt buckets for the shuffle join used above the limit.
+# Salt buckets for a hot join key in the shuffle join used above the limit.
 SALT_BUCKETS = 64
+# A join key of the big side holding more than this share of its rows is
+# hot.  At most 1 / HOT_SHARE keys can be, so the hot-key list is bounded.
+HOT_SHARE = 0.001
 
 
 def join_small(big: DataFrame, small: DataFrame, on: Sequence[tuple[str, str]], small_rows: int,
@@ -20,21 +23,73 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[tuple[str, str]],
     """Equi-join ``big`` to ``small`` on (big column, small column) pairs.
 
     ``small_rows`` at or below ``limit``: broadcast ``small`` (no shuffle of
-    ``big``).  Above it: shuffle join with ``big`` salted and ``small``
-    replicated once per salt bucket, because join keys of rule and decision
-    tables have few distinct values and a plain hash join would put a third
-    of ``big`` into one task.  The salt must vary inside a hot join key and be
-    the same when a lost task recomputes: a hash of ``salt_key`` (a unique
-    column) or, by default, of the whole row.
+    ``big``).  Above it: a shuffle join in which hot keys are salted (see
+    :func:`skew_join`).  ``how`` is "inner" or "left" (``big`` kept).
     """
     limit = BROADCAST_ROW_LIMIT if limit is None else limit
     if small_rows <= limit:
         bsmall = F.broadcast(small)
         cond = [big[b] == bsmall[s] for b, s in on]
         return big.join(bsmall, cond, how)
+    return skew_join(big, small, on, how, salt_key, buckets)
+
+
+def hot_keys(big: DataFrame, cols: Sequence[str], share: float = HOT_SHARE) -> list[tuple]:
+    """Key values of ``cols`` held by more than ``share`` of the rows of ``big``.
+
+    Exact: a row count and a grouping aggregation over the key columns only
+    (partial per task).  At most ``1 / share`` keys qualify, so the list
+    brought to the driver is bounded whatever the size of ``big``.  NULL keys
+    are left out (an equi-join never matches them; callers spread them).
+    """
+    total = big.count()
+    threshold = max(1, int(total * share))
+    cond = F.col("__n") > threshold
+    for c in cols:
+        cond = cond & F.col(c).isNotNull()
+    rows = big.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).where(cond).select(*cols).collect()
+    return [tuple(r) for r in rows]
+
+
+def _key_struct(cols: Sequence[Column]) -> Column:
+    return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
+
+
+def skew_join(big: DataFrame, small: DataFrame, on: Sequence[tuple[str, str]], how: str = "inner",
+              salt_key: str | None = None, buckets: int = SALT_BUCKETS,
+              hot: list[tuple] | None = None) -> DataFrame:
+    """Shuffle equi-join in which hot keys are split over ``buckets`` tasks.
+
+    Rows of ``big`` whose key is hot (or NULL, which matches nothing but
+    would otherwise all hash to one task) get a salt in 0..buckets-1; every
+    other row gets salt 0.  Rows of ``small`` with a hot key are repeated
+    once per salt, the rest appear once with salt 0, so each big row meets
+    exactly the small rows it would meet without salting: nothing is
+    dropped or duplicated.  Only hot keys are repeated, so the extra shuffle
+    is at most ``buckets`` x (small rows with a hot key).
+
+    The salt must be the same when a lost task recomputes: a hash of
+    ``salt_key`` (a unique column) or, by default, of the whole row.
+    """
+    bcols = [b for b, _ in on]
+    hot = hot_keys(big, bcols) if hot is None else hot
+    btypes = {f.name: f.dataType for f in big.schema.fields}
+    if hot:
+        lits = [_key_struct([F.lit(v).cast(btypes[c]) for v, c in zip(k, bcols)]) for k in hot]
+        big_hot = _key_struct([F.col(c) for c in bcols]).isin(*lits)
+        small_hot = _key_struct([F.col(s).cast(btypes[b]) for b, s in on]).isin(*lits)
+    else:
+        big_hot = small_hot = F.lit(False)
+    any_null = F.lit(False)
+    for c in bcols:
+        any_null = any_null | F.col(c).isNull()
     salt_cols = [F.col(salt_key)] if salt_key else [
         F.col(f.name) for f in big.schema.fields if "map<" not in f.dataType.simpleString()]  # maps are not hashable
-    salted_big = big.withColumn("__salt", F.pmod(F.xxhash64(*salt_cols), F.lit(buckets)))
-    salted_small = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)).cast("array<bigint>")))
+    spread = F.coalesce(big_hot, F.lit(False)) | any_null
+    salted_big = big.withColumn(
+        "__salt", F.when(spread, F.pmod(F.xxhash64(*salt_cols), F.lit(buckets))).otherwise(F.lit(0).cast("bigint")))
+    salts = F.when(F.coalesce(small_hot, F.lit(False)), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(
+        F.array(F.lit(0)))
+    salted_small = small.withColumn("__salt", F.explode(salts.cast("array<bigint>")))
     cond = [salted_big[b] == salted_small[s] for b, s in on] + [salted_big["__salt"] == salted_small["__salt"]]
     return salted_big.join(salted_small, cond, how).drop(salted_big["__salt"]).drop(salted_small["__salt"])

@@ -107,6 +107,33 @@ def test_join_small_salted_path_matches_broadcast(spark):
     assert salts > 8
 
 
+def test_skew_join_salts_only_hot_keys(spark):
+    """A third of the rows on one key and a block of NULL keys: same rows as a broadcast, spread tasks."""
+    from ruleframe.operators.joins import hot_keys, skew_join
+
+    big = spark.range(30000).select(
+        F.col("id").alias("rid"),
+        F.when(F.col("id") < 10000, F.lit(5)).when(F.col("id") < 12000, F.lit(None))
+        .otherwise(F.col("id")).cast("int").alias("k"))
+    small = spark.range(20000).select(F.col("id").cast("int").alias("sk"), (F.col("id") * 10).alias("v"))
+    assert hot_keys(big, ["k"]) == [(5,)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # keep the shuffle join
+    try:
+        for how in ("inner", "left"):
+            salted = skew_join(big, small, [("k", "sk")], how, salt_key="rid", buckets=16).select("rid", "v")
+            bcast = join_small(big, small, [("k", "sk")], 20000, how=how).select("rid", "v")
+            assert salted.count() == bcast.count() == (30000 if how == "left" else 18000)
+            assert salted.exceptAll(bcast).count() == 0 and bcast.exceptAll(salted).count() == 0
+        # the hot key's 10,000 rows land in many shuffle partitions, not one
+        j = skew_join(big, small, [("k", "sk")], "inner", salt_key="rid", buckets=16)
+        parts = j.where("k = 5").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert parts >= 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_decision_model_service_and_json(spark):
     g = generate(spark, 1300)
     m = DecisionModel(decision_suite())
