@@ -23,8 +23,9 @@ from ruleframe.sources.io import cache_count, count_evaluated, read_parquet, scr
 from ruleframe.sources.records import generate_records
 from ruleframe.sources.tables import customer_edge_records, customer_records, read_table
 from ruleframe.streaming.stream import run_to_parquet
-from ruleframe.suites import (DECISION_SUITE_RULES, GROUPS, RECORD_FIELDS, SQL_SUITE_RULES, baseline_rules,
-                              decision_suite, record_ddl, sql_quote, sql_suite)
+from ruleframe.suites import (DECISION_SUITE_RULES, GROUPS, ORDERS_FIELDS, ORDERS_RULE_SETS, RECORD_FIELDS,
+                              SQL_SUITE_RULES, baseline_rules, decision_suite, orders_suite, record_ddl, sql_quote,
+                              sql_suite)
 
 RULE_IDS = [r for r, _, _ in SQL_SUITE_RULES]
 N_RULES = len(RULE_IDS)
@@ -341,6 +342,30 @@ def bad_record_null(spark, sf_dir):
                       *flatten_vector(F.col("quality.evaluate"), N_RULES))
 
 
+# ---- a second suite: orders, bound by column mapping ----------------------
+
+def _orders(spark, sf_dir):
+    return read_table(spark, sf_dir, "orders")
+
+
+def orders_audit(spark, sf_dir):
+    """Both rule sets of the orders suite on every order: overall, set and rule results."""
+    out = run_rules(spark, _orders(spark, sf_dir), orders_suite(), bind_fields(ORDERS_FIELDS))
+    q = F.col("quality")
+    cols = [q.getField("any_failed").alias("overall")]
+    for sid, rules in ORDERS_RULE_SETS.items():
+        s = q.getField("ruleSets")[F.lit(sid).cast("bigint")]
+        cols.append(s.getField("any_failed").alias(f"set{sid}"))
+        cols += [s.getField("rules")[F.lit(rid).cast("bigint")].alias(f"r{rid}") for rid, _ in rules]
+    return out.select(F.col("o_orderkey").alias("key"), *cols)
+
+
+def orders_rule_counts(spark, sf_dir):
+    suite = orders_suite()
+    out = with_vector(spark, _orders(spark, sf_dir), suite, bind_fields(ORDERS_FIELDS))
+    return rule_counts(out, "quality", [r.id.id for _, r in suite.rules()])
+
+
 def stream_rule_vector(spark, sf_dir):
     """The suite on a stream: customer file as a streaming source, checkpointed Parquet sink."""
     schema = read_table(spark, sf_dir, "customer").schema
@@ -406,4 +431,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bad_record_null": bad_record_null,
     "typed_input": typed_input,
     "stream_rule_vector": stream_rule_vector,
+    "orders_audit": orders_audit,
+    "orders_rule_counts": orders_rule_counts,
 }

@@ -227,3 +227,23 @@ ORACLE["typed_input"] = _w(EDGE) + (
     "CASE WHEN balance < -500 THEN NULL ELSE department END AS department, "
     "NOT (balance >= -500 AND balance < 0) AS type_ok FROM edge")
 ORACLE["stream_rule_vector"] = ORACLE["rule_vector"]
+
+# The orders suite, spelled out per rule: priority groups as IN lists.
+_urgent = "o_orderpriority IN ('1-URGENT', '2-HIGH')"
+_routine = "o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')"
+_op = {
+    1: f"({_urgent} AND o_orderstatus = 'F')",
+    2: f"({_urgent} AND o_orderstatus = 'O')",
+    3: f"({_routine} AND o_orderstatus = 'P')",
+    4: f"({_routine} AND o_orderstatus = 'F')",
+    5: f"({_missing('o_orderpriority')} AND o_orderstatus = 'O')",
+    6: "(o_totalprice > 300000 AND o_orderstatus = 'F')",
+}
+ORACLE["orders_audit"] = (
+    f"SELECT o_orderkey AS key, {_any_failed(list(_op.values()))} AS overall, "
+    f"{_any_failed([_op[i] for i in (1, 2, 3, 4)])} AS set1, "
+    + ", ".join(f"{p} AS r{i}" for i, p in list(_op.items())[:4])
+    + f", {_any_failed([_op[5], _op[6]])} AS set2, {_op[5]} AS r5, {_op[6]} AS r6 FROM orders")
+ORACLE["orders_rule_counts"] = " UNION ALL ".join(
+    f"SELECT {rid} AS rule_id, count(*) FILTER (WHERE {p}) AS n_true, count(*) FILTER (WHERE NOT {p}) AS n_false, "
+    f"count(*) FILTER (WHERE {p} IS NULL) AS n_null FROM orders" for rid, p in _op.items())

@@ -170,3 +170,43 @@ def baseline_rules(rule_table=SQL_SUITE_RULES) -> list[str]:
 
 def record_ddl(id_type: str = "INT") -> str:
     return ", ".join(f"{n} {id_type if n == 'id' else t}" for n, t in RECORD_FIELDS)
+
+
+# --- fixed values (test fixture: a second, user-written suite over orders) --
+# Priority groups: group name -> member priorities.
+PRIORITY_GROUPS = {
+    "Urgent": ("1-URGENT", "2-HIGH"),
+    "Routine": ("3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"),
+}
+PRIORITY_FN = "priority in"
+# Rule sets: set id -> rules (rule id, rule text over {status}, {priority}, {total}).
+ORDERS_RULE_SETS = {
+    1: (
+        (1, "`priority in`('Urgent', {priority}) AND {status} = 'F'"),
+        (2, "`priority in`('Urgent', {priority}) AND {status} = 'O'"),
+        (3, "`priority in`('Routine', {priority}) AND {status} = 'P'"),
+        (4, "`priority in`('Routine', {priority}) AND {status} = 'F'"),
+    ),
+    2: (
+        (5, "isMissing({priority}) AND {status} = 'O'"),
+        (6, "{total} > 300000 AND {status} = 'F'"),
+    ),
+}
+# Record fields of the orders suite -> orders columns.
+ORDERS_FIELDS = {"status": "o_orderstatus", "priority": "o_orderpriority", "total": "o_totalprice"}
+# ---------------------------------------------------------------------------
+
+
+def priority_function() -> FunctionDef:
+    """`priority in`(grp, p): is priority ``p`` in group ``grp`` (unknown group: FALSE)."""
+    whens = " ".join(f"WHEN grp = {sql_quote(g)} THEN array({', '.join(sql_quote(m) for m in ms)})"
+                     for g, ms in PRIORITY_GROUPS.items())
+    return FunctionDef(PRIORITY_FN, (("grp", "STRING"), ("p", "STRING")), "BOOLEAN",
+                       f"array_contains(CASE {whens} ELSE array() END, p)", Id(7, 1))
+
+
+def orders_suite() -> RuleSuite:
+    """A user suite of two rule sets over orders, with its own function library."""
+    sets = tuple(RuleSet(Id(sid, 1), tuple(Rule(Id(rid, 1), text) for rid, text in rules))
+                 for sid, rules in ORDERS_RULE_SETS.items())
+    return RuleSuite(Id(3, 1), sets, (priority_function(), missing_function()))
