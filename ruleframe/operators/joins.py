@@ -72,7 +72,10 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[tuple[str, str]], h
     ``salt_key`` (a unique column) or, by default, of the whole row.
     """
     bcols = [b for b, _ in on]
-    hot = hot_keys(big, bcols) if hot is None else hot
+    if hot is None:
+        # a stream has no finished input to count: only NULL keys are spread
+        # there, and a hot key is left to AQE's skew-join split
+        hot = [] if big.isStreaming else hot_keys(big, bcols)
     btypes = {f.name: f.dataType for f in big.schema.fields}
     if hot:
         lits = [_key_struct([F.lit(v).cast(btypes[c]) for v, c in zip(k, bcols)]) for k in hot]
