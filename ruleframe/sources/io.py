@@ -27,8 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         # ``spark.checkpoint.dir`` is a core setting that a running session
         # may not change; the context's checkpoint folder can still be set.
-        d = tempfile.mkdtemp(prefix="ruleframe-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ruleframe-ckpt-"))
+        d = spark.sparkContext.getCheckpointDir()  # the folder Spark made inside, same on every call
     return d
 
 
