@@ -1,13 +1,12 @@
 """Physical plans stay narrow and JVM-side; streams give batch results."""
 
 import os
-import tempfile
 
 
 from ruleframe.operators.runner import run_rules, with_vector
 from ruleframe.plans.inspect import plan_text
 from ruleframe.sources.bindings import bind_json
-from ruleframe.sources.io import shared_dir, write_parquet
+from ruleframe.sources.io import scratch_path, write_parquet
 from ruleframe.sources.records import generate
 from ruleframe.sources.tables import customer_records
 from ruleframe.streaming import stream_rules
@@ -37,7 +36,7 @@ def test_customer_binding_broadcasts_nation_and_prunes(spark):
 
 
 def test_stream_equals_batch(spark):
-    base = tempfile.mkdtemp(prefix="stream-", dir=shared_dir(spark))
+    base = scratch_path(spark, "stream")
     src = os.path.join(base, "src")
     g = generate(spark, 2600).select("location", "idPrefix", "id", "page", "department", "payload")
     write_parquet(g, src)

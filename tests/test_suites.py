@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ruleframe.operators.results import rule_counts
 from ruleframe.operators.runner import audit_compat, run_rules, template_vector, with_vector
 from ruleframe.sources.bindings import bind_json, bind_struct
-from ruleframe.sources.io import shared_dir
+from ruleframe.sources.io import scratch_path
 from ruleframe.sources.records import generate, generated_row_count
 from ruleframe.sources.tables import customer_records
 from ruleframe.suites import baseline_rules, decision_suite, sql_suite
@@ -101,11 +101,9 @@ def test_wide_suite_runs(spark):
 
 
 def test_write_sweep(spark):
-    import tempfile
-
     from ruleframe.sources.records import write_sweep
 
-    base = tempfile.mkdtemp(prefix="sweep-", dir=shared_dir(spark))
+    base = scratch_path(spark, "sweep")
     paths = write_sweep(spark, base, [1300, 2600, 3900], num_partitions=4)
     counts = {n: spark.read.parquet(p).count() for n, p in paths.items()}
     assert counts == {1300: 1300, 2600: 2600, 3900: 3900}
