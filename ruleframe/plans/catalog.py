@@ -16,6 +16,7 @@ from ruleframe.functions.columns import applicable_for, case_lookup, group_membe
 from ruleframe.functions.sql import register_functions
 from ruleframe.model import FunctionDef, Id, Rule, RuleSet, RuleSuite
 from ruleframe.operators.decision import DecisionModel, group_table, member_table, rule_hits
+from ruleframe.operators.joins import join_small
 from ruleframe.operators.results import distinct_results, flatten_audit, flatten_vector, rule_counts
 from ruleframe.operators.runner import audit, audit_compat, rule_column, run_rules, template_vector, with_vector
 from ruleframe.sources.bindings import bind_fields, bind_json, bind_struct, typed_record
@@ -216,8 +217,9 @@ def json_audit(spark, sf_dir):
 def suite_metadata(spark, sf_dir):
     s = sql_suite()
     counts = rule_counts(with_vector(spark, _recs(spark, sf_dir), s), "quality", RULE_IDS)
-    meta = s.metadata(spark).drop("expr", "position")
-    return counts.join(meta, "rule_id").select(
+    meta = s.metadata(spark).drop("expr", "position").withColumnRenamed("rule_id", "meta_rule_id")
+    # one row per rule on each side; the metadata's row count is exact
+    return join_small(counts, meta, [("rule_id", "meta_rule_id")], len(s.rules())).select(
         "suite_id", "suite_version", "set_id", "set_version", "rule_id", "rule_version",
         "n_true", "n_false", "n_null")
 
