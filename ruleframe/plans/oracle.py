@@ -130,7 +130,8 @@ ORACLE["struct_payload_fields"] = _w(REC) + "SELECT key, location, idPrefix, id,
 ORACLE["json_payload"] = _w(REC) + f"SELECT key, {_REC_JSON} AS payload FROM rec"
 ORACLE["json_parse"] = ORACLE["struct_payload_fields"]
 ORACLE["suite_count"] = _w(REC) + (
-    "SELECT count(*) AS rows, count_if(f) AS n_failed, count_if(NOT f) AS n_passed, count_if(f IS NULL) AS n_undecided"
+    "SELECT count(*) AS rows, CAST(count_if(f) AS BIGINT) AS n_failed, CAST(count_if(NOT f) AS BIGINT) AS n_passed, "
+    "CAST(count_if(f IS NULL) AS BIGINT) AS n_undecided"
     f" FROM (SELECT {_any_failed(_preds())} AS f FROM rec)")
 ORACLE["suite_cache_count"] = ORACLE["suite_count"]
 ORACLE["rule_single"] = _w(REC) + f"SELECT key, {_rules()[0]} FROM rec"
@@ -222,8 +223,9 @@ ORACLE["typed_input"] = _w(EDGE) + (
     "SELECT key, "
     "CASE WHEN balance < -500 THEN NULL ELSE location END AS location, "
     "CASE WHEN balance < -500 THEN NULL ELSE idPrefix END AS idPrefix, "
-    "CASE WHEN balance < 0 THEN NULL ELSE id END AS id, "
-    "CASE WHEN balance < -500 THEN NULL ELSE page END AS page, "
+    # nullable integers as DOUBLE: Spark hands NULL-able BIGINT to pandas as float64 with NaN
+    "CAST(CASE WHEN balance < 0 THEN NULL ELSE id END AS DOUBLE) AS id, "
+    "CAST(CASE WHEN balance < -500 THEN NULL ELSE page END AS DOUBLE) AS page, "
     "CASE WHEN balance < -500 THEN NULL ELSE department END AS department, "
     "NOT (balance >= -500 AND balance < 0) AS type_ok FROM edge")
 ORACLE["stream_rule_vector"] = ORACLE["rule_vector"]
