@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ruleframe.model import RuleSuite
+from ruleframe.operators.runner import suite_result, with_vector
+from ruleframe.sources.bindings import Binding, bind_fields
+
 
 def flatten_vector(vector: Column, n: int, prefix: str = "r", first: int = 1) -> list[Column]:
     """Vector elements as columns prefix1..prefixN."""
@@ -34,7 +38,8 @@ def comparable(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.MapType):
         vt = dtype.valueType
         inner = F.transform_values(col, lambda k, v: comparable(v, vt)) if _has_map(vt) else col
-        return F.array_sort(F.map_entries(inner))
+        # sort_array: ordered by key; codegen'd, unlike array_sort's comparator lambda
+        return F.sort_array(F.map_entries(inner))
     if isinstance(dtype, T.StructType):
         if not _has_map(dtype):
             return col
@@ -66,6 +71,27 @@ def distinct_results(df: DataFrame, col: str, out: str = "result") -> DataFrame:
     return df.groupBy(comparable(F.col(col), dtype).alias(out)).agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_suite_results(spark: SparkSession, df: DataFrame, suite: RuleSuite, binding: Binding | None = None,
+                           compat: bool = False, out: str = "result") -> DataFrame:
+    """Distinct audit results of ``suite`` over ``df`` with their row counts.
+
+    Same output as :func:`distinct_results` over :func:`run_rules`, but the
+    rows are grouped by their rule vector (an array<boolean>: cheap to hash
+    and compare; partial counts per task) and the audit and its comparable
+    form are built for the distinct vectors only, since the audit is a
+    function of the vector.  The comparable forms are grouped once more
+    because different vectors can give one audit (the compatible layout does
+    not show rule 1).  Making nested maps comparable per row runs
+    interpreted higher-order functions; this way it runs per distinct vector.
+    """
+    b = binding or bind_fields()
+    v = with_vector(spark, df, suite, b, out="__v")
+    per_vector = v.groupBy("__v").agg(F.count(F.lit(1)).alias("__n"))
+    res = per_vector.select(suite_result(F.col("__v"), suite, compat, b.bad_record() is not None).alias("__r"), "__n")
+    dtype = res.schema["__r"].dataType
+    return res.groupBy(comparable(F.col("__r"), dtype).alias(out)).agg(F.sum("__n").alias("n"))
+
+
 # Up to this many rules, counts are one row of 3 x N aggregates; above it,
 # the vector is exploded into (rule id, result) pairs and grouped (aggregate count and
 # generated code would otherwise grow with N).

@@ -131,9 +131,15 @@ def run_rules(spark: SparkSession, df: DataFrame, suite: RuleSuite, binding: Bin
     if bad is not None:
         v = F.when(bad, F.lit(None)).otherwise(v)
     staged = df.withColumn(VECTOR_COL, v)
-    n = len(suite.rules())
-    res = (audit_compat(F.col(VECTOR_COL), n, suite.sets[0].id.id) if compat
-           else audit(F.col(VECTOR_COL), suite))
-    if bad is not None:
-        res = F.when(F.col(VECTOR_COL).isNull(), F.lit(None)).otherwise(res)
+    res = suite_result(F.col(VECTOR_COL), suite, compat, null_without_vector=bad is not None)
     return b.cleanup(staged.withColumn(out, res).drop(VECTOR_COL))
+
+
+def suite_result(vector: Column, suite: RuleSuite, compat: bool = False,
+                 null_without_vector: bool = False) -> Column:
+    """The audit of ``suite`` built from its rule vector (NULL for a NULL vector if asked)."""
+    n = len(suite.rules())
+    res = audit_compat(vector, n, suite.sets[0].id.id) if compat else audit(vector, suite)
+    if null_without_vector:
+        res = F.when(vector.isNull(), F.lit(None)).otherwise(res)
+    return res

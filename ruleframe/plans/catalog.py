@@ -17,7 +17,7 @@ from ruleframe.functions.sql import register_functions
 from ruleframe.model import FunctionDef, Id, Rule, RuleSet, RuleSuite
 from ruleframe.operators.decision import DecisionModel, group_table, member_table, rule_hits
 from ruleframe.operators.joins import join_small
-from ruleframe.operators.results import distinct_results, flatten_audit, flatten_vector, rule_counts
+from ruleframe.operators.results import distinct_suite_results, flatten_audit, flatten_vector, rule_counts
 from ruleframe.operators.runner import audit, audit_compat, rule_column, run_rules, template_vector, with_vector
 from ruleframe.sources.bindings import bind_fields, bind_json, bind_struct, typed_record
 from ruleframe.sources.io import cache_count, count_evaluated, read_parquet, scratch_path, write_parquet
@@ -229,8 +229,7 @@ def rule_counts_q(spark, sf_dir):
 
 
 def distinct_results_q(spark, sf_dir):
-    out = run_rules(spark, _recs(spark, sf_dir), sql_suite(), compat=True)
-    d = distinct_results(out, "quality")
+    d = distinct_suite_results(spark, _recs(spark, sf_dir), sql_suite(), compat=True)
     sets = F.get(F.col("result.ruleSets"), F.lit(0)).getField("value")
     cols = [F.col("result.overallResult").alias("overall"), sets.getField("setResult").alias("set_result")]
     cols += [F.get(sets.getField("rules"), F.lit(i)).getField("value").alias(f"r{i}") for i in range(N_RULES)]

@@ -156,6 +156,21 @@ def test_distinct_results_on_maps(spark):
     assert d.count() <= flat
 
 
+def test_distinct_suite_results_equal_generic(spark):
+    """Grouping by the vector first gives the per-row comparable grouping's rows and counts."""
+    from ruleframe.operators.results import distinct_suite_results
+    from ruleframe.plans.catalog import CUSTOMER_DDL
+
+    edge = customer_edge_records(spark, SF001)
+    cases = [(bind_fields(), False), (bind_fields(), True),
+             (bind_json("payload", CUSTOMER_DDL, bad_records_null=True), False)]
+    for b, compat in cases:
+        generic = distinct_results(run_rules(spark, edge, sql_suite(), b, compat=compat), "quality")
+        fast = distinct_suite_results(spark, edge, sql_suite(), b, compat=compat)
+        assert generic.count() > 1
+        assert generic.exceptAll(fast).count() == 0 and fast.exceptAll(generic).count() == 0
+
+
 def test_rule_counts_sum_to_rows(spark):
     recs = customer_records(spark, SF001)
     c = rule_counts(with_vector(spark, recs, sql_suite()), "quality", list(range(1, 16))).collect()
