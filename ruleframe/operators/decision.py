@@ -67,9 +67,14 @@ class DecisionTable:
         return out.otherwise(self._lit(self.default)) if self.default is not None else out
 
     def collect_column(self, value: Column) -> Column:
-        """COLLECT: array of the outputs of every matching row."""
-        hits = [F.when(value == F.lit(k), self._lit(v)) for k, v in self.rows]
-        return F.filter(F.array(*hits), lambda x: x.isNotNull())
+        """COLLECT: array of the outputs of every matching row, in table order.
+
+        Each row gives a one-element or empty array and ``flatten`` joins
+        them: generated code, no per-element lambda.
+        """
+        none = F.array().cast(f"array<{self.output_type}>")
+        hits = [F.when(value == F.lit(k), F.array(self._lit(v))).otherwise(none) for k, v in self.rows]
+        return F.flatten(F.array(*hits))
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(k, list(v) if isinstance(v, tuple) else v) for k, v in self.rows]

@@ -79,8 +79,9 @@ def test_unique_conflicts(spark):
 def test_collect_hit_policy(spark):
     t = DecisionTable("g", tuple((m, g) for g, ms in (("A", ("US",)), ("B", ("US", "UK"))) for m in ms),
                       output_type="string", hit_policy="COLLECT")
-    r = spark.createDataFrame([("US",), ("UK",), ("CH",)], "l string").select(t.column(F.col("l")).alias("o")).collect()
-    assert [x.o for x in r] == [["A", "B"], ["B"], []]
+    r = (spark.createDataFrame([("US",), ("UK",), ("CH",), (None,)], "l string")
+         .select(t.column(F.col("l")).alias("o")).collect())
+    assert [x.o for x in r] == [["A", "B"], ["B"], [], []]
 
 
 def test_rule_hits_equal_vector_true_positions(spark):
