@@ -24,7 +24,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from ruleframe.operators.decision import DecisionModel, rule_hits  # noqa: E402
-from ruleframe.operators.results import rule_counts  # noqa: E402
+from ruleframe.operators.results import distinct_suite_results, rule_counts  # noqa: E402
 from ruleframe.operators.runner import audit_compat, run_rules, template_vector, with_vector  # noqa: E402
 from ruleframe.session import local_session  # noqa: E402
 from ruleframe.sources.bindings import bind_fields, bind_json, bind_struct  # noqa: E402
@@ -58,6 +58,8 @@ def _cases(spark, data, sf_dir):
         "decision_json_bools": noop(lambda: model.evaluate(spark, data, bind_json("payload"), service=None)),
         "decision_json_json": noop(lambda: model.evaluate(spark, data, bind_json("payload"), service=None,
                                                           as_json=True)),
+        # distinct audit results with counts (grouped by rule vector, audits built per distinct vector)
+        "distinct_results": lambda: distinct_suite_results(spark, data, suite, compat=True).collect(),
         # rules as rows: broadcast equi-join of records with the (rule, member, department) table
         "decision_rules_join": noop(lambda: rule_hits(
             spark, data.withColumn("key", F.xxhash64("id", "idPrefix", "location")), DECISION_SUITE_RULES, "key")),
