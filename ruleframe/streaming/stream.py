@@ -52,6 +52,10 @@ def run_to_parquet(stream: DataFrame, sink_dir: str, checkpoint_dir: str, timeou
     q = (stream.writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint_dir).outputMode("append")
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_sec)
+    if timeout_sec is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_sec):
+        q.stop()  # a partial sink must not be read as the result
+        raise TimeoutError(f"streaming query did not finish in {timeout_sec} s")
     if q.exception() is not None:
         raise RuntimeError(f"streaming query failed: {q.exception()}")
