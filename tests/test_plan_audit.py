@@ -57,3 +57,25 @@ def test_counts_evaluate_rules(spark):
     """A count of the suite outcome keeps the rule inputs in the scan."""
     plan = plan_text(E.queries()["suite_count"](spark, SF001), "simple")
     assert "c_mktsegment" in plan and "n_regionkey" in plan
+
+
+# Interpreted row operators allowed: Spark's JSON parser has no generated
+# code, and distinct results make maps comparable on aggregated rows only.
+INTERPRETED_OK = ("from_json(",)
+AFTER_AGGREGATION = {"distinct_results"}
+
+
+def test_row_operators_in_whole_stage_codegen(spark):
+    """Projections, filters and generators run in generated code, except the JSON parser."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # adaptive plans show codegen stages only when run
+    try:
+        for name, q in sorted(E.queries().items()):
+            body = plan_text(q(spark, SF001), "simple").split("== Physical Plan ==", 1)[1]
+            for line in body.splitlines():
+                if not re.match(r"^[\s:+\-|]*(Project|Filter|Generate) ", line):
+                    continue  # a line starting with "*(n)" is inside whole-stage codegen
+                if any(k in line for k in INTERPRETED_OK):
+                    continue
+                assert name in AFTER_AGGREGATION and "__n" in line, f"{name}: {line.strip()[:160]}"
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
