@@ -14,6 +14,7 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ruleframe.suites import RECORD_FIELDS, record_ddl
 
@@ -43,7 +44,8 @@ class Binding:
     def field_names(self) -> list[str]:
         """Record fields: from the DDL for JSON, else the mapping or the benchmark record."""
         if self.kind == "json":
-            return [f.strip().split()[0].strip("`") for f in self.ddl.split(",") if f.strip()]
+            # Spark's own DDL parser: nested types and quoted names hold commas
+            return [f.name for f in T.StructType.fromDDL(self.ddl).fields]
         if self.columns:
             return list(self.columns)
         return [n for n, _ in RECORD_FIELDS]

@@ -199,3 +199,14 @@ def test_custom_record_fields(spark):
               bind_json("j", "amount DOUBLE, currency STRING")):
         got = [r["quality"] for r in with_vector(spark, df, suite, b).orderBy(F.col("amt").desc_nulls_last()).collect()]
         assert got == expected, b.kind
+
+
+def test_json_binding_with_nested_ddl(spark):
+    """Field names come from Spark's DDL parser, so nested types with commas are fine."""
+    ddl = "location STRING, extra STRUCT<a: INT, b: INT>, id INT, tags MAP<STRING, INT>, department STRING"
+    b = bind_json("payload", ddl)
+    assert b.field_names == ["location", "extra", "id", "tags", "department"]
+    df = spark.createDataFrame([('{"location":"US","extra":{"a":1,"b":2},"id":3,"department":"sales"}',)],
+                               "payload string")
+    rec = b.prepare(df).select(b.record().alias("r")).first()["r"]
+    assert rec["location"] == "US" and rec["extra"]["b"] == 2 and rec["tags"] is None
