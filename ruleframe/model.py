@@ -61,7 +61,7 @@ class FunctionDef:
     def create_sql(self) -> str:
         args = ", ".join(f"{p} {t}" for p, t in self.params)
         return (
-            f"CREATE OR REPLACE TEMPORARY FUNCTION `{self.name}`({args}) "
+            f"CREATE OR REPLACE TEMPORARY FUNCTION `{self.name.replace('`', '``')}`({args}) "
             f"RETURNS {self.returns} RETURN {self.body}"
         )
 

@@ -73,9 +73,10 @@ class Binding:
     def parsed(self) -> Column:
         if not self.bad_records_null:
             return F.from_json(F.col(self.source), self.ddl)
+        ddl = self.ddl if CORRUPT_FIELD in self.field_names else f"{self.ddl}, {CORRUPT_FIELD} STRING"
         return F.from_json(
             F.col(self.source),
-            f"{self.ddl}, {CORRUPT_FIELD} STRING",
+            ddl,
             {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_FIELD},
         )
 
