@@ -53,11 +53,6 @@ def write_noop(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def count_rows(df: DataFrame) -> int:
-    """Row count.  Note: Catalyst prunes unused columns, so rules are not evaluated."""
-    return df.count()
-
-
 def cache_count(df: DataFrame) -> tuple[DataFrame, int]:
     """Persist (memory, spilling to disk) and count; the persisted frame is reused later."""
     p = df.persist(StorageLevel.MEMORY_AND_DISK)
