@@ -43,6 +43,10 @@ def hot_keys(big: DataFrame, cols: Sequence[str], partitions: int | None = None)
     per task).  At most ``partitions`` keys can be hot, so the list brought
     to the driver is bounded whatever the size of ``big``.  NULL keys are
     left out (an equi-join never matches them; :func:`skew_join` spreads them).
+
+    Both passes read ``big`` again: cheap for a Parquet scan (key columns
+    only), not for an expensive derived frame, which is better written to
+    the shared folder (``sources.io.scratch_path``) and read back first.
     """
     parts = partitions or _partitions(big.sparkSession)
     total = big.count()
