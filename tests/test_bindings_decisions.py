@@ -170,9 +170,14 @@ def test_distinct_suite_results_equal_generic(spark):
     edge = customer_edge_records(spark, SF001)
     cases = [(bind_fields(), False), (bind_fields(), True),
              (bind_json("payload", CUSTOMER_DDL, bad_records_null=True), False)]
-    for b, compat in cases:
-        generic = distinct_results(run_rules(spark, edge, sql_suite(), b, compat=compat), "quality")
-        fast = distinct_suite_results(spark, edge, sql_suite(), b, compat=compat)
+    from ruleframe.model import Id, RuleSet, RuleSuite
+
+    base = sql_suite()
+    rules = base.sets[0].rules
+    two_sets = RuleSuite(Id(1, 1), (RuleSet(Id(1, 1), rules[:8]), RuleSet(Id(2, 1), rules[8:])), base.functions)
+    for suite, b, compat in [(base, *c) for c in cases] + [(two_sets, bind_fields(), False)]:
+        generic = distinct_results(run_rules(spark, edge, suite, b, compat=compat), "quality")
+        fast = distinct_suite_results(spark, edge, suite, b, compat=compat)
         assert generic.count() > 1
         assert generic.exceptAll(fast).count() == 0 and fast.exceptAll(generic).count() == 0
 
