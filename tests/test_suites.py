@@ -136,3 +136,18 @@ def test_generator_spreads_a_hot_key(spark):
     sizes = [r["n"] for r in g.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) == 3000 * 130
     assert len(sizes) == 8 and max(sizes) < 1.2 * min(sizes)
+
+
+def test_count_evaluated_same_for_vector_and_both_audit_layouts(spark):
+    """Failed / passed / undecided counts read the vector, the audit or the compatible audit alike."""
+    from ruleframe.sources.io import count_evaluated
+    from ruleframe.sources.tables import customer_edge_records
+
+    # all fields NULL: every rule is NULL (undecided); plus the edge records, which all fail some rule
+    blank = spark.createDataFrame([(None, None, None)] * 3, "location string, department string, id bigint")
+    recs = customer_edge_records(spark, SF001).select("location", "department", "id").unionByName(blank)
+    vec = count_evaluated(with_vector(spark, recs, sql_suite()), "quality").first()
+    aud = count_evaluated(run_rules(spark, recs, sql_suite()), "quality").first()
+    cmp_ = count_evaluated(run_rules(spark, recs, sql_suite(), compat=True), "quality").first()
+    assert vec == aud == cmp_
+    assert (vec["rows"], vec["n_failed"], vec["n_passed"], vec["n_undecided"]) == (153, 150, 0, 3)
