@@ -49,3 +49,27 @@ def test_stream_equals_batch(spark):
         "id", "idPrefix", "location", "quality")
     assert streamed.count() == batch.count() == 2600
     assert streamed.exceptAll(batch).count() == 0
+
+
+def test_skew_join_on_a_stream(spark):
+    """A streaming big side skips the hot-key count; the salted stream-static join gives the batch rows."""
+    from pyspark.sql import functions as F
+
+    from ruleframe.operators.joins import skew_join
+    from ruleframe.streaming import run_to_parquet
+
+    base = scratch_path(spark, "stream-skew")
+    src = os.path.join(base, "src")
+    rows = spark.range(3000).select(F.col("id").alias("rid"),
+                                    F.when(F.col("id") < 1000, F.lit(5)).when(F.col("id") < 1200, F.lit(None))
+                                    .otherwise(F.col("id") % 50).cast("int").alias("k"))
+    write_parquet(rows, src)
+    small = spark.range(50).select(F.col("id").cast("int").alias("sk"), (F.col("id") * 10).alias("v"))
+    stream = spark.readStream.schema("rid bigint, k int").parquet(src)
+    joined = skew_join(stream, small, [("k", "sk")], "left", salt_key="rid")
+    assert joined.isStreaming
+    run_to_parquet(joined.select("rid", "v"), os.path.join(base, "sink"), os.path.join(base, "ckpt"), 120)
+    got = spark.read.parquet(os.path.join(base, "sink"))
+    want = spark.read.parquet(src).join(small, F.col("k") == F.col("sk"), "left").select("rid", "v")
+    assert got.count() == 3000
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
