@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from ruleframe.llm import quality, tokens, urls
+from ruleframe.llm import quality, simhash, tokens, urls
 from ruleframe.llm.common import importable, table
 
 # Where the public tokenizer files are; None: the place that the public_tokenizers package names.
@@ -33,6 +33,12 @@ def registered(query):
     return run
 
 
+@registered
+def op2_simhash_pivots(spark, sf_dir):
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @registered
 def op3_quality_ledger(spark, sf_dir):
     rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))

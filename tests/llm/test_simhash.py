@@ -1,0 +1,104 @@
+"""SimHash near-duplicates against brute force over all pairs of fingerprints."""
+
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from ruleframe.llm import simhash
+from ruleframe.llm.graphs import components
+
+
+def _roots(nodes, edges):
+    parent = {x: x for x in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[find(a)] = find(b)
+    least = {}
+    for x in nodes:
+        least[find(x)] = min(least.get(find(x), x), x)
+    return {x: least[find(x)] for x in nodes}
+
+
+def _signed(x):
+    return int(np.array([x], np.uint64).view(np.int64)[0])
+
+
+def _clusters(seed, centres, each, most_bits):
+    rng = random.Random(seed)
+    out = {0}
+    for _ in range(centres):
+        c = rng.getrandbits(64)
+        out.add(c)
+        for _ in range(each):
+            x = c
+            for _ in range(rng.randint(1, most_bits)):
+                x ^= 1 << rng.randrange(64)
+            out.add(x)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cell_rows", [simhash.CELL_ROWS, 3])
+def test_links_connect_what_brute_force_connects(spark, cell_rows):
+    fps = _clusters(5, 30, 25, 5)
+    a = np.array(fps, np.uint64)
+    want = [(fps[i], fps[i + 1 + j]) for i in range(len(a))
+            for j in np.flatnonzero(np.bitwise_count(a[i + 1:] ^ a[i]) <= 2)]
+    df = spark.createDataFrame([(_signed(x),) for x in fps], "fp bigint")
+    got = [(r.a % 2**64, r.b % 2**64) for r in simhash.links(df, cell_rows=cell_rows).collect()]
+    assert all(bin(x ^ y).count("1") <= 2 for x, y in got)
+    assert _roots(fps, got) == _roots(fps, want)
+    if cell_rows == simhash.CELL_ROWS:  # small cells give every pair
+        assert {tuple(sorted(p)) for p in got} == set(want)
+
+
+def test_grid_keeps_close_pairs_together(spark):
+    fps = _clusters(9, 40, 10, 2)
+    df = spark.createDataFrame([(_signed(x),) for x in fps], "fp bigint")
+    placed = simhash.cells(df, 10**6, 2).select("cell", "fp").collect()  # as many coordinates as a million would get
+    by = {}
+    for r in placed:
+        by.setdefault(r.fp % 2**64, set()).add(r.cell)
+    for i, x in enumerate(fps):
+        for y in fps[i + 1:]:
+            if bin(x ^ y).count("1") <= 2:
+                assert by[x] & by[y]
+
+
+def test_components_on_a_long_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 600 + i) for i in range(80)] + [(7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
+    want = _roots({x for e in edges if e[0] != e[1] for x in e}, edges[:-1])
+    assert got == want
+
+
+def _reference(text, k=3):
+    table = {c: c + 32 for c in range(65, 91)}
+    words = [w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in (text or "").translate(table)).split(" ")
+             if w]
+    sh = [" ".join(words[i:i + k]) for i in range(len(words) - k + 1)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+    return _signed(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+
+
+@pytest.mark.parametrize("text", ["", " \n\t ", "One", "one TWO", "a b c", "É é A b c\x1cd e", "x y z x y z x y z",
+                                  "w " * 70_001])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) == _reference(text)
+
+
+def test_edge_rows(spark):
+    rows = [(5, "the same words here", 1), (3, "The SAME words\nhere", 2), (9, None, 3), (8, "", 4), (8, "", 4),
+            (None, "the same words here", 5), (None, "alone and never again seen", 6), (1, "something else entirely", 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, fp int")
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(5, 3), (3, 3), (9, 8), (8, 8), (8, 8), (None, 3), (None, None), (1, 1)], key=repr)
+    empty = simhash.near_duplicates(df.limit(0))
+    assert empty.count() == 0 and empty.columns == ["doc_id", "fp", "component_id"]
