@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from ruleframe.llm import quality, simhash, tokens, urls
+from ruleframe.llm import decontam, quality, simhash, tokens, urls
 from ruleframe.llm.common import importable, table
 
 # Where the public tokenizer files are; None: the place that the public_tokenizers package names.
@@ -66,6 +66,16 @@ def op5_token_counts(spark, sf_dir):
                        (F.col("tokens.n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+@registered
+def op6_benchmark_fm_index(spark, sf_dir):
+    docs = decontam.search(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                           table(spark, sf_dir, "benchmark"))
+    return docs.select("doc_id", "hits.n_words", decontam.n_hit().alias("n_hit"),
+                       F.size("hits.items").cast("bigint").alias("n_items"),
+                       F.sha2(F.array_join(F.sort_array("hits.items"), ","), 256).alias("items_sha256"),
+                       decontam.contaminated().alias("contaminated"))
+
+
 ORACLE["op3_quality_ledger"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
@@ -120,3 +130,32 @@ SELECT u.page_id, u.host, u.path, fit.rule,
 FROM u LEFT JOIN fit ON fit.k = 1 AND u.page_id IS NOT DISTINCT FROM fit.page_id
                     AND u.host = fit.host AND u.path = fit.path
 """
+
+ORACLE["op6_benchmark_fm_index"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(words[i:i + k - 1], ' ') AS w
+       FROM (SELECT item_id, words, least(13, len(words)) AS k,
+                    unnest(range(1, greatest(1, len(words) - 11) + 1)) AS i
+             FROM b WHERE len(words) > 0)),
+dw AS (SELECT rid, k, i, array_to_string(words[i:i + k - 1], ' ') AS w
+       FROM (SELECT rid, words, k, unnest(range(1, len(words) - k + 2)) AS i
+             FROM d, (SELECT DISTINCT k FROM bw) WHERE len(words) >= k)),
+hit AS (SELECT rid, item_id, k, i FROM dw JOIN bw USING (k, w)),
+n AS (SELECT rid, count(DISTINCT p) AS n_hit
+      FROM (SELECT DISTINCT rid, unnest(range(i, i + k)) AS p FROM hit) GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+       FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hit) GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN it USING (rid)
+"""
