@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from ruleframe.llm import decontam, quality, simhash, tokens, urls
+from ruleframe.llm import decontam, packing, quality, simhash, tokens, urls
 from ruleframe.llm.common import importable, table
 
 # Where the public tokenizer files are; None: the place that the public_tokenizers package names.
@@ -76,6 +76,11 @@ def op6_benchmark_fm_index(spark, sf_dir):
                        decontam.contaminated().alias("contaminated"))
 
 
+@registered
+def op8_cutting_stock(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 ORACLE["op3_quality_ledger"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
