@@ -6,8 +6,8 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from ruleframe.llm import decontam, packing, quality, simhash, tokens, urls
-from ruleframe.llm.common import importable, table
+from ruleframe.llm import decontam, packing, quality, simhash, tokens, toxicity, urls
+from ruleframe.llm.common import crc_mod, importable, table
 
 # Where the public tokenizer files are; None: the place that the public_tokenizers package names.
 TOKENIZER_DIR = None
@@ -33,6 +33,15 @@ def registered(query):
     return run
 
 
+@registered
+def op1_factorization_machine(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return toxicity.score(docs, model, out="score").select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @registered
 def op2_simhash_pivots(spark, sf_dir):
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
