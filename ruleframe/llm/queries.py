@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from ruleframe.llm import decontam, packing, quality, simhash, tokens, toxicity, urls
+from ruleframe.llm import decontam, linededup, packing, quality, simhash, tokens, toxicity, urls
 from ruleframe.llm.common import crc_mod, importable, table
 
 # Where the public tokenizer files are; None: the place that the public_tokenizers package names.
@@ -90,6 +90,12 @@ def op8_cutting_stock(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+@registered
+def op10_line_chunks(spark, sf_dir):
+    docs = linededup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", "text")
+
+
 ORACLE["op3_quality_ledger"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
