@@ -73,14 +73,16 @@ def fingerprint(text: str, k: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """Rows (doc_id, fp) of all documents."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3,
+                 mark: Column | None = None) -> DataFrame:
+    """Rows (doc_id, fp[, mark]) of all documents; ``mark`` is any further small expression over a row."""
 
     @F.arrow_udf("bigint")
     def simhash(text: pa.Array) -> pa.Array:
         return pa.array([fingerprint(t, k) for t in texts(text)], pa.int64())
 
-    return docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("fp"),
+                       *([] if mark is None else [mark.alias("mark")]))
 
 
 def pivots(n: int) -> list[int]:
@@ -163,16 +165,21 @@ def links(fps: DataFrame, distance: int = 2, cell_rows: int = CELL_ROWS) -> Data
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3,
-                    distance: int = 2) -> DataFrame:
-    """Rows (doc_id, fp, component_id): the smallest doc_id reachable over links, the document's own included."""
-    prints = written(fingerprints(docs, id_col, text_col, k), "simhash")
+                    distance: int = 2, mark: Column | None = None) -> DataFrame:
+    """Rows (doc_id, fp, component_id, root[, mark]).
+
+    component_id is the smallest doc_id reachable over links, the document's
+    own included; root is the smallest fingerprint, which names components
+    without ids apart.
+    """
+    prints = written(fingerprints(docs, id_col, text_col, k, mark), "simhash")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     nodes = components(links(prints, distance), "a", "b")
     rooted = first.join(nodes, first["fp"] == nodes["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(named, "root").select("fp", "component_id", "root")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root", *prints.columns[2:])
 
 
 def hexadecimal(fp: Column) -> Column:

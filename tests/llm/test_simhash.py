@@ -101,4 +101,4 @@ def test_edge_rows(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=repr)
     assert got == sorted([(5, 3), (3, 3), (9, 8), (8, 8), (8, 8), (None, 3), (None, None), (1, 1)], key=repr)
     empty = simhash.near_duplicates(df.limit(0))
-    assert empty.count() == 0 and empty.columns == ["doc_id", "fp", "component_id"]
+    assert empty.count() == 0 and empty.columns == ["doc_id", "fp", "component_id", "root"]
