@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from ruleframe.llm import decontam, linededup, packing, quality, simhash, tokens, toxicity, urls
+from ruleframe.llm import decontam, linededup, lm, packing, quality, simhash, tokens, toxicity, urls
 from ruleframe.llm.common import crc_mod, importable, table
 
 # Where the public tokenizer files are; None: the place that the public_tokenizers package names.
@@ -90,6 +90,14 @@ def op8_cutting_stock(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+@registered
+def op9_class_ngrams(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
+    model = lm.learn(docs.where(~held_out))
+    return lm.score(docs, model, more=(held_out.alias("held_out"),))
+
+
 @registered
 def op10_line_chunks(spark, sf_dir):
     docs = linededup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
