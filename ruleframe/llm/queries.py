@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from ruleframe.llm import decontam, linededup, lm, packing, quality, simhash, tokens, toxicity, urls
+from ruleframe.llm import decontam, linededup, lm, packing, pii, quality, simhash, tokens, toxicity, urls
 from ruleframe.llm.common import crc_mod, importable, table
 
 # Where the public tokenizer files are; None: the place that the public_tokenizers package names.
@@ -85,6 +85,16 @@ def op6_benchmark_fm_index(spark, sf_dir):
                        decontam.contaminated().alias("contaminated"))
 
 
+@registered
+def op7_personal_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pii.find(docs, model=pii.learn(docs))
+    base = F.col("pii.base")
+    return rows.select(
+        "doc_id", *[pii.count_of(base, k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.concat(base, "pii.added")).alias("spans"))
+
+
 @registered
 def op8_cutting_stock(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
