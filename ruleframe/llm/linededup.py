@@ -119,8 +119,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .where("n > 1").select("key", "first"), "repeats")
     found = keys.join(repeats, "key").select(
         "id", "h", "kind", "start", "size", "key",
-        (F.struct("id", "h", "start").eqNullSafe(F.col("first"))).alias("is_first")).distinct()
-    found = found.groupBy("id", "h").agg(F.collect_list(F.struct("kind", "start", "size", "key", "is_first"))
+        (F.struct("id", "h", "start").eqNullSafe(F.col("first"))).alias("is_first"))
+    found = found.groupBy("id", "h").agg(F.collect_set(F.struct("kind", "start", "size", "key", "is_first"))
                                          .alias("__found"))  # at most two entries for a line
     joined = written(own.join(found, own[id_col].eqNullSafe(found["id"]) & (own["__h"] == found["h"]), "left")
                      .drop("id", "h"), "lines")
