@@ -21,6 +21,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from functools import lru_cache
 
@@ -34,7 +35,6 @@ from ruleframe.llm.common import texts, written
 SEQUENCE = 2048
 UNIT = 8
 END_ID = 1
-SLICE_PIECES = 20_000   # pieces ranked together in one window
 GAP = 5e-4              # the linear program is solved to this relative gap
 ROUNDS = 4_000          # pivots at most; stopping earlier only costs padding
 
@@ -233,7 +233,7 @@ def layout(demand: dict[int, int], room: int) -> list[tuple[int, int, int, int]]
 
 def _ranked(rows: DataFrame, n: int) -> DataFrame:
     """``rank`` of each row within its class, from 0; slices of a class are ranked apart and offset."""
-    slices = max(1, -(-n // SLICE_PIECES))
+    slices = max(1, math.isqrt(n))  # balances the rows of a hot class's slice against the slices of a class
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)))
     sizes = rows.groupBy("class", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
