@@ -120,10 +120,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = keys.join(repeats, "key").select(
         "id", "h", "kind", "start", "size", "key",
         (F.struct("id", "h", "start").eqNullSafe(F.col("first"))).alias("is_first"))
-    found = found.groupBy("id", "h").agg(F.collect_set(F.struct("kind", "start", "size", "key", "is_first"))
+    found = found.groupBy(F.col("id").alias("__id"), F.col("h").alias("__hh")).agg(F.collect_set(F.struct("kind", "start", "size", "key", "is_first"))
                                          .alias("__found"))  # at most two entries for a line
-    joined = written(own.join(found, own[id_col].eqNullSafe(found["id"]) & (own["__h"] == found["h"]), "left")
-                     .drop("id", "h"), "lines")
+    joined = written(own.join(found, own[id_col].eqNullSafe(found["__id"]) & (own["__h"] == found["__hh"]), "left")
+                     .drop("__id", "__hh"), "lines")
     lines = F.split(F.col(text_col), "\n", -1)
     # byte comparison: a key whose occurrences hold more than one text is no repeat by itself
     texts = (joined.where(F.col("__found").isNotNull())
@@ -138,13 +138,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         late = (odd.join(first, ["key", "text"])
                 .where(~F.struct("id", "__h", "start").eqNullSafe(F.col("first")))
                 .select("id", F.col("__h").alias("h"), F.struct("kind", "start", "size", "key").alias("f")).distinct()
-                .groupBy("id", "h").agg(F.collect_list("f").alias("__late")))
+                .groupBy(F.col("id").alias("__id"), F.col("h").alias("__hh")).agg(F.collect_list("f").alias("__late")))
         fine = (texts.join(mixed, "key", "left_anti").where(~F.col("is_first"))
                 .select("id", F.col("__h").alias("h"), F.struct("kind", "start", "size", "key").alias("f")).distinct()
-                .groupBy("id", "h").agg(F.collect_list("f").alias("__fine")))
+                .groupBy(F.col("id").alias("__id"), F.col("h").alias("__hh")).agg(F.collect_list("f").alias("__fine")))
         for part in (late, fine):
-            joined = joined.join(part, joined[id_col].eqNullSafe(part["id"]) & (joined["__h"] == part["h"]),
-                                 "left").drop("id", "h")
+            joined = joined.join(part, joined[id_col].eqNullSafe(part["__id"]) & (joined["__h"] == part["__hh"]),
+                                 "left").drop("__id", "__hh")
         none = F.array().cast(joined.schema["__late"].dataType)
         repeated = F.concat(F.coalesce("__late", none), F.coalesce("__fine", none))
     touched = F.exists(repeated, lambda x: x["kind"] == CHUNK)
