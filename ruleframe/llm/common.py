@@ -45,3 +45,23 @@ def importable(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def most_frequent(counts: DataFrame, key: str, n: str, rows: int) -> list:
+    """Rows with the largest ``n``, at most ``rows``, largest first.
+
+    A cut is taken from a histogram over 16 steps to each power of two, so
+    that the driver is sent no more than that from all tasks together (a
+    sorted limit sends as much from each task).  Rows tied in the step where
+    the limit falls are left out.
+    """
+    step = F.floor(F.log2(F.col(n)) * 16).cast("int")
+    total, cut = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > rows:
+            break
+        cut = r["step"]
+    if cut is None:
+        return []
+    return sorted(counts.where(step >= cut).select(key, n).collect(), key=lambda r: (-r[n], r[key]))

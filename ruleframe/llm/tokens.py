@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleframe.llm.common import texts
+from ruleframe.llm.common import most_frequent, texts, written
 
 MARK = "▁"
 CUT = re.compile(" +[^ ]+| +$")
@@ -87,8 +87,9 @@ def frequent(docs: DataFrame, path: str, text_col: str = "text", rows: int = TAB
 
     Each task hands on at most SUMMARY_ROWS rows; the driver receives at most ``rows``.
     """
-    top = (docs.select(F.col(text_col)).mapInArrow(summarize, "cut string, n bigint")
-           .groupBy("cut").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cut").limit(rows).collect())
+    sums = written(docs.select(F.col(text_col)).mapInArrow(summarize, "cut string, n bigint")
+                   .groupBy("cut").agg(F.sum("n").alias("n")), "cuts")
+    top = most_frequent(sums, "cut", "n", rows)
     lengths = Lengths(path, rows + 1)
     return {r["cut"]: lengths[r["cut"]] for r in top}
 
