@@ -6,6 +6,7 @@ compiles to Spark columns; nothing in this module touches data.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from typing import Iterable, Mapping
 
@@ -13,6 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+# What a placeholder may not be looked for in: string literals (raw ones take no escapes), quoted names, comments.
+_OPAQUE = r"""(?:\b[rR]'[^']*'|\b[rR]"[^"]*"|'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/)"""
+_TOKEN = re.compile(_OPAQUE + r"|\{([A-Za-z_]\w*)\}|\b(cast)(?=\s*\()", re.S | re.I)
+
+
+def fill(text: str, refs: Mapping[str, str], lenient: bool = False) -> str:
+    """Rule text with its ``{field}`` placeholders replaced.
+
+    Only a field name in braces outside literals, quoted names and comments
+    is a placeholder; every other brace (a regex quantifier, a JSON path) is
+    part of the SQL and stays.
+    """
+    def one(m: re.Match) -> str:
+        if m[1]:
+            return refs[m[1]]
+        return "try_cast" if m[2] and lenient else m[0]
+
+    return _TOKEN.sub(one, text)
+
+
 @dataclass(frozen=True, order=True)
 class Id:
     """Identity with version, used on suites, sets, rules and functions."""
@@ -33,8 +54,9 @@ class Rule:
     id: Id
     expr: str
 
-    def sql(self, refs: Mapping[str, str]) -> str:
-        return self.expr.format_map(refs)
+    def sql(self, refs: Mapping[str, str], lenient: bool = False) -> str:
+        """The text over a binding; ``lenient`` turns a failing cast into NULL (``try_cast``) instead of an error."""
+        return fill(self.expr, refs, lenient)
 
 
 @dataclass(frozen=True)
@@ -72,10 +94,24 @@ class RuleSuite:
     sets: tuple[RuleSet, ...]
     functions: tuple[FunctionDef, ...] = field(default_factory=tuple)
 
+    def __post_init__(self):
+        """Results are keyed by set id and rule id, so each may occur once (in one version)."""
+        sets = [s.id.id for s in self.sets]
+        if len(set(sets)) < len(sets):
+            raise ValueError(f"rule set ids repeat: {sorted(sets)}")
+        for s in self.sets:
+            ids = [r.id.id for r in s.rules]
+            if len(set(ids)) < len(ids):
+                raise ValueError(f"rule ids repeat in set {s.id.id}: {sorted(ids)}")
+
     def rules(self) -> list[tuple[RuleSet, Rule]]:
         """Rules in suite order, each with its set."""
         return [(s, r) for s in self.sets for r in s.rules]
 
+    def fields(self) -> set[str]:
+        """Record fields that the rules name."""
+        return {m[1] for _, r in self.rules() for m in _TOKEN.finditer(r.expr) if m[1]}
+
     def with_functions(self, extra: Iterable[FunctionDef]) -> "RuleSuite":
         """Merge another function library in (later definitions win by name)."""
         by_name = {f.name.lower(): f for f in self.functions}
@@ -86,8 +122,8 @@ class RuleSuite:
     def metadata(self, spark: SparkSession) -> DataFrame:
         """One row per rule: suite, set and rule ids with versions, and the text.
 
-        Small by construction (one row per rule), so joins against it are
-        planned as broadcast joins by the size-based planner.
+        One row per rule.  The planner has no size for a frame built on the
+        driver, so a join must broadcast the small side by hint.
         """
         schema = T.StructType(
             [

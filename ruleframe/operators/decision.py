@@ -9,6 +9,7 @@ named columns, and a decision service is a projection of chosen outputs.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import product
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +22,6 @@ from ruleframe.operators.joins import join_small
 from ruleframe.sources.bindings import Binding, bind_fields
 from ruleframe.suites import GROUPS, MISSING
 
-# Above this many rows a decision table is evaluated as a join, not a CASE.
-CASE_ROW_LIMIT = 64
-
 HIT_POLICIES = ("UNIQUE", "FIRST", "ANY", "COLLECT")
 
 
@@ -52,10 +50,20 @@ class DecisionTable:
             return F.array(*[F.lit(x) for x in v]).cast(self.output_type)
         return F.lit(v).cast(self.output_type)
 
+    def check(self) -> None:
+        """Raises where the rows break the hit policy: UNIQUE (one row an input), ANY (one output an input)."""
+        seen: dict = {}
+        for k, v in self.rows:
+            if k in seen and (self.hit_policy == "UNIQUE" or self.hit_policy == "ANY" and seen[k] != v):
+                raise ValueError(f"decision table {self.name}: input {k!r} breaks hit policy {self.hit_policy}")
+            seen.setdefault(k, v)
+
     def column(self, value: Column) -> Column:
-        """CASE form (FIRST semantics over rows in order; UNIQUE tables agree)."""
-        if len(self.rows) > CASE_ROW_LIMIT:
-            raise ValueError(f"{len(self.rows)} rows: use lookup() (a join) for large tables")
+        """CASE form: the first matching row (the only one for UNIQUE, any of equals for ANY), or all for COLLECT.
+
+        Any number of rows; :meth:`lookup` gives the same and plans faster for many.
+        """
+        self.check()
         if self.hit_policy == "COLLECT":
             return self.collect_column(value)
         out = None
@@ -85,9 +93,15 @@ class DecisionTable:
         return self.frame(spark).select("input", F.explode("output").alias("member"))
 
     def lookup(self, spark: SparkSession, df: DataFrame, value_col: str, out: str) -> DataFrame:
-        """Join form: left join on the input value; size-checked broadcast."""
-        t = self.frame(spark).withColumnRenamed("output", out)
-        return join_small(df, t, [(value_col, "input")], len(self.rows), how="left").drop("input")
+        """Join form, same answers as :meth:`column`: one row for each row of ``df``."""
+        self.check()
+        rows = [(i, k, list(v) if isinstance(v, tuple) else v) for i, (k, v) in enumerate(self.rows)]
+        table = spark.createDataFrame(rows, f"position int, input {self.input_type}, output {self.output_type}")
+        default = None if self.default is None else self._lit(self.default)
+        return lookup_frame(df, table, value_col, out, self.hit_policy, default, self._bytes())
+
+    def _bytes(self) -> int:
+        return sum(len(str(k)) + len(str(v)) + 16 for k, v in self.rows)
 
     def conflicts(self, spark: SparkSession) -> DataFrame:
         """Inputs matched by more than one row: a UNIQUE violation."""
@@ -100,12 +114,42 @@ class DecisionTable:
         one row at most per record and broadcasts a side no larger than the table.
         """
         counts = self.frame(spark).groupBy("input").agg(F.count(F.lit(1)).alias("hits"))
-        j = join_small(df, counts, [(value_col, "input")], len(self.rows), how="left")
+        j = join_small(df, counts, [(value_col, "input")], self._bytes(), "left")
         hits = F.coalesce(F.col("hits"), F.lit(0)).cast("int")
         ok = hits <= 1 if self.hit_policy == "UNIQUE" else F.lit(True)
         return j.withColumn("hits", hits).withColumn("policy_ok", ok).drop("input")
 
 
+def lookup_frame(df: DataFrame, table: DataFrame, value_col: str, out: str, hit_policy: str = "UNIQUE",
+                 default: Column | None = None, table_bytes: int | None = None) -> DataFrame:
+    """``df`` with the output of a decision table that is a frame (position, input, output), of any size.
+
+    The table is aggregated to one row an input by its hit policy, so the
+    left join keeps the rows of ``df`` as they are.  An input that breaks
+    UNIQUE or ANY fails the job.  COLLECT gives an array in table order
+    (empty without a match); other policies give ``default`` without one.
+    """
+    if hit_policy not in HIT_POLICIES:
+        raise ValueError(f"hit policy {hit_policy!r} not in {HIT_POLICIES}")
+    output = F.col("output")
+    if hit_policy == "COLLECT":
+        value = F.transform(F.array_sort(F.collect_list(F.struct("position", "output"))), lambda x: x["output"])
+    else:
+        value = F.min_by(output, "position")
+        broken = {"UNIQUE": F.count(F.lit(1)) > 1,
+                  "ANY": F.min(F.to_json(F.struct("output"))) < F.max(F.to_json(F.struct("output")))}.get(hit_policy)
+        if broken is not None:
+            value = F.when(broken, F.raise_error(F.concat(
+                F.lit(f"hit policy {hit_policy} broken by input "), F.first("input").cast("string")))).otherwise(value)
+    rows = table.groupBy("input").agg(value.alias("__output"), F.first(F.lit(True)).alias("__hit"))
+    joined = join_small(df, rows, [(value_col, "input")], table_bytes, "left").drop("input")
+    if hit_policy == "COLLECT":
+        default = F.array().cast(joined.schema["__output"].dataType)
+    # by the match, not by NULL: a matched row may hold a NULL output
+    found = F.when(F.col("__hit"), F.col("__output"))
+    return joined.withColumn(out, found if default is None else found.otherwise(default)).drop("__output", "__hit")
+
+
 def group_table(hit_policy: str = "UNIQUE") -> DecisionTable:
     """Group name -> member locations, no default row (the decision model's table)."""
     return DecisionTable("locations_expanded", tuple((g, ms) for g, ms in GROUPS.items()), hit_policy=hit_policy)
@@ -119,23 +163,33 @@ def member_table() -> DecisionTable:
 
 @dataclass(frozen=True)
 class DecisionModel:
-    """A decision ``evaluate``: named boolean entries r1..rN, then the list of them.
+    """Decisions over the named boolean entries of a suite.
 
-    ``functions`` are the imported business functions (merged function
-    libraries); ``services`` name the decisions each service exposes.
+    ``decisions`` maps a decision to the (set id, rule id) pairs it lists, in
+    order; the first decision of the default, ``evaluate``, lists every rule.
+    ``services`` name the decisions that each service exposes.  The suite's
+    functions are the imported business functions.
     """
 
     suite: RuleSuite
-    decision: str = "evaluate"
+    decisions: dict = field(default_factory=dict)
     services: dict = field(default_factory=lambda: {"DQService": ("evaluate",)})
 
+    def _key(self, rule_set, rule) -> tuple[int, int]:
+        return rule_set.id.id, rule.id.id
+
+    def all_decisions(self) -> dict:
+        return {"evaluate": tuple(self._key(s, r) for s, r in self.suite.rules()), **self.decisions}
+
     def entry_names(self) -> list[str]:
-        return [f"r{r.id.id}" for _, r in self.suite.rules()]
+        """r<rule>, with s<set>_ before it when there are several sets (rule ids may repeat between them)."""
+        several = len(self.suite.sets) > 1
+        return [(f"s{s.id.id}_" if several else "") + f"r{r.id.id}" for s, r in self.suite.rules()]
 
     def context(self, binding: Binding) -> Column:
-        """struct of the named entries r1..rN (each a boolean)."""
+        """struct of the named entries (each a boolean)."""
         refs = binding.refs()
-        return F.struct(*[F.expr(r.sql(refs)).alias(n)
+        return F.struct(*[F.expr(r.sql(refs, binding.errors_null)).alias(n)
                           for n, (_, r) in zip(self.entry_names(), self.suite.rules())])
 
     def evaluate(self, spark: SparkSession, df: DataFrame, binding: Binding | None = None,
@@ -143,17 +197,23 @@ class DecisionModel:
                  with_context: bool = False) -> DataFrame:
         """Append the decision result.
 
-        service=None evaluates every decision of the model.  The result is
-        struct<evaluate: array<boolean>> (or its JSON text); with_context
-        also keeps the named entries.  Rows whose JSON input cannot be read
-        get a NULL result when the binding asks for it.
+        A struct with one array<boolean> field for each decision that
+        ``service`` exposes (None: every decision of the model), or its JSON
+        text; with_context also keeps the named entries.  Rows whose JSON
+        input cannot be read get a NULL result when the binding asks for it.
         """
         b = binding or bind_fields()
+        if "__ctx" in df.columns:
+            raise ValueError("column __ctx is used inside: rename it")
         register_functions(spark, self.suite.functions)
-        staged = b.prepare(df).withColumn("__ctx", self.context(b))
-        decisions = {self.decision: F.array(*[F.col("__ctx").getField(n) for n in self.entry_names()])}
+        staged = b.prepare(df, self.suite.fields()).withColumn("__ctx", self.context(b))
+        entry = {self._key(s, r): n for n, (s, r) in zip(self.entry_names(), self.suite.rules())}
+        decisions = self.all_decisions()
         names = list(decisions) if service is None else list(self.services[service])
-        fields = [decisions[n].alias(n) for n in names]
+        unknown = [n for n in names if n not in decisions]
+        if unknown:
+            raise ValueError(f"service {service!r} exposes unknown decisions {unknown}")
+        fields = [F.array(*[F.col("__ctx").getField(entry[k]) for k in decisions[n]]).alias(n) for n in names]
         if with_context:
             fields.append(F.col("__ctx").alias("context"))
         res = F.struct(*fields)
@@ -165,41 +225,52 @@ class DecisionModel:
         return b.cleanup(staged.withColumn(out, res).drop("__ctx"))
 
 
-def rule_table_frame(spark: SparkSession, rule_table) -> tuple[DataFrame, int]:
-    """Rules in long form with an exact row count.
+@dataclass(frozen=True)
+class Condition:
+    """A rule as data: every field is one of its values; the fields in ``missing`` are null or blank."""
 
-    One row per (membership rule, member location): (false, member,
-    department, rule_id); one per missing-id rule: (true, '', department,
-    rule_id).  The flag keeps the two kinds of key apart.
-    """
-    rows = [(False, m, dept, rid) for rid, test, dept in rule_table if test != MISSING for m in GROUPS[test]]
-    rows += [(True, "", dept, rid) for rid, test, dept in rule_table if test == MISSING]
-    df = spark.createDataFrame(rows, "rule_missing boolean, rule_location string, rule_department string, rule_id int")
-    return df, len(rows)
+    rule_id: int
+    values: dict
+    missing: tuple[str, ...] = ()
+
+
+def conditions(rule_table) -> list[Condition]:
+    """The benchmark's rules (location group or missing id, and department) as data."""
+    return [Condition(rid, {"department": (dept,)}, ("id",)) if test == MISSING
+            else Condition(rid, {"location": GROUPS[test], "department": (dept,)}) for rid, test, dept in rule_table]
 
 
-def rule_hits(spark: SparkSession, records: DataFrame, rule_table, key: str,
-              binding: Binding | None = None) -> DataFrame:
+def rule_hits(spark: SparkSession, records: DataFrame, rules, key: str, binding: Binding | None = None) -> DataFrame:
     """(key, rule_id) for every rule that is TRUE on a record, by one equi-join.
 
-    The long-form alternative to a rule vector for very wide suites.  Each
-    record emits at most two probe keys - (false, location, department) and,
-    when its id is missing, (true, '', department) - and a single
-    size-checked join against the long-form rule table finds the rules they
-    satisfy.  One scan of the records; output <= rules x records.  NULL
-    location or department matches nothing, as a NULL rule result is not TRUE.
+    ``rules``: :class:`Condition` rows over any fields, or the benchmark's
+    rule table.  Rules over the same fields share a shape.  A record emits
+    one probe a shape - its values as text - and one join with the rules in
+    long form (a row for each combination of values) finds those it meets.
+    One scan of the records; output <= rules x records.  A NULL value matches
+    nothing, as a NULL rule result is not TRUE; a bad record matches nothing.
     """
+    rules = [r if isinstance(r, Condition) else conditions([r])[0] for r in rules]
     b = binding or bind_fields()
     prepared = b.prepare(records)
-    rec = prepared.select(F.col(key).alias(key), b.record().alias("r"))
-    dept = F.col("r.department")
-    probes = F.array(
-        F.struct(F.lit(False).alias("m"), F.col("r.location").alias("l"), dept.alias("d")),
-        F.when(is_missing(F.col("r.id")), F.struct(F.lit(True).alias("m"), F.lit("").alias("l"), dept.alias("d"))),
-    )
-    probe = (rec.select(key, F.explode(probes).alias("p"))
-             .where(F.col("p").isNotNull()).select(key, "p.m", "p.l", "p.d"))
-    rules, n = rule_table_frame(spark, rule_table)
-    joined = join_small(probe, rules, [("m", "rule_missing"), ("l", "rule_location"), ("d", "rule_department")], n,
-                        salt_key=key)
-    return joined.select(key, "rule_id")
+    bad = b.bad_record()
+    if bad is not None:
+        prepared = prepared.where(~F.coalesce(bad, F.lit(False)))
+    shapes = sorted({(tuple(sorted(r.values)), tuple(sorted(r.missing))) for r in rules})
+    long_form = [(shapes.index((tuple(sorted(r.values)), tuple(sorted(r.missing)))), [str(v) for v in combination], r.rule_id)
+                 for r in rules for combination in product(*[r.values[f] for f in sorted(r.values)])]
+    table = spark.createDataFrame(long_form, "rule_shape int, rule_values array<string>, rule_id int")
+    value = lambda f: F.expr(b.ref(f))
+    probes = []
+    for i, (fields, missing) in enumerate(shapes):
+        met = F.lit(True)
+        for f in fields:
+            met = met & value(f).isNotNull()
+        for f in missing:
+            met = met & is_missing(value(f))
+        probes.append(F.when(met, F.struct(F.lit(i).alias("shape"), F.array(
+            *[value(f).cast("string") for f in fields]).cast("array<string>").alias("values"))))
+    probe = (prepared.select(F.col(key).alias(key), F.explode(F.array(*probes)).alias("p")).where(F.col("p").isNotNull())
+             .select(key, "p.shape", "p.values"))
+    return join_small(probe, table, [("shape", "rule_shape"), ("values", "rule_values")],
+                      small_bytes=sum(24 + sum(len(v) + 8 for v in row[1]) for row in long_form)).select(key, "rule_id")

@@ -8,25 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A side with at most this many rows is broadcast.  Callers pass a row count
-# they know exactly (built from driver-side metadata), never an estimate.
-BROADCAST_ROW_LIMIT = 200_000
+# A side of at most this many bytes (as text) is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
-def join_small(big: DataFrame, small: DataFrame, on: Sequence[tuple[str, str]], small_rows: int,
-               how: str = "inner", salt_key: str | None = None, limit: int | None = None) -> DataFrame:
+def text_bytes(small: DataFrame) -> int:
+    """Size of a frame as text: one aggregation over it, partial in each task."""
+    return small.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+
+
+def join_small(big: DataFrame, small: DataFrame, on: Sequence[tuple[str, str]], small_bytes: int | None = None,
+               how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Equi-join ``big`` to ``small`` on (big column, small column) pairs.
 
-    ``small_rows`` at or below ``limit``: broadcast ``small`` (no shuffle of
-    ``big``).  Above it: a shuffle join in which hot keys are salted (see
-    :func:`skew_join`).  ``how`` is "inner" or "left" (``big`` kept).
+    ``small`` is broadcast if it holds at most ``limit`` bytes: ``small_bytes``
+    where the caller knows them (built from driver-side rows), else measured.
+    A larger one is joined by shuffle, its hot keys split at run time by the
+    adaptive skew join.  ``how`` is "inner" or "left" (``big`` kept).
     """
-    limit = BROADCAST_ROW_LIMIT if limit is None else limit
-    if small_rows <= limit:
-        bsmall = F.broadcast(small)
-        cond = [big[b] == bsmall[s] for b, s in on]
-        return big.join(bsmall, cond, how)
-    return skew_join(big, small, on, how, salt_key)
+    if (text_bytes(small) if small_bytes is None else small_bytes) <= limit:
+        small = F.broadcast(small)
+    return big.join(small, [big[b] == small[s] for b, s in on], how)
 
 
 def _partitions(spark) -> int:

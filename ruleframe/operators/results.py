@@ -92,47 +92,50 @@ def distinct_suite_results(spark: SparkSession, df: DataFrame, suite: RuleSuite,
     return res.groupBy(comparable(F.col("__r"), dtype).alias(out)).agg(F.sum("__n").alias("n"))
 
 
-# Up to this many rules, counts are one row of 3 x N aggregates; above it,
-# the vector is exploded into (rule id, result) pairs and grouped (aggregate count and
-# generated code would otherwise grow with N).
-WIDE_RULES = 64
+def padded(vector: Column, n: int) -> Column:
+    """The vector with exactly ``n`` elements: a NULL or short vector is filled up with NULL results."""
+    none = F.array().cast("array<boolean>")
+    return F.slice(F.concat(F.coalesce(vector, none), F.array_repeat(F.lit(None).cast("boolean"), n)), 1, n)
+
+
+def _counts_by_position(df: DataFrame, vector: str, n: int) -> DataFrame:
+    """(position, n_true, n_false, n_null): rows are grouped by their vector first (partial counts per task),
+    and only distinct vectors are spread over the rules, whatever their number."""
+    per_vector = df.groupBy(F.col(vector).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = per_vector.select("n", F.posexplode(padded(F.col("v"), n)).alias("position", "r"))
+    zero = F.lit(0).cast("bigint")
+    return pairs.groupBy("position").agg(
+        F.sum(F.when(F.col("r"), F.col("n")).otherwise(zero)).alias("n_true"),
+        F.sum(F.when(~F.col("r"), F.col("n")).otherwise(zero)).alias("n_false"),
+        F.sum(F.when(F.col("r").isNull(), F.col("n")).otherwise(zero)).alias("n_null"))
+
+
+def _with_counts(meta: DataFrame, counts: DataFrame) -> DataFrame:
+    """Every rule of ``meta`` (by position) with its counts, zero where there was no row."""
+    counts = F.broadcast(counts.withColumnRenamed("position", "at"))  # at most one row for each rule
+    zero = F.lit(0).cast("bigint")
+    return (meta.join(counts, meta["position"] == counts["at"], "left").drop("at", "position")
+            .withColumns({c: F.coalesce(c, zero) for c in ("n_true", "n_false", "n_null")}))
 
 
 def rule_counts(df: DataFrame, vector: str, rule_ids: Sequence[int]) -> DataFrame:
-    """Per rule: rows TRUE, FALSE and NULL, as (rule_id, n_true, n_false, n_null).
+    """Per element of the vector: rows TRUE, FALSE and NULL, as (rule_id, n_true, n_false, n_null).
 
-    Narrow suites: one global aggregation of 3 x N conditional counts
-    (partial per task, one tiny shuffle), then unpivoted; rows are not
-    multiplied by N.  Wide suites: (rule id, result) pairs exploded into a
-    partial aggregation by rule id, so each task still emits at most N rows.
+    One row for each given id, in any number, equal ids included; an empty
+    frame gives zeros, a NULL vector counts as NULL for every rule.
     """
-    if len(rule_ids) > WIDE_RULES:
-        return _rule_counts_wide(df, vector, rule_ids)
-    aggs = []
-    for i, _ in enumerate(rule_ids):
-        e = F.get(F.col(vector), F.lit(i))
-        aggs += [F.count(F.when(e, 1)).alias(f"t{i}"), F.count(F.when(~e, 1)).alias(f"f{i}"),
-                 F.count(F.when(e.isNull(), 1)).alias(f"n{i}")]
-    wide = df.agg(*aggs)
-    stack = ", ".join(f"{rid}, t{i}, f{i}, n{i}" for i, rid in enumerate(rule_ids))
-    return wide.selectExpr(f"stack({len(rule_ids)}, {stack}) AS (rule_id, n_true, n_false, n_null)")
-
-
-def _rule_counts_wide(df: DataFrame, vector: str, rule_ids: Sequence[int]) -> DataFrame:
-    # Explode (rule id, result) pairs built by arrays_zip: exploding the
-    # freshly computed vector directly makes the fused loop re-evaluate the
-    # whole array for every element (quadratic in the number of rules).
-    ids = F.array(*[F.lit(r) for r in rule_ids])
-    z = F.arrays_zip(ids.alias("rule_id"), F.col(vector).alias("v"))
-    v = F.col("e.v")
-    return (df.select(F.explode(z).alias("e"))
-            .groupBy(F.col("e.rule_id").alias("rule_id"))
-            .agg(F.count(F.when(v, 1)).alias("n_true"), F.count(F.when(~v, 1)).alias("n_false"),
-                 F.count(F.when(v.isNull(), 1)).alias("n_null")))
+    meta = df.sparkSession.createDataFrame(list(enumerate(rule_ids)), "position int, rule_id int")
+    return _with_counts(meta, _counts_by_position(df, vector, len(rule_ids)))
+
+
+def suite_counts(df: DataFrame, vector: str, suite: RuleSuite) -> DataFrame:
+    """Counts per rule of a suite, under the full identity: suite, set and rule ids with their versions."""
+    meta = suite.metadata(df.sparkSession).drop("expr")
+    return _with_counts(meta, _counts_by_position(df, vector, len(suite.rules())))
 
 
 def explode_results(df: DataFrame, key: str, vector: str, rule_ids: Sequence[int]) -> DataFrame:
-    """(key, rule_id, result) rows: one per record and rule."""
+    """(key, rule_id, result) rows: one per record and rule, also where the vector is NULL or short."""
     ids = F.array(*[F.lit(r) for r in rule_ids])
-    return (df.select(key, F.arrays_zip(ids.alias("rule_id"), F.col(vector).alias("result")).alias("z"))
-            .select(key, F.explode("z").alias("e")).select(key, "e.rule_id", "e.result"))
+    zipped = F.arrays_zip(ids.alias("rule_id"), padded(F.col(vector), len(rule_ids)).alias("result"))
+    return df.select(key, zipped.alias("z")).select(key, F.explode("z").alias("e")).select(key, "e.rule_id", "e.result")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleframe.functions.sql import register_functions
-from ruleframe.model import Rule, RuleSuite
+from ruleframe.model import Rule, RuleSuite, fill
 from ruleframe.sources.bindings import Binding, bind_fields
 
 VECTOR_COL = "__rule_vector"
@@ -20,7 +20,8 @@ VECTOR_COL = "__rule_vector"
 
 def rule_column(rule: Rule, binding: Binding | None = None) -> Column:
     """One rule as a boolean column (three-valued: NULL inputs may give NULL)."""
-    return F.expr(rule.sql((binding or bind_fields()).refs()))
+    b = binding or bind_fields()
+    return F.expr(rule.sql(b.refs(), b.errors_null))
 
 
 def rule_vector(suite: RuleSuite, binding: Binding | None = None) -> Column:
@@ -32,29 +33,23 @@ def rule_vector(suite: RuleSuite, binding: Binding | None = None) -> Column:
 def template_vector(templates: list[str], binding: Binding | None = None) -> Column:
     """array<boolean> from rule text templates (the hand-written baseline)."""
     refs = (binding or bind_fields()).refs()
-    return F.array(*[F.expr(t.format_map(refs)) for t in templates])
+    return F.array(*[F.expr(fill(t, refs)) for t in templates])
 
 
 def _contains_false(v: Column) -> Column:
     return F.array_contains(v, F.lit(False))
 
 
-# Up to this many rules a rules map is built entry by entry (create_map: a
-# little faster per row); above it from two arrays (map_from_arrays: one
-# expression whatever the width, so analysis and generated code stay small).
-WIDE_MAP = 64
-
-
 def _rules_map(keys: list[int], values: Column, first: int) -> Column:
-    """map<bigint, boolean> from key ids and ``values`` elements first, first+1, ..."""
-    if len(keys) <= WIDE_MAP:
-        entries = []
-        for i, k in enumerate(keys):
-            entries += [F.lit(k).cast("bigint"), F.get(values, F.lit(first + i))]
-        return F.create_map(*entries)
+    """map<bigint, boolean> from key ids and ``values`` elements first, first+1, ...
+
+    Two arrays whatever the width, so analysis and generated code stay small;
+    a NULL or short vector gives NULL entries.
+    """
     n = len(keys)
-    part = F.slice(values, first + 1, n) if first else values
-    return F.map_from_arrays(F.array(*[F.lit(k).cast("bigint") for k in keys]), part)
+    none = F.array().cast("array<boolean>")
+    filled = F.concat(F.coalesce(values, none), F.array_repeat(F.lit(None).cast("boolean"), first + n))
+    return F.map_from_arrays(F.array(*[F.lit(k).cast("bigint") for k in keys]), F.slice(filled, first + 1, n))
 
 
 def audit(vector: Column, suite: RuleSuite) -> Column:
@@ -77,32 +72,33 @@ def audit(vector: Column, suite: RuleSuite) -> Column:
 
 
 def audit_compat(vector: Column, n_rules: int, set_id: int = 1) -> Column:
-    """The benchmark's audit layout, kept bit-for-bit.
+    """The benchmark's audit layout, kept bit-for-bit, for a vector of one rule set."""
+    return audit_compat_sets(vector, {set_id: n_rules})
+
+
+def audit_compat_sets(vector: Column, sets: dict[int, int]) -> Column:
+    """The benchmark's audit layout over set id -> number of rules, in suite order.
 
     struct<overallResult, ruleSets: map<bigint, struct<setResult, rules: map<bigint, boolean>>>>
-    where rules key i (0-based) holds element i+1 of the vector (so the first
-    rule is not shown and the last key is NULL) and the set/overall results
-    are "vector contains FALSE".
+    where a set's rules key i (0-based) holds element i+1 of its part of the
+    vector (so the first rule is not shown and the last key is NULL) and the
+    set/overall results are "vector contains FALSE".
     """
-    if n_rules <= WIDE_MAP:
-        rules = _rules_map(list(range(n_rules)), vector, 1)
-    else:
-        keys = F.array(*[F.lit(i).cast("bigint") for i in range(n_rules)])
-        shifted = F.concat(F.slice(vector, 2, n_rules - 1), F.array(F.lit(None).cast("boolean")))
-        rules = F.map_from_arrays(keys, shifted)
-    return F.struct(
-        _contains_false(vector).alias("overallResult"),
-        F.create_map(
-            F.lit(set_id).cast("bigint"),
-            F.struct(_contains_false(vector).alias("setResult"), rules.alias("rules")),
-        ).alias("ruleSets"),
-    )
+    entries, pos = [], 0
+    for set_id, n in sets.items():
+        part = F.slice(vector, pos + 1, n) if len(sets) > 1 else vector
+        entries += [F.lit(set_id).cast("bigint"),
+                    F.struct(_contains_false(part).alias("setResult"), _rules_map(list(range(n)), part, 1).alias("rules"))]
+        pos += n
+    return F.struct(_contains_false(vector).alias("overallResult"), F.create_map(*entries).alias("ruleSets"))
 
 
 def prepare(spark: SparkSession, df: DataFrame, suite: RuleSuite, binding: Binding | None) -> tuple[DataFrame, Binding]:
     b = binding or bind_fields()
+    if VECTOR_COL in df.columns:
+        raise ValueError(f"column {VECTOR_COL} is used inside: rename it")
     register_functions(spark, suite.functions)
-    return b.prepare(df), b
+    return b.prepare(df, suite.fields()), b
 
 
 def with_vector(spark: SparkSession, df: DataFrame, suite: RuleSuite, binding: Binding | None = None,
@@ -138,8 +134,7 @@ def run_rules(spark: SparkSession, df: DataFrame, suite: RuleSuite, binding: Bin
 def suite_result(vector: Column, suite: RuleSuite, compat: bool = False,
                  null_without_vector: bool = False) -> Column:
     """The audit of ``suite`` built from its rule vector (NULL for a NULL vector if asked)."""
-    n = len(suite.rules())
-    res = audit_compat(vector, n, suite.sets[0].id.id) if compat else audit(vector, suite)
+    res = audit_compat_sets(vector, {s.id.id: len(s.rules) for s in suite.sets}) if compat else audit(vector, suite)
     if null_without_vector:
         res = F.when(vector.isNull(), F.lit(None)).otherwise(res)
     return res

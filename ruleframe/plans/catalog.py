@@ -15,16 +15,17 @@ from pyspark.sql import functions as F
 from ruleframe.functions.columns import applicable_for, case_lookup, group_members, is_missing
 from ruleframe.functions.sql import register_functions
 from ruleframe.model import FunctionDef, Id, Rule, RuleSet, RuleSuite
-from ruleframe.operators.decision import DecisionModel, group_table, member_table, rule_hits
+from ruleframe.operators.decision import (Condition, DecisionModel, DecisionTable, group_table, member_table,
+                                          rule_hits)
 from ruleframe.operators.joins import join_small
-from ruleframe.operators.results import distinct_suite_results, flatten_audit, flatten_vector, rule_counts
+from ruleframe.operators.results import distinct_suite_results, flatten_audit, flatten_vector, rule_counts, suite_counts
 from ruleframe.operators.runner import audit, audit_compat, rule_column, run_rules, template_vector, with_vector
 from ruleframe.sources.bindings import bind_fields, bind_json, bind_struct, typed_record
-from ruleframe.sources.io import cache_count, count_evaluated, read_parquet, scratch_path, write_parquet
+from ruleframe.sources.io import cache_count, count_evaluated, is_folder, read_parquet, scratch_path, write_parquet
 from ruleframe.sources.records import generate_records
 from ruleframe.sources.tables import customer_edge_records, customer_records, read_table
 from ruleframe.streaming.stream import run_to_parquet
-from ruleframe.suites import (DECISION_SUITE_RULES, GROUPS, ORDERS_FIELDS, ORDERS_RULE_SETS, RECORD_FIELDS,
+from ruleframe.suites import (DECISION_SUITE_RULES, GROUPS, ORDERS_FIELDS, ORDERS_RULE_SETS, PRIORITY_GROUPS, RECORD_FIELDS,
                               SQL_SUITE_RULES, baseline_rules, decision_suite, orders_suite, record_ddl, sql_quote,
                               sql_suite)
 
@@ -52,8 +53,9 @@ def _recs(spark, sf_dir):
 
 
 def _gen(spark, sf_dir):
-    """Benchmark records: 130 per customer key."""
-    return generate_records(read_table(spark, sf_dir, "customer"), "c_custkey")
+    """Benchmark records: 130 per customer key, the keys spread over the shuffle partitions first."""
+    return generate_records(read_table(spark, sf_dir, "customer"), "c_custkey",
+                            num_partitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _grp(spark, sf_dir):
@@ -108,8 +110,12 @@ def suite_count(spark, sf_dir):
 
 
 def suite_cache_count(spark, sf_dir):
-    persisted, _ = cache_count(with_vector(spark, _recs(spark, sf_dir), sql_suite()))
-    return count_evaluated(persisted, "quality")
+    persisted, _ = cache_count(with_vector(spark, _recs(spark, sf_dir), sql_suite()).select("quality"))
+    try:
+        result = count_evaluated(persisted, "quality")
+        return spark.createDataFrame(result.collect(), result.schema)  # one row
+    finally:
+        persisted.unpersist()
 
 
 # ---- rules and suites -----------------------------------------------------
@@ -124,20 +130,26 @@ def rule_vector_q(spark, sf_dir):
     return _vec_out(with_vector(spark, _recs(spark, sf_dir), sql_suite(), bind_fields()), ["key"])
 
 
-def rule_suite_q(spark, sf_dir):
-    """Two rule sets (rules 1-8, 9-15) under one suite: set results and rule keys."""
+def _two_sets() -> RuleSuite:
+    """Rules 1-8 as set 1; rules 9-15 as set 2 (version 3) with ids 1-7 (version 2)."""
     base = sql_suite()
     rules = base.sets[0].rules
-    suite = RuleSuite(Id(1, 1), (RuleSet(Id(1, 1), rules[:8]), RuleSet(Id(2, 1), rules[8:])), base.functions)
+    second = tuple(Rule(Id(i, 2), r.expr) for i, r in enumerate(rules[8:], 1))
+    return RuleSuite(Id(1, 1), (RuleSet(Id(1, 1), rules[:8]), RuleSet(Id(2, 3), second)), base.functions)
+
+
+def rule_suite_q(spark, sf_dir):
+    """Two rule sets that share rule ids: set results and rule keys (r9-r15: rules 1-7 of set 2)."""
+    suite = _two_sets()
     out = run_rules(spark, _recs(spark, sf_dir), suite)
     q = F.col("quality")
     sets = q.getField("ruleSets")
     cols = [q.getField("any_failed").alias("overall"),
             sets[F.lit(1).cast("bigint")].getField("any_failed").alias("set1"),
             sets[F.lit(2).cast("bigint")].getField("any_failed").alias("set2")]
-    for sid, rs in ((1, rules[:8]), (2, rules[8:])):
-        m = sets[F.lit(sid).cast("bigint")].getField("rules")
-        cols += [m[F.lit(r.id.id).cast("bigint")].alias(f"r{r.id.id}") for r in rs]
+    for s, first in zip(suite.sets, (1, 9)):
+        m = sets[F.lit(s.id.id).cast("bigint")].getField("rules")
+        cols += [m[F.lit(r.id.id).cast("bigint")].alias(f"r{first + i}") for i, r in enumerate(s.rules)]
     return out.select("key", *cols)
 
 
@@ -150,14 +162,52 @@ def sql_function_rule(spark, sf_dir):
 
 
 def named_list_rule(spark, sf_dir):
-    """Rules 1-4 with each group as a constant SQL function `Non UK`() etc."""
+    """The group rules with each group as a constant SQL function `Non UK`() etc."""
     lists = tuple(FunctionDef(g, (), "ARRAY<STRING>", "array(" + ", ".join(sql_quote(m) for m in ms) + ")",
                               Id(i, 1)) for i, (g, ms) in enumerate(GROUPS.items(), 1))
     rules = tuple(Rule(Id(rid, 1), f"array_contains(`{test}`(), {{location}}) AND {{department}} = {sql_quote(d)}")
-                  for rid, test, d in SQL_SUITE_RULES[:4])
+                  for rid, test, d in SQL_SUITE_RULES if test in GROUPS)
     suite = RuleSuite(Id(3, 1), (RuleSet(Id(1, 1), rules),), lists)
     out = with_vector(spark, _recs(spark, sf_dir), suite)
-    return out.select("key", *flatten_vector(F.col("quality"), 4))
+    return out.select("key", *[F.get("quality", F.lit(i)).alias(f"r{r.id.id}") for i, r in enumerate(rules)])
+
+
+# Rule text with braces that are no placeholders: quantifiers, a JSON path, a literal that looks like a field.
+TEXT_RULES = (
+    r"regexp_like(cast({id} AS STRING), '^[0-9]{3}$')",
+    r"regexp_like(cast({id} AS STRING), '^[0-9]{1,2}$')",
+    r"regexp_like({idPrefix}, '^[A-Z]{2,7}') /* {not} a field */",
+    r"""get_json_object('{"a": {"location": "US"}}', '$.a.location') = {location}""",
+    r"{department} <> '{department}'",
+)
+
+
+def rule_text(spark, sf_dir):
+    """The same rule text over fields, the struct and the JSON."""
+    suite = RuleSuite(Id(5, 1), (RuleSet(Id(1, 1), tuple(Rule(Id(i, 1), t) for i, t in enumerate(TEXT_RULES, 1))),))
+    out = _recs(spark, sf_dir)
+    for name, b in (("f", bind_fields()), ("s", bind_struct("struct_payload")), ("j", bind_json("payload", CUSTOMER_DDL))):
+        out = with_vector(spark, out, suite, b, out=f"v{name}")
+    return out.select("key", *[c for name in "fsj" for c in flatten_vector(F.col(f"v{name}"), len(TEXT_RULES), name)])
+
+
+def wide_rule_counts(spark, sf_dir):
+    """80 rules over JSON with bad records: counts by rule, NULL vectors included."""
+    rules = tuple(Rule(Id(100 + k, 1), f"{{id}} % 80 = {k}") for k in range(80))
+    suite = RuleSuite(Id(6, 1), (RuleSet(Id(1, 1), rules),))
+    out = with_vector(spark, customer_edge_records(spark, sf_dir), suite,
+                      bind_json("payload", CUSTOMER_DDL, bad_records_null=True))
+    return rule_counts(out, "quality", [r.id.id for r in rules])
+
+
+def stored_json_suite(spark, sf_dir):
+    """A suite over JSON as it is stored (events.props) and columns beside it."""
+    rules = ("{k} >= 50 AND {type} = 'click'", "{k} % 2 = 0", "{amount} > 20 OR {type} = 'error'",
+             "{k} IS NULL OR {amount} IS NULL")
+    suite = RuleSuite(Id(7, 1), (RuleSet(Id(1, 1), tuple(Rule(Id(i, 1), t) for i, t in enumerate(rules, 1))),))
+    b = bind_json("props", "k INT", columns={"type": "event_type", "amount": "value"})
+    out = with_vector(spark, read_table(spark, sf_dir, "events"), suite, b)
+    return out.select("event_id", *flatten_vector(F.col("quality"), len(rules)))
 
 
 def rule_membership(spark, sf_dir):
@@ -178,7 +228,9 @@ def baseline_vector(spark, sf_dir):
 
 
 def rule_audit(spark, sf_dir):
-    return _audit_out(run_rules(spark, _recs(spark, sf_dir), sql_suite()), ["key"], compat=False)
+    """The audit function over a vector column that the caller keeps."""
+    out = with_vector(spark, _recs(spark, sf_dir), sql_suite(), out="vector")
+    return _audit_out(out.withColumn("quality", audit(F.col("vector"), sql_suite())), ["key"], compat=False)
 
 
 def rule_audit_compat(spark, sf_dir):
@@ -215,13 +267,8 @@ def json_audit(spark, sf_dir):
 
 
 def suite_metadata(spark, sf_dir):
-    s = sql_suite()
-    counts = rule_counts(with_vector(spark, _recs(spark, sf_dir), s), "quality", RULE_IDS)
-    meta = s.metadata(spark).drop("expr", "position").withColumnRenamed("rule_id", "meta_rule_id")
-    # one row per rule on each side; the metadata's row count is exact
-    return join_small(counts, meta, [("rule_id", "meta_rule_id")], len(s.rules())).select(
-        "suite_id", "suite_version", "set_id", "set_version", "rule_id", "rule_version",
-        "n_true", "n_false", "n_null")
+    s = _two_sets()
+    return suite_counts(with_vector(spark, _recs(spark, sf_dir), s), "quality", s)
 
 
 def rule_counts_q(spark, sf_dir):
@@ -268,20 +315,39 @@ def fn_audit_build(spark, sf_dir):
 def decision_table_lookup(spark, sf_dir):
     t = group_table()
     g = _grp(spark, sf_dir)
-    joined = t.lookup(spark, g, "grp", "members_join")
+    first = DecisionTable("first_group", member_table().rows, output_type="string", hit_policy="FIRST", default="none")
+    every = DecisionTable("all_groups", member_table().rows, output_type="string", hit_policy="COLLECT")
+    joined = t.lookup(spark, g.withColumn("place", F.nullif("location", F.lit("UK"))), "grp", "members_join")
+    joined = every.lookup(spark, first.lookup(spark, joined, "place", "first_join"), "place", "all_join")
     return joined.select("key", "grp", F.array_join(t.column(F.col("grp")), ",").alias("members_case"),
-                         F.array_join("members_join", ",").alias("members_join"))
+                         F.array_join("members_join", ",").alias("members_join"),
+                         first.column(F.col("place")).alias("first_case"), "first_join",
+                         F.array_join(every.column(F.col("place")), ",").alias("all_case"),
+                         F.array_join("all_join", ",").alias("all_join"))
 
 
 def decision_table_conflicts(spark, sf_dir):
-    out = member_table().hit_counts(spark, _recs(spark, sf_dir).select("key", "location"), "location")
-    return out.select("key", "location", "hits", "policy_ok")
+    t = member_table()
+    out = t.hit_counts(spark, _recs(spark, sf_dir).select("key", "location"), "location")
+    broken = t.conflicts(spark).select(F.col("input").alias("bad"), F.col("hits").alias("more"))
+    out = join_small(out, broken, [("location", "bad")], how="left")
+    return out.select("key", "location", "hits", "policy_ok", F.col("more").isNotNull().alias("conflict"))
 
 
 def decision_rules_join(spark, sf_dir):
     return rule_hits(spark, _recs(spark, sf_dir), DECISION_SUITE_RULES, "key")
 
 
+def orders_rule_hits(spark, sf_dir):
+    """Rules 1-5 of the orders suite as data, found by the join."""
+    rules = [Condition(1, {"priority": PRIORITY_GROUPS["Urgent"], "status": ("F",)}),
+             Condition(2, {"priority": PRIORITY_GROUPS["Urgent"], "status": ("O",)}),
+             Condition(3, {"priority": PRIORITY_GROUPS["Routine"], "status": ("P",)}),
+             Condition(4, {"priority": PRIORITY_GROUPS["Routine"], "status": ("F",)}),
+             Condition(5, {"status": ("O",)}, missing=("priority",))]
+    return rule_hits(spark, _orders(spark, sf_dir), rules, "o_orderkey", bind_fields(ORDERS_FIELDS))
+
+
 def decision_functions(spark, sf_dir):
     register_functions(spark, sql_suite().functions + decision_suite().functions)
     return _grp(spark, sf_dir).select(
@@ -291,7 +357,15 @@ def decision_functions(spark, sf_dir):
 
 
 def _model():
-    return DecisionModel(decision_suite())
+    """Three decisions: every rule, the membership rules, the missing-id rules; a service for the last."""
+    by_test = lambda missing: tuple((1, rid) for rid, t, _ in DECISION_SUITE_RULES if (t not in GROUPS) == missing)
+    return DecisionModel(decision_suite(), {"membership": by_test(False), "missing": by_test(True)},
+                         {"DQService": ("evaluate",), "MissingService": ("missing",)})
+
+
+def _names(decision, prefix="r"):
+    keys = _model().all_decisions()[decision]
+    return [F.get(f"quality.{decision}", F.lit(i)).alias(f"{prefix}{rid}") for i, (_, rid) in enumerate(keys)]
 
 
 def decision_evaluate(spark, sf_dir):
@@ -300,14 +374,15 @@ def decision_evaluate(spark, sf_dir):
 
 
 def decision_service(spark, sf_dir):
-    out = _model().evaluate(spark, _recs(spark, sf_dir), bind_fields(), service="DQService")
-    return _decision_out(out, ["key"])
+    out = _model().evaluate(spark, _recs(spark, sf_dir), bind_fields(), service="MissingService")
+    return out.select("key", *_names("missing"))
 
 
 def decision_all(spark, sf_dir):
     out = _model().evaluate(spark, _recs(spark, sf_dir), bind_fields(), service=None, with_context=True)
     ctx = [F.col("quality.context").getField(f"r{i}").alias(f"c{i}") for i in RULE_IDS]
-    return out.select("key", *flatten_vector(F.col("quality.evaluate"), N_RULES), *ctx)
+    return out.select("key", *flatten_vector(F.col("quality.evaluate"), N_RULES), *_names("membership", "g"),
+                      *_names("missing", "m"), *ctx)
 
 
 def bind_json_q(spark, sf_dir):
@@ -316,7 +391,10 @@ def bind_json_q(spark, sf_dir):
 
 
 def bind_struct_q(spark, sf_dir):
-    out = _model().evaluate(spark, _gen(spark, sf_dir), bind_struct("struct_payload"), service=None)
+    """The record as a stored struct: only the fields that the rules name are read."""
+    path = write_parquet(_gen(spark, sf_dir).select("struct_payload"), scratch_path(spark, "structs"))
+    rows = read_parquet(spark, path).withColumns({c: F.col(f"struct_payload.{c}") for c in ("id", "idPrefix", "location")})
+    out = _model().evaluate(spark, rows, bind_struct("struct_payload"))
     return _decision_out(out, ["id", "idPrefix", "location"])
 
 
@@ -326,9 +404,11 @@ def bind_fields_q(spark, sf_dir):
 
 
 def result_struct(spark, sf_dir):
-    out = _model().evaluate(spark, _recs(spark, sf_dir), bind_struct("struct_payload"))
-    typed = out.withColumn("quality", F.col("quality").cast("struct<evaluate: array<boolean>>"))
-    return _decision_out(typed, ["key"])
+    """The typed result of every decision, its struct spread into columns."""
+    out = _model().evaluate(spark, _recs(spark, sf_dir), bind_struct("struct_payload"), service=None)
+    wide = out.select("key", "quality.*")
+    return wide.select("key", *[F.size(c).alias(f"n_{c}") for c in wide.columns[1:]],
+                       *[F.array_contains(c, F.lit(True)).alias(f"any_{c}") for c in wide.columns[1:]])
 
 
 def result_json(spark, sf_dir):
@@ -337,10 +417,17 @@ def result_json(spark, sf_dir):
 
 
 def bad_record_null(spark, sf_dir):
+    """Malformed, mistyped, NULL and blank payloads give no result; a cast that fails in a rule gives NULL."""
     e = customer_edge_records(spark, sf_dir)
-    out = _model().evaluate(spark, e, bind_json("payload", CUSTOMER_DDL, bad_records_null=True))
+    payload = (F.when((F.col("balance") >= 1000) & (F.col("balance") < 1500), F.lit(None))
+               .when((F.col("balance") >= 1500) & (F.col("balance") < 2000), F.lit("  ")).otherwise(F.col("payload")))
+    base = decision_suite()
+    failing = Rule(Id(16, 1), "cast({department} AS INT) > 3")
+    suite = RuleSuite(base.id, (RuleSet(base.sets[0].id, (*base.sets[0].rules, failing)),), base.functions)
+    b = bind_json("payload", CUSTOMER_DDL, bad_records_null=True, errors_null=True)
+    out = DecisionModel(suite).evaluate(spark, e.withColumn("payload", payload), b)
     return out.select("key", F.col("quality").isNull().alias("result_null"),
-                      *flatten_vector(F.col("quality.evaluate"), N_RULES))
+                      *flatten_vector(F.col("quality.evaluate"), N_RULES + 1))
 
 
 # ---- a second suite: orders, bound by column mapping ----------------------
@@ -370,8 +457,12 @@ def orders_rule_counts(spark, sf_dir):
 def stream_rule_vector(spark, sf_dir):
     """The suite on a stream: customer file as a streaming source, checkpointed Parquet sink."""
     schema = read_table(spark, sf_dir, "customer").schema
-    # file streams read directories: the data folder, filtered to the customer file
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf_dir)
+    path = f"{sf_dir.rstrip('/')}/customer.parquet"
+    reader = spark.readStream.schema(schema)
+    if is_folder(spark, path):  # a table of part files
+        stream = reader.parquet(path)
+    else:  # file streams read folders: the data folder, filtered to the one file
+        stream = reader.option("pathGlobFilter", "customer.parquet").parquet(sf_dir)
     out = with_vector(spark, customer_records(spark, sf_dir, customer=stream), sql_suite())
     sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
     run_to_parquet(out.select("key", "quality"), sink, ckpt)
@@ -432,6 +523,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bad_record_null": bad_record_null,
     "typed_input": typed_input,
     "stream_rule_vector": stream_rule_vector,
+    "rule_text": rule_text,
+    "wide_rule_counts": wide_rule_counts,
+    "stored_json_suite": stored_json_suite,
+    "orders_rule_hits": orders_rule_hits,
     "orders_audit": orders_audit,
     "orders_rule_counts": orders_rule_counts,
 }

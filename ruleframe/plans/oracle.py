@@ -7,10 +7,27 @@ rule, and JSON round trips are replaced by the fields they carry.
 
 from __future__ import annotations
 
-from ruleframe.sources.records import PREFIXES, SEED_ROWS
-from ruleframe.sources.tables import REGION_LOCATION, SEGMENT_DEPARTMENT
-from ruleframe.plans.catalog import SEGMENT_GROUP
-from ruleframe.suites import DECISION_SUITE_RULES, GROUPS, MISSING, SQL_SUITE_RULES
+# --- fixed values, spelled out here so that a wrong table in the library can't pass both sides ---
+MISSING = "isMissing"
+GROUPS = {'Non UK': ('US', 'CH', 'MX', 'BR'),
+ 'UK & US': ('US', 'UK'),
+ 'Americas': ('US', 'MX', 'BR'),
+ 'Europe': ('CH',)}
+SQL_SUITE_RULES = ((1, 'Non UK', 'sales'), (2, 'UK & US', 'marketing'), (3, 'Americas', 'hr'), (4, 'Europe', 'it'),
+ (5, 'isMissing', 'ops'), (6, 'Non UK', 'marketing'), (7, 'UK & US', 'hr'), (8, 'Americas', 'it'),
+ (9, 'Europe', 'sales'), (10, 'isMissing', 'sales'), (11, 'Non UK', 'it'), (12, 'UK & US', 'sales'),
+ (13, 'Americas', 'marketing'), (14, 'Europe', 'hr'), (15, 'isMissing', 'hr'))
+DECISION_SUITE_RULES = ((1, 'Non UK', 'sales'), (2, 'UK & US', 'marketing'), (3, 'Americas', 'hr'), (4, 'Europe', 'it'),
+ (5, 'isMissing', 'ops'), (6, 'Non UK', 'marketing'), (7, 'UK & US', 'hr'), (8, 'Americas', 'it'),
+ (9, 'Europe', 'sales'), (10, 'isMissing', 'sales'), (11, 'Non UK', 'sales'), (12, 'UK & US', 'hr'),
+ (13, 'Americas', 'sales'), (14, 'Europe', 'hr'), (15, 'isMissing', 'hr'))
+REGION_LOCATION = {0: 'US', 1: 'UK', 2: 'CH', 3: 'MX', 4: 'BR'}
+SEGMENT_DEPARTMENT = {'AUTOMOBILE': 'sales', 'BUILDING': 'marketing', 'FURNITURE': 'hr', 'HOUSEHOLD': 'it', 'MACHINERY': 'ops'}
+SEGMENT_GROUP = {"AUTOMOBILE": "Non UK", "BUILDING": "UK & US", "FURNITURE": "Americas", "HOUSEHOLD": "Europe",
+                 "MACHINERY": "Asia"}
+SEED_ROWS = (('US', 1, 'sales'), ('UK', 2, 'marketing'), ('CH', 3, 'hr'), ('MX', 4, 'it'), ('BR', 5, 'ops'))
+PREFIXES = "abcdefghijklmnopqrstuvwxyz"
+# --------------------------------------------------------------------------------------------------
 
 
 def _s(v: str) -> str:
@@ -115,11 +132,6 @@ def _audit(preds: list[str], compat: bool) -> str:
     return ", ".join(cols)
 
 
-def _edge_json_preds(table) -> list[str]:
-    """Rules on the edge JSON: bad records (balance < 0) read as NULL, missing id as NULL id."""
-    return [f"CASE WHEN balance < 0 THEN NULL ELSE {_pred(t, d)} END" for _, t, d in table]
-
-
 ORACLE: dict[str, str] = {}
 
 ORACLE["gen_records"] = _w(GEN) + "SELECT location, idPrefix, id, page, department FROM gen"
@@ -146,7 +158,7 @@ _groups = list(GROUPS)
 ORACLE["sql_function_rule"] = _w(REC) + (
     "SELECT key, " + ", ".join(f"{_in(g)} AS in_{i}" for i, g in enumerate(_groups, 1))
     + f", {_missing('id')} AS id_missing FROM rec")
-ORACLE["named_list_rule"] = _w(REC) + f"SELECT key, {', '.join(_rules(SQL_SUITE_RULES[:4]))} FROM rec"
+ORACLE["named_list_rule"] = _w(REC) + f"SELECT key, {', '.join(_rules([r for r in SQL_SUITE_RULES if r[1] != MISSING]))} FROM rec"
 ORACLE["rule_membership"] = _w(REC) + (
     "SELECT key, " + ", ".join(f"{_in(g)} AS in_{i}" for i, g in enumerate(_groups, 1)) + " FROM rec")
 ORACLE["rule_missing"] = _w(EDGE) + (
@@ -167,8 +179,22 @@ _counts = " UNION ALL ".join(
     for (rid, _, _), p in zip(SQL_SUITE_RULES, _p))
 ORACLE["rule_counts"] = _w(REC) + f"SELECT * FROM ({_counts})"
 ORACLE["suite_metadata"] = _w(REC) + (
-    "SELECT 1 AS suite_id, 1 AS suite_version, 1 AS set_id, 1 AS set_version, rule_id, 1 AS rule_version, "
-    f"n_true, n_false, n_null FROM ({_counts})")
+    "SELECT 1 AS suite_id, 1 AS suite_version, CASE WHEN rule_id <= 8 THEN 1 ELSE 2 END AS set_id, "
+    "CASE WHEN rule_id <= 8 THEN 1 ELSE 3 END AS set_version, "
+    "CASE WHEN rule_id <= 8 THEN rule_id ELSE rule_id - 8 END AS rule_id, "
+    f"CASE WHEN rule_id <= 8 THEN 1 ELSE 2 END AS rule_version, n_true, n_false, n_null FROM ({_counts})")
+ORACLE["wide_rule_counts"] = _w(EDGE) + " UNION ALL ".join(
+    f"SELECT {100 + k} AS rule_id, count(*) FILTER (WHERE good % 80 = {k}) AS n_true, "
+    f"count(*) FILTER (WHERE good % 80 <> {k}) AS n_false, count(*) FILTER (WHERE good IS NULL) AS n_null "
+    "FROM (SELECT CASE WHEN balance < 0 THEN NULL ELSE id END AS good FROM edge)" for k in range(80))
+_text = ("regexp_matches(CAST(id AS VARCHAR), '^[0-9]{3}$')", "regexp_matches(CAST(id AS VARCHAR), '^[0-9]{1,2}$')",
+         "regexp_matches(idPrefix, '^[A-Z]{2,7}')", "'US' = location", "department <> '{department}'")
+ORACLE["rule_text"] = _w(REC) + "SELECT key, " + ", ".join(
+    f"{t} AS {b}{i}" for b in "fsj" for i, t in enumerate(_text, 1)) + " FROM rec"
+ORACLE["stored_json_suite"] = (
+    "SELECT event_id, k >= 50 AND event_type = 'click' AS r1, k % 2 = 0 AS r2, value > 20 OR event_type = 'error' AS r3, "
+    "k IS NULL OR value IS NULL AS r4 "
+    "FROM (SELECT *, TRY_CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS INTEGER) AS k FROM events)")
 
 _cmp = ", ".join([f"{_any_failed(_p)} AS overall", f"{_any_failed(_p)} AS set_result"]
                  + [f"{_p[i + 1]} AS r{i}" for i in range(len(_p) - 1)] + [f"CAST(NULL AS BOOLEAN) AS r{len(_p) - 1}"])
@@ -188,12 +214,16 @@ _ep = _preds()
 ORACLE["fn_audit_build"] = _w(EDGE) + f"SELECT key, {_audit(_ep, False)} FROM edge"
 
 ORACLE["decision_table_lookup"] = _w(REC, GRP) + (
-    f"SELECT key, grp, CASE {_members} END AS members_case, CASE {_members} END AS members_join FROM grp")
+    f"SELECT key, grp, CASE {_members} END AS members_case, CASE {_members} END AS members_join, "
+    + ", ".join(f"CASE WHEN location IN ('US', 'CH', 'MX', 'BR') THEN 'Non UK' ELSE 'none' END AS first_{form}, "
+                "CASE location WHEN 'US' THEN 'Non UK,UK & US,Americas' WHEN 'CH' THEN 'Non UK,Europe' "
+                f"WHEN 'MX' THEN 'Non UK,Americas' WHEN 'BR' THEN 'Non UK,Americas' ELSE '' END AS all_{form}"
+                for form in ("case", "join")) + " FROM grp")
 _hits = " ".join(f"WHEN location = {_s(m)} THEN {sum(m in ms for ms in GROUPS.values())}"
                  for m in dict.fromkeys(m for ms in GROUPS.values() for m in ms))
 ORACLE["decision_table_conflicts"] = _w(REC) + (
     f"SELECT key, location, CAST(CASE {_hits} ELSE 0 END AS INTEGER) AS hits, "
-    f"CASE {_hits} ELSE 0 END <= 1 AS policy_ok FROM rec")
+    f"CASE {_hits} ELSE 0 END <= 1 AS policy_ok, CASE {_hits} ELSE 0 END > 1 AS conflict FROM rec")
 ORACLE["decision_rules_join"] = _w(REC) + " UNION ALL ".join(
     f"SELECT key, {rid} AS rule_id FROM rec WHERE {_pred(t, d)}" for rid, t, d in DECISION_SUITE_RULES)
 _any_group = "(" + " OR ".join(f"(grp = {_s(g)} AND {_in(g)})" for g in GROUPS) + ")"
@@ -207,18 +237,36 @@ ORACLE["decision_functions"] = _w(REC, GRP) + (
 _dp = _preds(DECISION_SUITE_RULES)
 _dec_cols = ", ".join(f"{p} AS r{i}" for i, p in enumerate(_dp, 1))
 ORACLE["decision_evaluate"] = _w(REC) + f"SELECT key, {_dec_cols} FROM rec"
-ORACLE["decision_service"] = ORACLE["decision_evaluate"]
+_missing_rules = {rid: p for (rid, t, _), p in zip(DECISION_SUITE_RULES, _dp) if t == MISSING}
+_group_rules = {rid: p for (rid, t, _), p in zip(DECISION_SUITE_RULES, _dp) if t != MISSING}
+ORACLE["decision_service"] = _w(REC) + (
+    "SELECT key, " + ", ".join(f"{p} AS r{rid}" for rid, p in _missing_rules.items()) + " FROM rec")
 ORACLE["decision_all"] = _w(REC) + (
-    f"SELECT key, {_dec_cols}, " + ", ".join(f"{p} AS c{i}" for i, p in enumerate(_dp, 1)) + " FROM rec")
+    f"SELECT key, {_dec_cols}, " + ", ".join(f"{p} AS c{i}" for i, p in enumerate(_dp, 1)) + ", "
+    + ", ".join(f"{p} AS g{rid}" for rid, p in _group_rules.items()) + ", "
+    + ", ".join(f"{p} AS m{rid}" for rid, p in _missing_rules.items()) + " FROM rec")
 ORACLE["bind_json"] = _w(GEN) + f"SELECT id, idPrefix, location, {_dec_cols} FROM gen"
 ORACLE["bind_struct"] = ORACLE["bind_json"]
 ORACLE["bind_fields"] = ORACLE["bind_json"]
-ORACLE["result_struct"] = ORACLE["decision_evaluate"]
+
+
+def _any_true(preds: list[str]) -> str:
+    """array_contains(vector, true): TRUE if any TRUE, else NULL if any NULL, else FALSE."""
+    return (f"CASE WHEN {' OR '.join(f'({p}) IS TRUE' for p in preds)} THEN true "
+            f"WHEN {' OR '.join(f'({p}) IS NULL' for p in preds)} THEN NULL ELSE false END")
+
+
+ORACLE["result_struct"] = _w(REC) + (
+    "SELECT key, CAST(15 AS INTEGER) AS n_evaluate, CAST(12 AS INTEGER) AS n_membership, CAST(3 AS INTEGER) AS n_missing, "
+    f"{_any_true(_dp)} AS any_evaluate, {_any_true(list(_group_rules.values()))} AS any_membership, "
+    f"{_any_true(list(_missing_rules.values()))} AS any_missing FROM rec")
 ORACLE["result_json"] = _w(REC) + (
     "SELECT key, '{\"evaluate\":[' || concat_ws(',', " + ", ".join(_flag(p) for p in _dp) + ") || ']}' AS result FROM rec")
-_bp = _edge_json_preds(DECISION_SUITE_RULES)
+_unread = "(balance < 0 OR balance >= 1000 AND balance < 2000)"
 ORACLE["bad_record_null"] = _w(EDGE) + (
-    "SELECT key, balance < 0 AS result_null, " + ", ".join(f"{p} AS r{i}" for i, p in enumerate(_bp, 1)) + " FROM edge")
+    f"SELECT key, {_unread} AS result_null, "
+    + ", ".join(f"CASE WHEN {_unread} THEN NULL ELSE {p} END AS r{i}" for i, p in enumerate(_dp, 1))
+    + ", CAST(NULL AS BOOLEAN) AS r16 FROM edge")
 ORACLE["typed_input"] = _w(EDGE) + (
     "SELECT key, "
     "CASE WHEN balance < -500 THEN NULL ELSE location END AS location, "
@@ -249,3 +297,5 @@ ORACLE["orders_audit"] = (
 ORACLE["orders_rule_counts"] = " UNION ALL ".join(
     f"SELECT {rid} AS rule_id, count(*) FILTER (WHERE {p}) AS n_true, count(*) FILTER (WHERE NOT {p}) AS n_false, "
     f"count(*) FILTER (WHERE {p} IS NULL) AS n_null FROM orders" for rid, p in _op.items())
+ORACLE["orders_rule_hits"] = " UNION ALL ".join(
+    f"SELECT o_orderkey, {rid} AS rule_id FROM orders WHERE {p}" for rid, p in _op.items() if rid < 6)

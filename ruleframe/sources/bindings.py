@@ -39,6 +39,7 @@ class Binding:
     columns: Mapping[str, str] = field(default_factory=dict)
     ddl: str = record_ddl()
     bad_records_null: bool = False
+    errors_null: bool = False
 
     @property
     def field_names(self) -> list[str]:
@@ -52,6 +53,8 @@ class Binding:
 
     def ref(self, name: str) -> str:
         """SQL text reaching record field ``name``."""
+        if self.kind in ("fields", "json", "struct") and name in self.columns:
+            return _q(self.columns[name])  # a column beside the struct or JSON text
         if self.kind == "fields":
             return _q(self.columns.get(name, name))
         if self.kind == "struct":
@@ -64,15 +67,23 @@ class Binding:
         """Placeholder -> SQL text, for any field name a rule uses."""
         return _Refs(self)
 
-    def prepare(self, df: DataFrame) -> DataFrame:
-        """Add what the rule text needs (the parsed JSON struct), nothing else."""
+    def prepare(self, df: DataFrame, used: set[str] | None = None) -> DataFrame:
+        """Add what the rule text needs (the parsed JSON struct), nothing else.
+
+        With the fields ``used`` by the rules only those are parsed, unless a
+        bad record must be told by all of them.
+        """
         if self.kind != "json":
             return df
-        return df.withColumn(PARSED_COL, self.parsed())
+        if PARSED_COL in df.columns:
+            raise ValueError(f"column {PARSED_COL} is used inside: rename it")
+        return df.withColumn(PARSED_COL, self.parsed(used))
 
-    def parsed(self) -> Column:
+    def parsed(self, used: set[str] | None = None) -> Column:
         if not self.bad_records_null:
-            return F.from_json(F.col(self.source), self.ddl)
+            schema = T.StructType.fromDDL(self.ddl)
+            read = [f for f in schema.fields if used is None or f.name in used]
+            return F.from_json(F.col(self.source), T.StructType(read or schema.fields))
         ddl = self.ddl if CORRUPT_FIELD in self.field_names else f"{self.ddl}, {CORRUPT_FIELD} STRING"
         return F.from_json(
             F.col(self.source),
@@ -83,7 +94,10 @@ class Binding:
     def bad_record(self) -> Column | None:
         """TRUE for rows whose record could not be read (JSON with bad_records_null)."""
         if self.kind == "json" and self.bad_records_null:
-            return F.col(PARSED_COL).getField(CORRUPT_FIELD).isNotNull()
+            # NULL and blank text parse to nothing without being marked corrupt
+            source = F.col(self.source)
+            return (F.col(PARSED_COL).getField(CORRUPT_FIELD).isNotNull() | F.col(PARSED_COL).isNull()
+                    | source.isNull() | (F.trim(source) == ""))
         return None
 
     def record(self) -> Column:
@@ -116,13 +130,18 @@ def bind_struct(column: str) -> Binding:
     return Binding("struct", source=column)
 
 
-def bind_json(column: str, ddl: str | None = None, bad_records_null: bool = False) -> Binding:
+def bind_json(column: str, ddl: str | None = None, bad_records_null: bool = False, errors_null: bool = False,
+              columns: Mapping[str, str] | None = None) -> Binding:
     """Record is JSON text in ``column``; parsed once with schema ``ddl``.
 
     With ``bad_records_null`` a malformed or wrongly typed record makes the
-    whole result NULL instead of evaluating rules on partially-read fields.
+    whole result NULL instead of evaluating rules on partially-read fields;
+    so does NULL or blank text.  With ``errors_null`` a cast that fails in a
+    rule gives NULL instead of an error.  ``columns`` names fields that are
+    columns beside the text.
     """
-    return Binding("json", source=column, ddl=ddl or record_ddl(), bad_records_null=bad_records_null)
+    return Binding("json", source=column, ddl=ddl or record_ddl(), bad_records_null=bad_records_null,
+                   errors_null=errors_null, columns=dict(columns or {}))
 
 
 def typed_record(df: DataFrame, fields: Sequence[tuple[str, str]] = RECORD_FIELDS,
@@ -131,13 +150,18 @@ def typed_record(df: DataFrame, fields: Sequence[tuple[str, str]] = RECORD_FIELD
 
     Returns ``keep`` columns, one column per field with the declared type
     (``try_cast``: a value that does not fit becomes NULL) and ``type_ok``:
-    every non-null input value converted.
+    every non-null input value converted without loss.
     """
     columns = dict(columns or {})
     casts, ok = [], []
+    types = {f.name: f.dataType for f in df.schema.fields}
     for name, typ in fields:
-        src = F.col(columns.get(name, name))
+        source = columns.get(name, name)
+        src = F.col(source)
         cast = src.try_cast(typ)
         casts.append(cast.alias(name))
-        ok.append(src.isNull() | cast.isNotNull())
+        fits = cast.isNotNull()
+        if isinstance(types.get(source), T.NumericType):  # a number must survive the cast there and back
+            fits = fits & cast.try_cast(types[source]).eqNullSafe(src)
+        ok.append(src.isNull() | fits)
     return df.select(*[F.col(k) for k in keep], *casts, reduce(lambda a, b: a & b, ok).alias("type_ok"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleframe.functions.columns import case_lookup
-from ruleframe.operators.joins import join_small
 from ruleframe.sources.records import record_struct, with_payloads
 
 # --- fixed values (test fixture: maps the driver tables onto the record) ---
@@ -29,14 +28,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _customer_nation(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = (),
                      customer: DataFrame | None = None) -> DataFrame:
-    # nation is a small dimension, counted exactly (Parquet footers only)
-    # before it is broadcast; a larger one is joined with the customer side
-    # salted, since 25 nation keys would otherwise skew a hash join.  Left
+    # The planner knows nation's size from its file and broadcasts it; left
     # join keeps every customer (an unknown nation gives a NULL location).
     c = (customer if customer is not None else read_table(spark, sf_dir, "customer")).select(
         "c_custkey", "c_nationkey", "c_mktsegment", *extra)
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    return join_small(c, n, [("c_nationkey", "n_nationkey")], n.count(), how="left", salt_key="c_custkey")
+    return c.join(n, c["c_nationkey"] == n["n_nationkey"], "left")
 
 
 def customer_records(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = (),

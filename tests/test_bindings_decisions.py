@@ -92,20 +92,17 @@ def test_rule_hits_equal_vector_true_positions(spark):
     assert exploded.exceptAll(hits).count() == 0 and hits.exceptAll(exploded).count() == 0
 
 
-def test_join_small_salted_path_matches_broadcast(spark):
+def test_join_small_above_the_limit_matches_broadcast(spark):
     recs = customer_records(spark, SF001)
     small = spark.createDataFrame([("US", 1), ("UK", 2)], "loc string, v int")
-    salted = join_small(recs, small, [("location", "loc")], 2, salt_key="key", limit=0).select("key", "v")
-    bcast = join_small(recs, small, [("location", "loc")], 2, salt_key="key").select("key", "v")
-    assert salted.exceptAll(bcast).count() == 0 and bcast.exceptAll(salted).count() == 0
-    assert "__salt" in plan_text(salted, "simple")
-    # default salt: a hash of the whole row, so one hot location spreads over buckets
-    by_row = join_small(recs, small, [("location", "loc")], 2, limit=0).select("key", "v")
-    assert by_row.exceptAll(bcast).count() == 0 and bcast.exceptAll(by_row).count() == 0
-    salts = (recs.where("location = 'US'")
-             .select(F.pmod(F.xxhash64(*[F.col(c) for c in recs.columns]), F.lit(64)).alias("s"))
-             .distinct().count())
-    assert salts > 8
+    on = [("location", "loc")]
+    for how in ("inner", "left"):
+        shuffled = join_small(recs, small, on, how=how, limit=0).select("key", "v")
+        bcast = join_small(recs, small, on, how=how).select("key", "v")
+        assert shuffled.exceptAll(bcast).count() == 0 and bcast.exceptAll(shuffled).count() == 0
+        # measured as text, or told by the caller
+        known = join_small(recs, small, on, 40, how).select("key", "v")
+        assert "BroadcastHashJoin" in plan_text(known, "simple") and known.exceptAll(bcast).count() == 0
 
 
 def test_skew_join_salts_only_hot_keys(spark):
