@@ -7,7 +7,8 @@ later cut.  A chunk (several lines, or one long line) found more than once in
 the corpus keeps its first occurrence, in the order of doc_id and then line;
 the others are removed after their bytes were compared.  From a removed chunk
 the removal goes on over neighbouring lines as long as each pair of lines is
-itself such a repeat, which takes in the ragged ends of a passage.
+itself such a repeat, which takes in the ragged ends of a passage.  A run of
+``RUN_PAIRS`` repeated pairs is a repeated chunk too, wherever the cuts fell.
 
 Chunks are found by hash: only keys are aggregated, and only texts of
 repeated chunks are compared.  Documents are joined once.
@@ -30,6 +31,7 @@ ROLL = 2
 DIVISOR = 2
 LONG_BYTES = 64      # a line of at least so many bytes is a chunk of its own
 LEAST_BYTES = 48     # of a chunk that may be removed
+RUN_PAIRS = 4        # so many repeated pairs of lines in a row count as a repeated chunk
 CHUNK, PAIR = 1, 2
 
 
@@ -103,7 +105,8 @@ def _kept_lines(lines: Column, found: Column) -> Column:
         F.transform(F.slice(z["line"], 1, n), lambda c, i: F.concat(c, F.get(z["pair"], i))), ""))[0]
     spread = lambda s: F.regexp_replace(s, r"((?<=R)=|\G(?!^)=)k", "$1R")
     # both ways over the string of "line pair line pair ..."; the last pair sign is none
-    onward = spread(F.substring(both, F.lit(1), 2 * n - 1))
+    runs_marked = F.regexp_replace(F.substring(both, F.lit(1), 2 * n - 1), "k(?=(?:=[kR]){%d})" % RUN_PAIRS, "R")
+    onward = spread(runs_marked)
     return F.transform(F.array(F.split(F.reverse(spread(F.reverse(onward))), "")), lambda s: F.filter(
         lines, lambda x, i: F.get(s, 2 * i) == "k"))[0]
 
@@ -147,7 +150,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                                  "left").drop("__id", "__hh")
         none = F.array().cast(joined.schema["__late"].dataType)
         repeated = F.concat(F.coalesce("__late", none), F.coalesce("__fine", none))
-    touched = F.exists(repeated, lambda x: x["kind"] == CHUNK)
+    touched = (F.exists(repeated, lambda x: x["kind"] == CHUNK)
+               | (F.size(F.filter(repeated, lambda x: x["kind"] == PAIR)) >= RUN_PAIRS))
     left = F.when(touched, _kept_lines(lines, repeated)).otherwise(lines)
     return (joined.withColumn("__left", left)
             .withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint"))

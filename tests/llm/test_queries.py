@@ -197,6 +197,9 @@ def plain_line_dedup(docs):
         for i, what in places[1:]:
             gone[i].update(what) if kind == "chunk" else pairs[i].add(what)
     for i, lines in cut.items():
+        for k in range(len(lines) - 4):
+            if all(k + j in pairs[i] for j in range(4)):
+                gone[i].update(range(k, k + 5))
         if gone[i]:
             for k in [*range(len(lines) - 1)]:
                 if k in gone[i] and k in pairs[i]:
