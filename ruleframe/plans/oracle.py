@@ -271,9 +271,8 @@ ORACLE["typed_input"] = _w(EDGE) + (
     "SELECT key, "
     "CASE WHEN balance < -500 THEN NULL ELSE location END AS location, "
     "CASE WHEN balance < -500 THEN NULL ELSE idPrefix END AS idPrefix, "
-    # nullable integers as DOUBLE: Spark hands NULL-able BIGINT to pandas as float64 with NaN
-    "CAST(CASE WHEN balance < 0 THEN NULL ELSE id END AS DOUBLE) AS id, "
-    "CAST(CASE WHEN balance < -500 THEN NULL ELSE page END AS DOUBLE) AS page, "
+    "CAST(CASE WHEN balance < 0 THEN NULL ELSE id END AS VARCHAR) AS id, "
+    "CAST(CASE WHEN balance < -500 THEN NULL ELSE page END AS VARCHAR) AS page, "
     "CASE WHEN balance < -500 THEN NULL ELSE department END AS department, "
     "NOT (balance >= -500 AND balance < 0) AS type_ok FROM edge")
 ORACLE["stream_rule_vector"] = ORACLE["rule_vector"]
