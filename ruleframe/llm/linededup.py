@@ -94,10 +94,11 @@ def _kept_lines(lines: Column, found: Column) -> Column:
         def end(m):
             return m["start"] + (m["size"] if size is None else F.lit(size))
 
-        done = F.coalesce(F.array_join(F.transform(marks, lambda m, j: F.concat(
-            F.repeat(F.lit(gap), m["start"] - F.coalesce(end(F.get(marks, j - 1)), F.lit(0))),
-            F.repeat(F.lit(mark), m["size"] if size is None else F.lit(size)))), ""), F.lit(""))
-        return F.rpad(done, n, gap)
+        # bound once, as above: the marks would be sorted anew for each of them
+        done = F.transform(F.array(marks), lambda ms: F.array_join(F.transform(ms, lambda m, j: F.concat(
+            F.repeat(F.lit(gap), m["start"] - F.coalesce(end(F.get(ms, j - 1)), F.lit(0))),
+            F.repeat(F.lit(mark), m["size"] if size is None else F.lit(size)))), ""))[0]
+        return F.rpad(F.coalesce(done, F.lit("")), n, gap)
 
     line = F.split(runs(_marks(found, CHUNK), None, "k", "R"), "")
     pair = F.split(runs(_marks(found, PAIR), 1, "-", "="), "")
