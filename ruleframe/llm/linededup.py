@@ -77,8 +77,11 @@ def _keys(text: Column) -> Column:
     return F.transform(F.array(rows), keyed)[0]
 
 
-def _chunk_text(lines: Column, start: Column, size: Column) -> Column:
-    return F.array_join(F.slice(lines, start + 1, size), "\n")
+def _with_texts(lines: Column, found: Column) -> Column:
+    """Each repeat with its own text; the lines are split once and not carried along with every repeat."""
+    return F.transform(F.array(lines), lambda own: F.transform(found, lambda f: F.struct(
+        *[f[c].alias(c) for c in ("kind", "start", "size", "key", "is_first")],
+        F.array_join(F.slice(own, f["start"] + 1, f["size"]), "\n").alias("text"))))[0]
 
 
 def _marks(found: Column, kind: int) -> Column:
@@ -131,8 +134,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = F.split(F.col(text_col), "\n", -1)
     # byte comparison: a key whose occurrences hold more than one text is no repeat by itself
     texts = (joined.where(F.col("__found").isNotNull())
-             .select(F.col(id_col).alias("id"), "__h", lines.alias("lines"), F.explode("__found").alias("f"))
-             .select("id", "__h", "f.*", _chunk_text(F.col("lines"), F.col("f.start"), F.col("f.size")).alias("text")))
+             .select(F.col(id_col).alias("id"), "__h", F.inline(_with_texts(lines, F.col("__found")))))
     mixed = written(texts.groupBy("key", "text").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
                     .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "mixed")
     repeated = F.filter("__found", lambda x: ~x["is_first"])
