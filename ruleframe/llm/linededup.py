@@ -40,7 +40,10 @@ def _hash(*columns: Column) -> Column:
 
 
 def _keys(text: Column) -> Column:
-    """Array of (kind, start, size, key): chunks that may be removed, and all pairs of lines."""
+    """Array of (kind, start, size, key): chunks that may be removed, and pairs of lines.
+
+    Two long lines are no pair: each is a chunk, found by itself.
+    """
     lines = F.split(text, "\n", -1)
     rows = F.transform(lines, lambda x: F.struct(_hash(x).alias("h"), F.octet_length(x).alias("n")))
 
@@ -62,7 +65,8 @@ def _keys(text: Column) -> Column:
         return F.transform(F.array(starts), lambda s: F.concat(
             F.filter(F.transform(s, lambda b, j: chunk(line, b, F.coalesce(F.get(s, j + 1), n))),
                      lambda c: c["key"].isNotNull()),
-            F.transform(F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>")),
+            F.transform(F.filter(F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>")),
+                                 lambda i: F.least(at(i)["n"], at(i + 1)["n"]) < LONG_BYTES),
                         lambda i: F.struct(F.lit(PAIR).alias("kind"), i.alias("start"), F.lit(2).alias("size"),
                                            _hash(F.lit(PAIR), at(i)["h"], at(i + 1)["h"]).alias("key")))))[0]
 

@@ -191,7 +191,8 @@ def plain_line_dedup(docs):
             if sum(size[a:b]) >= 48:
                 found.setdefault(("chunk", *lines[a:b]), []).append((i, range(a, b)))
         for k in range(len(lines) - 1):
-            found.setdefault(("pair", *lines[k:k + 2]), []).append((i, k))
+            if min(size[k:k + 2]) < 64:
+                found.setdefault(("pair", *lines[k:k + 2]), []).append((i, k))
     gone, pairs = {i: set() for i in cut}, {i: set() for i in cut}
     for (kind, *_), places in found.items():
         for i, what in places[1:]:
