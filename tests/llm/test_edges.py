@@ -72,3 +72,15 @@ def test_packing_edges(spark, docs):
     assert sum(r.start == 0 for r in rows) == len(ROWS)
     assert sorted((r.doc_id for r in rows if r.doc_tokens == 1), key=str) == [3, 4, None]
     assert packing.pack(docs.limit(0), path).count() == 0
+
+
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_packing_takes_whitespace_runs_of_any_length(spark, blank):
+    from tokenizers import Tokenizer
+
+    path, text = tokenizer_file("byte_bpe_50k.json"), f"before{blank * 2_000_000}after"
+    rows = packing.pack(spark.createDataFrame([(1, text), (2, "short")], "doc_id bigint, text string"), path,
+                        with_ids=True).collect()
+    assert {r.doc_id for r in rows} == {1, 2}
+    ids = [x for r in sorted(rows, key=lambda r: r.start) if r.doc_id == 1 for x in r.ids]
+    assert ids == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, packing.END_ID]
