@@ -147,6 +147,28 @@ def test_learned_proposals_add_what_the_base_formats_miss(spark):
         assert [(s.kind, r.text[s.start:s.end]) for s in r.pii.added] == cases[r.text], r.text
 
 
+def test_proposals_in_the_training_texts_are_no_negatives(spark):
+    """As above, but each training text itself holds the data that the wide formats are for."""
+    rng = random.Random(4)
+    digit = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    filler = lambda: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet, 12", "in 2001,"]) for _ in range(8))
+    rows = [(i, f"{filler()} +1 ({digit(3)}) {digit(3)}-{digit(4)} {filler()} {digit(16)} {filler()} "
+                f"u{i}@mail{i % 5}.example.com {filler()} {rng.randint(1, 255)}.2.3.{rng.randint(1, 399)} {filler()} "
+                f"ann{i} [at] mail dot com {filler()} 10[.]2[.]{rng.randint(1, 255)}[.]4 {filler()} "
+                f"({digit(3)}) {digit(3)}-{digit(4)} {filler()} 4111.1111.1111.1111 {filler()}")
+            for i in range(400)]
+    model = pii.learn(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert model is not None
+    cases = {"call (555) 123-4567 now": [("phone", "(555) 123-4567")],
+             "write to john [at] mail dot com": [("email", "john [at] mail dot com")],
+             "host 10[.]2[.]30[.]4 is up": [("ip", "10[.]2[.]30[.]4")],
+             "card 4111.1111.1111.1111 is charged": [("card", "4111.1111.1111.1111")],
+             "10[.]2[.]300[.]4 and 9807915762804490": [], "we met at noon.Then 12 34": []}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id int, text string")
+    for r in pii.find(df, model=model).collect():
+        assert [(s.kind, r.text[s.start:s.end]) for s in r.pii.added] == cases[r.text], r.text
+
+
 PASSAGE = [f"passage line {i} has a few words of its own" for i in range(8)]
 
 
