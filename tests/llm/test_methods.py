@@ -169,6 +169,14 @@ def test_proposals_in_the_training_texts_are_no_negatives(spark):
         assert [(s.kind, r.text[s.start:s.end]) for s in r.pii.added] == cases[r.text], r.text
 
 
+def test_calibration_counts_every_margin(spark):
+    """30,000 distinct margins, all of positives but some near 0: the threshold lies below the largest 10,000."""
+    rows = spark.range(1, 30_001).select((F.col("id") / 10_000).alias("m"), (F.col("id") > 600).cast("double").alias("label"))
+    least = pii._least_margin(rows)
+    good = lambda x: rows.where(F.col("m") >= x).agg(F.avg("label")).first()[0]
+    assert good(least) >= pii.PRECISION > good(least - 1.1 / pii.STEPS)
+
+
 PASSAGE = [f"passage line {i} has a few words of its own" for i in range(8)]
 
 
