@@ -4,10 +4,13 @@ A document is the set of its hashed lower-case words.  The model scores it by
 a bias, a weight per term and, for every pair of terms, the inner product of
 their factor vectors, so a pair may mean more (or less) than its two words.
 
-Statistics for choosing the terms and the fit itself use at most
-``TRAIN_ROWS`` labelled documents, picked by a hash of their id (a documented
-bound; every document is scored).  Terms with the largest class difference,
-in standard errors, are kept.
+Statistics of the terms and the fit itself use at most ``TRAIN_ROWS``
+labelled documents, picked by a hash of their id (a documented bound; every
+document is scored).  Every term of ``LEAST_DOCUMENTS`` of them enters the
+fit, also one that is as common in both classes: it may tell in a pair.  The
+weight and factors of terms less than ``LEAST_Z`` standard errors apart
+between the classes are drawn to zero, which only evidence withstands; terms
+that end at zero add nothing and are left out of the model.
 
 Defined results: a NULL or empty text has no terms and gets the bias; only
 ids with a non-NULL label are learned from, repeated label rows count as one
@@ -31,9 +34,9 @@ from ruleframe.llm.common import texts, written
 
 TERM_BITS = 22
 TRAIN_ROWS = 20_000
-TERMS = 4_096          # kept hashed terms
-LEAST_DOCUMENTS = 4    # training documents of a kept term
-LEAST_Z = 5.0          # standard errors between the classes' shares of a kept term
+LEAST_DOCUMENTS = 4    # training documents of a term
+LEAST_Z = 5.0          # standard errors between the classes' shares; below, a term is drawn to zero
+PULL_WEIGHT, PULL_FACTORS = 6e-3, 1.5e-3  # how strongly, as a gradient
 FACTORS = 4
 EPOCHS = 40
 WORD = re.compile(r"[^\W\d_]+")
@@ -49,6 +52,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def _towards_zero(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    return np.sign(x) * np.maximum(np.abs(x) - by, 0)
+
+
 @dataclass
 class FactorizationMachine:
     """Terms by index: hash -> row of ``weight`` and ``factors``."""
@@ -71,8 +78,12 @@ class FactorizationMachine:
         return _sigmoid(self.bias + linear + ((total ** 2).sum(axis=1) - square) / 2)
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1,
-            shrink: float = 1e-4, batch: int = 128) -> None:
-        """Minibatch AdaGrad on the log loss; the same result for the same rows in the same order."""
+            shrink: float = 1e-4, batch: int = 128, weak: np.ndarray | None = None) -> None:
+        """Minibatch AdaGrad on the log loss; the same result for the same rows in the same order.
+
+        Terms that ``weak`` names also take a proximal step towards zero.
+        """
+        weak = np.zeros(len(self.weight)) if weak is None else weak.astype(float)
         rng = np.random.default_rng(7)
         seen_w, seen_f, seen_b = (np.full(s, 1e-6) for s in (self.weight.shape, self.factors.shape, ()))
         for _ in range(epochs):
@@ -83,19 +94,21 @@ class FactorizationMachine:
                 flat, owner, linear, total, square = self._sums(own)
                 error = _sigmoid(self.bias + linear + ((total ** 2).sum(axis=1) - square) / 2) - labels[part]
                 each = error[owner]
-                n = len(self.weight)
-                grad_w = np.bincount(flat, each, n) / len(part)
-                used = np.bincount(flat, minlength=n) > 0
-                grad_f = np.stack([np.bincount(flat, each * (total[owner, k] - self.factors[flat, k]), n)
+                used, at_used = np.unique(flat, return_inverse=True)
+                n, pull = len(used), weak[used]
+                grad_w = np.bincount(at_used, each, n) / len(part)
+                grad_f = np.stack([np.bincount(at_used, each * (total[owner, k] - self.factors[flat, k]), n)
                                    for k in range(self.factors.shape[1])], 1) / len(part)
-                grad_w += shrink * self.weight * used
-                grad_f += shrink * self.factors * used[:, None]
+                grad_w += shrink * self.weight[used]
+                grad_f += shrink * self.factors[used]
                 grad_b = error.mean()
-                seen_w += grad_w ** 2
-                seen_f += grad_f ** 2
+                seen_w[used] += grad_w ** 2
+                seen_f[used] += grad_f ** 2
                 seen_b = seen_b + grad_b ** 2
-                self.weight -= rate * grad_w / np.sqrt(seen_w)
-                self.factors -= rate * 0.3 * grad_f / np.sqrt(seen_f)
+                step_w, step_f = rate / np.sqrt(seen_w[used]), rate * 0.3 / np.sqrt(seen_f[used])
+                self.weight[used] = _towards_zero(self.weight[used] - step_w * grad_w, step_w * PULL_WEIGHT * pull)
+                self.factors[used] = _towards_zero(self.factors[used] - step_f * grad_f,
+                                                   step_f * PULL_FACTORS * pull[:, None])
                 self.bias -= float(rate * grad_b / np.sqrt(seen_b))
 
 
@@ -121,8 +134,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, id_col: st
     return _term_sets(own, "text", "terms").select("id", "label", "terms")
 
 
-def train(rows: DataFrame, keep: int = TERMS, factors: int = FACTORS) -> FactorizationMachine:
-    """Picks the terms with a distributed count, then fits in one task (the rows are bounded)."""
+def train(rows: DataFrame, factors: int = FACTORS) -> FactorizationMachine:
+    """Compares the terms' classes with a distributed count, then fits in one task (the rows are bounded)."""
     rows = written(rows, "toxicity")
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).first()
     n, toxic = totals["n"] or 0, totals["toxic"] or 0
@@ -135,11 +148,12 @@ def train(rows: DataFrame, keep: int = TERMS, factors: int = FACTORS) -> Factori
     pooled = (F.col("a") + F.col("b")) / n
     z = F.abs(F.col("a") / toxic - F.col("b") / (n - toxic)) / F.sqrt(
         pooled * (1 - pooled) * (1 / toxic + 1 / (n - toxic)) + 1e-12)
-    top = (counts.where((F.col("a") + F.col("b") >= LEAST_DOCUMENTS) & (z >= LEAST_Z)).orderBy(F.desc(z), "term").limit(keep)
-           .select("term").collect())
-    index = {r["term"]: i for i, r in enumerate(top)}
+    terms = sorted(counts.where(F.col("a") + F.col("b") >= LEAST_DOCUMENTS)
+                   .select("term", (z < LEAST_Z).alias("weak")).collect(), key=lambda r: r["term"])
+    index = {r["term"]: i for i, r in enumerate(terms)}
+    weak = np.array([r["weak"] for r in terms], bool)
     model = FactorizationMachine(index, bias, np.zeros(len(index)),
-                                 np.random.default_rng(3).normal(0, 0.02, (len(index), factors)))
+                                 np.random.default_rng(3).normal(0, 0.05, (len(index), factors)))
 
     def fit(batches):
         ids, labels, sets = [], [], []
@@ -148,14 +162,16 @@ def train(rows: DataFrame, keep: int = TERMS, factors: int = FACTORS) -> Factori
             labels += b.column(1).to_pylist()
             sets += [np.array(sorted(index[t] for t in r if t in index), np.int64) for r in b.column(2).to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (str(ids[i]), sets[i].tobytes()))
-        model.fit([sets[i] for i in order], np.array([labels[i] for i in order], float))
+        model.fit([sets[i] for i in order], np.array([labels[i] for i in order], float), weak=weak)
         yield pa.RecordBatch.from_arrays(
             [pa.array([model.bias]), pa.array([model.weight.tolist()]), pa.array([model.factors.ravel().tolist()])],
             names=["bias", "weight", "factors"])
 
     got = rows.coalesce(1).mapInArrow(fit, "bias double, weight array<double>, factors array<double>").first()
-    return FactorizationMachine(index, got["bias"], np.array(got["weight"]),
-                                np.array(got["factors"]).reshape(-1, factors))
+    weight, own = np.array(got["weight"]), np.array(got["factors"]).reshape(-1, factors)
+    left = np.flatnonzero((weight != 0) | (own != 0).any(axis=1))
+    at = {int(i): k for k, i in enumerate(left)}
+    return FactorizationMachine({t: at[i] for t, i in index.items() if i in at}, got["bias"], weight[left], own[left])
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", out: str = "toxicity") -> DataFrame:

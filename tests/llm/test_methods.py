@@ -129,6 +129,22 @@ def test_factorization_machine_learns_a_pair():
     assert p[0] > 0.8 and p[3] > 0.8 and p[1] < 0.2 and p[2] < 0.2
 
 
+def test_training_keeps_a_pair_of_balanced_words(spark):
+    """As above through training_rows() and train(): either word is as common in both classes."""
+    rng = np.random.default_rng(6)
+    noise = ["".join(x) for x in rng.choice(list("cdefghijklm"), (300, 6))]
+    docs, labels = [], []
+    for i in range(3000):
+        a, b = rng.random(2) < 0.5
+        docs.append((i, " ".join([w for w, on in (("alpha", a), ("beta", b)) if on] + [*rng.choice(noise, 10)])))
+        labels.append((i, int(a == b)))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = toxicity.train(toxicity.training_rows(d, spark.createDataFrame(labels, "doc_id bigint, toxic int"),
+                                                  F.col("doc_id") < 2500))
+    held_out = toxicity.score(d.where("doc_id >= 2500"), model).collect()
+    assert np.mean([(r.toxicity >= 0.5) == labels[r.doc_id][1] for r in held_out]) > 0.9
+
+
 def test_learned_proposals_add_what_the_base_formats_miss(spark):
     rng = random.Random(1)
     digit = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
