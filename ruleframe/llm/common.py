@@ -65,3 +65,19 @@ def most_frequent(counts: DataFrame, key: str, n: str, rows: int) -> list:
     if cut is None:
         return []
     return sorted(counts.where(step >= cut).select(key, n).collect(), key=lambda r: (-r[n], r[key]))
+
+
+def integer_vectors(rows: DataFrame, vector_col: str, scale: int, out: str) -> DataFrame:
+    """``rows`` whose vector can be used, with ``out``: floor(scale * component) as array<bigint>.
+
+    NULL and empty vectors, and those that hold a NULL, NaN or infinite component, are dropped.
+    """
+    vector = F.col(vector_col).cast("array<double>")
+    sound = (F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
+    return (rows.where(vector.isNotNull() & sound)
+            .withColumn(out, F.transform(vector, lambda x: F.floor(x * F.lit(scale).cast("double")))))
+
+
+def largest(v: Column) -> Column:
+    """Aggregate: the largest absolute component of integer vectors."""
+    return F.max(F.greatest(F.array_max(v), -F.array_min(v)))

@@ -6,8 +6,10 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from ruleframe.llm import decontam, linededup, lm, packing, pii, quality, simhash, tokens, toxicity, urls
-from ruleframe.llm.common import crc_mod, importable, table
+from ruleframe.llm import (decontam, linededup, lm, negatives, packing, pii, quality, simhash, tokens, toxicity, urls,
+                           vectorcodes)
+from ruleframe.llm.common import crc_mod, importable, table, written
+from ruleframe.operators.joins import BROADCAST_BYTES, text_bytes
 
 # Where the public tokenizer files are; None: the place that the public_tokenizers package names.
 TOKENIZER_DIR = None
@@ -114,6 +116,25 @@ def op10_line_chunks(spark, sf_dir):
     return docs.select("doc_id", "n_lines", "n_removed", "text")
 
 
+@registered
+def op11_value_dictionaries(spark, sf_dir):
+    rows = vectorcodes.integer_rows(table(spark, sf_dir, "embeddings"))
+    books = vectorcodes.learn(rows)
+    coded = written(vectorcodes.encode(rows, books), "codes")
+    total = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    if text_bytes(total) <= BROADCAST_BYTES:
+        total = F.broadcast(total)
+    return coded.join(total, F.col("label").eqNullSafe(F.col("of"))).select(
+        F.col("id").alias("vec_id"), vectorcodes.hexadecimal(F.col("code")).alias("code"), "error", "label_error",
+        F.lit(vectorcodes.digest(books)).alias("codebooks_sha256"))
+
+
+@registered
+def op12_strassen_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 ORACLE["op3_quality_ledger"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
@@ -197,3 +218,61 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN it USING (rid)
 """
+
+
+def _codebook_rounds(rounds: int) -> str:
+    """CTEs of the rounds: a<i> names each part's nearest entry (distance * 16 + entry), b<i> holds the moved entries."""
+    square = "+".join(f"(x.w[{k}] - b.w[{k}]) * (x.w[{k}] - b.w[{k}])" for k in range(1, 9))
+    out = []
+    for i in range(1, rounds + 2):
+        out.append(f"a{i} AS MATERIALIZED (SELECT rid, p, min(({square}) * 16 + e) AS m "
+                   f"FROM x JOIN b{i - 1} b USING (p) GROUP BY rid, p)")
+        if i <= rounds:
+            sums = ", ".join(f"sum(w[{k}])::HUGEINT AS s{k}" for k in range(1, 9))
+            floors = ", ".join(f"((s{k} - ((s{k} % n) + n) % n) // n)::BIGINT" for k in range(1, 9))
+            out.append(f"m{i} AS (SELECT p, m % 16 AS e, count(*) AS n, {sums} FROM a{i} JOIN x USING (rid, p) GROUP BY ALL)")
+            out.append(f"b{i} AS MATERIALIZED (SELECT p, e, CASE WHEN n IS NULL THEN w ELSE [{floors}] END AS w "
+                       f"FROM b{i - 1} LEFT JOIN m{i} USING (p, e))")
+    return ",\n".join(out)
+
+
+ORACLE["op11_value_dictionaries"] = f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, label,
+         list_transform(embedding, lambda c: floor(4096 * c::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT rid, p, v[8 * p + 1:8 * p + 8] AS w FROM kept, (SELECT unnest(range(8)) AS p)),
+b0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, w
+  FROM x JOIN (SELECT rid, vec_id FROM kept ORDER BY vec_id LIMIT 16) USING (rid)),
+{_codebook_rounds(6)},
+coded AS (SELECT rid, string_agg(printf('%02x', m % 16), '' ORDER BY p) AS code, sum(m // 16)::BIGINT AS error
+          FROM a7 GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(array_to_string(flatten(list(w ORDER BY p, e)), ',')) FROM b6) AS codebooks_sha256
+FROM coded JOIN kept USING (rid)
+"""
+
+ORACLE["op12_strassen_negatives"] = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id AS id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS MATERIALIZED (
+  SELECT a.rid AS aid, a.id AS anchor_id, c.rid, c.id, a.label = c.label AS same,
+         list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM kept a JOIN kept c ON a.rid <> c.rid WHERE a.id % 100 = 0),
+positive AS (
+  SELECT aid, anchor_id, rid AS pid, id AS positive_id, score AS positive_score
+  FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY aid ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY aid, pid ORDER BY score DESC, id))::INTEGER AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (aid, anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY aid, pid ORDER BY score DESC, id) <= 5
+"""
