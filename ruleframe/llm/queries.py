@@ -6,8 +6,8 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from ruleframe.llm import (decontam, linededup, lm, negatives, packing, pii, quality, simhash, tokens, toxicity, urls,
-                           vectorcodes)
+from ruleframe.llm import (decontam, language, linededup, lm, negatives, packing, pii, quality, simhash, tokens,
+                           toxicity, urls, vectorcodes)
 from ruleframe.llm.common import crc_mod, importable, table, written
 from ruleframe.operators.joins import BROADCAST_BYTES, text_bytes
 
@@ -135,6 +135,16 @@ def op12_strassen_negatives(spark, sf_dir):
     return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
 
 
+@registered
+def op13_subword_softmax(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = language.train(language.training_rows(docs, ~held_out))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score",
+        "language.rejected")
+
+
 ORACLE["op3_quality_ledger"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,

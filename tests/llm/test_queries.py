@@ -23,13 +23,16 @@ COLUMNS = {
     "op8": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     "op9": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op10": ["doc_id", "n_lines", "n_removed", "text"],
+    "op11": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
+    "op12": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+    "op13": ["doc_id", "held_out", "lang_pred", "score"],
 }
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF001}/{t}.parquet'")
     return con
 
@@ -55,7 +58,7 @@ def got(spark):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -259,3 +262,12 @@ def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
     got = sorted(((r.doc_id, r.text) for r in P.near_dedup(spark, docs, SF001).collect()), key=repr)
     assert got == sorted([(5, "one two three four"), (3, "another text with words"), (None, "no id at all here"),
                           (7, None)], key=repr)
+
+
+def test_language(duck, got):
+    lang = dict(duck.execute("SELECT doc_id, lang FROM documents").fetchall())
+    rows = got("op13")
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert all(0 <= r.score <= 1 and r.lang_pred in {*lang.values(), "und"} for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.95 * len(held)
