@@ -43,6 +43,7 @@ TRAIN_ROWS = 8_000   # documents learned from at most, of all languages together
 MOST_LANGS = 512
 DRAWN = 1_024        # subwords kept of a training document
 EPOCHS, BATCH, STEP_SUBWORDS, RATE = 12, 32, 64, 2.0
+LEAST_STEPS = 2_000  # small samples are gone over more often
 ACCURACY = 0.99
 UNKNOWN = "und"
 
@@ -131,8 +132,9 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, langs: list[str]) -> Languag
         return model
     ends = np.cumsum([len(b) for b in bags])
     starts, sizes, flat = ends - [len(b) for b in bags], np.array([len(b) for b in bags]), np.concatenate(bags)
-    steps, step = EPOCHS * -(-len(bags) // BATCH), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(bags) // BATCH)))
+    steps, step = epochs * -(-len(bags) // BATCH), 0
+    for _ in range(epochs):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             rows = order[at:at + BATCH]
