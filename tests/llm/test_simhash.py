@@ -102,3 +102,41 @@ def test_edge_rows(spark):
     assert got == sorted([(5, 3), (3, 3), (9, 8), (8, 8), (8, 8), (None, 3), (None, None), (1, 1)], key=repr)
     empty = simhash.near_duplicates(df.limit(0))
     assert empty.count() == 0 and empty.columns == ["doc_id", "fp", "component_id", "root"]
+
+
+@pytest.mark.parametrize("cell_rows", [simhash.CELL_ROWS, 40])
+def test_spanning_links_connect_the_same(spark, cell_rows):
+    fps = _clusters(3, 20, 40, 4)
+    a = np.array(fps, np.uint64)
+    want = [(fps[i], fps[i + 1 + j]) for i in range(len(a))
+            for j in np.flatnonzero(np.bitwise_count(a[i + 1:] ^ a[i]) <= 2)]
+    df = spark.createDataFrame([(_signed(x),) for x in fps], "fp bigint")
+    got = [(r.a % 2**64, r.b % 2**64) for r in simhash.links(df, cell_rows=cell_rows, spanning=True).collect()]
+    assert _roots(fps, got) == _roots(fps, want)
+
+
+def test_only_clusters_go_to_the_neighbours(spark):
+    """Random fingerprints are split by pivots until cells fit; a ball around one fingerprint can't be."""
+    rng = np.random.default_rng(8)
+    spread = rng.integers(-2**63, 2**63 - 1, 3000)
+    ball = np.array([0, *(1 << b for b in range(63))])
+    for fps, most_dense in ((spread, 0), (np.concatenate([spread, ball]), len(ball) + 40)):
+        df = spark.createDataFrame([(int(x),) for x in fps], "fp bigint")
+        fit, dense = simhash.partition(df, len(fps), 2, cell_rows=40)
+        sizes = [r["count"] for rows in fit for r in rows.groupBy("cell").count().collect()]
+        left = {r.fp for rows in dense for r in rows.collect()}
+        assert max(sizes) <= 40 and len(left) <= most_dense
+        placed = {r.fp for rows in fit for r in rows.collect()} | left
+        assert placed <= set(fps.tolist())
+
+
+def test_close_pairs_equal_brute_force():
+    rng = np.random.default_rng(6)
+    fp = rng.integers(-2**63, 2**63 - 1, 700)
+    fp = np.unique(np.concatenate([fp, fp[:90] ^ 3, fp[:90] ^ (1 << 40), fp[:20] ^ 7]))
+    for distance in (1, 2, 3):
+        x, y = simhash.close_pairs(fp, distance)
+        near = np.bitwise_count((fp[:, None] ^ fp[None, :]).view(np.uint64)) <= distance
+        assert {(min(p), max(p)) for p in zip(x.tolist(), y.tolist())} == {
+            (i, j) for i, j in zip(*(c.tolist() for c in np.nonzero(near))) if i < j}
+    assert [len(c) for c in simhash.close_pairs(fp[:0], 2)] == [0, 0]
