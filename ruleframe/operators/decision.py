@@ -9,19 +9,23 @@ named columns, and a decision service is a projection of chosen outputs.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import product
-from typing import Any
+from datetime import date, datetime
+from decimal import Decimal
+from typing import Any, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ruleframe.functions.columns import is_missing
-from ruleframe.functions.sql import register_functions
-from ruleframe.model import RuleSuite
+from ruleframe.functions.trying import null_on_error
+from ruleframe.model import RuleSuite, quoted
 from ruleframe.operators.joins import join_small
+from ruleframe.operators.runner import fresh, stage
 from ruleframe.sources.bindings import Binding, bind_fields
 from ruleframe.suites import GROUPS, MISSING
 
+NAME_MARK = "\x1f"  # between field names
 HIT_POLICIES = ("UNIQUE", "FIRST", "ANY", "COLLECT")
 
 
@@ -113,11 +117,12 @@ class DecisionTable:
         The table is aggregated first (one row per input), so the join adds
         one row at most per record and broadcasts a side no larger than the table.
         """
-        counts = self.frame(spark).groupBy("input").agg(F.count(F.lit(1)).alias("hits"))
-        j = join_small(df, counts, [(value_col, "input")], self._bytes(), "left")
-        hits = F.coalesce(F.col("hits"), F.lit(0)).cast("int")
+        own, n = fresh(df, "__input"), fresh(df, "__hits")
+        counts = self.frame(spark).groupBy(F.col("input").alias(own)).agg(F.count(F.lit(1)).alias(n))
+        j = join_small(df, counts, [(value_col, own)], self._bytes(), "left").drop(own)
+        hits = F.coalesce(F.col(n), F.lit(0)).cast("int")
         ok = hits <= 1 if self.hit_policy == "UNIQUE" else F.lit(True)
-        return j.withColumn("hits", hits).withColumn("policy_ok", ok).drop("input")
+        return j.withColumns({"hits": hits, "policy_ok": ok}).drop(n)
 
 
 def lookup_frame(df: DataFrame, table: DataFrame, value_col: str, out: str, hit_policy: str = "UNIQUE",
@@ -141,13 +146,14 @@ def lookup_frame(df: DataFrame, table: DataFrame, value_col: str, out: str, hit_
         if broken is not None:
             value = F.when(broken, F.raise_error(F.concat(
                 F.lit(f"hit policy {hit_policy} broken by input "), F.first("input").cast("string")))).otherwise(value)
-    rows = table.groupBy("input").agg(value.alias("__output"), F.first(F.lit(True)).alias("__hit"))
-    joined = join_small(df, rows, [(value_col, "input")], table_bytes, "left").drop("input")
+    own, result, hit = fresh(df, "__input"), fresh(df, "__output"), fresh(df, "__hit")
+    rows = table.groupBy(F.col("input").alias(own)).agg(value.alias(result), F.first(F.lit(True)).alias(hit))
+    joined = join_small(df, rows, [(value_col, own)], table_bytes, "left").drop(own)
     if hit_policy == "COLLECT":
-        default = F.array().cast(joined.schema["__output"].dataType)
+        default = F.array().cast(joined.schema[result].dataType)
     # by the match, not by NULL: a matched row may hold a NULL output
-    found = F.when(F.col("__hit"), F.col("__output"))
-    return joined.withColumn(out, found if default is None else found.otherwise(default)).drop("__output", "__hit")
+    found = F.when(F.col(hit), F.col(result))
+    return joined.withColumn(out, found if default is None else found.otherwise(default)).drop(result, hit)
 
 
 def group_table(hit_policy: str = "UNIQUE") -> DecisionTable:
@@ -182,15 +188,8 @@ class DecisionModel:
         return {"evaluate": tuple(self._key(s, r) for s, r in self.suite.rules()), **self.decisions}
 
     def entry_names(self) -> list[str]:
-        """r<rule>, with s<set>_ before it when there are several sets (rule ids may repeat between them)."""
-        several = len(self.suite.sets) > 1
-        return [(f"s{s.id.id}_" if several else "") + f"r{r.id.id}" for s, r in self.suite.rules()]
-
-    def context(self, binding: Binding) -> Column:
-        """struct of the named entries (each a boolean)."""
-        refs = binding.refs()
-        return F.struct(*[F.expr(r.sql(refs, binding.errors_null)).alias(n)
-                          for n, (_, r) in zip(self.entry_names(), self.suite.rules())])
+        """The suite's entry names: a rule's own, else r<rule>, or s<set>_r<rule> with several sets."""
+        return self.suite.entry_names()
 
     def evaluate(self, spark: SparkSession, df: DataFrame, binding: Binding | None = None,
                  service: str | None = "DQService", out: str = "quality", as_json: bool = False,
@@ -202,27 +201,28 @@ class DecisionModel:
         text; with_context also keeps the named entries.  Rows whose JSON
         input cannot be read get a NULL result when the binding asks for it.
         """
-        b = binding or bind_fields()
-        if "__ctx" in df.columns:
-            raise ValueError("column __ctx is used inside: rename it")
-        register_functions(spark, self.suite.functions)
-        staged = b.prepare(df, self.suite.fields()).withColumn("__ctx", self.context(b))
-        entry = {self._key(s, r): n for n, (s, r) in zip(self.entry_names(), self.suite.rules())}
         decisions = self.all_decisions()
         names = list(decisions) if service is None else list(self.services[service])
         unknown = [n for n in names if n not in decisions]
         if unknown:
             raise ValueError(f"service {service!r} exposes unknown decisions {unknown}")
-        fields = [F.array(*[F.col("__ctx").getField(entry[k]) for k in decisions[n]]).alias(n) for n in names]
+        s = stage(spark, df, self.suite, binding)
+        context = fresh(s.df, "__ctx")
+        entries = F.struct(*[r.alias(n) for n, r in zip(self.entry_names(), s.rules)])
+        if s.binding.errors_null == "result":
+            entries = null_on_error(entries, s.holds)
+        staged = s.df.withColumn(context, entries)
+        entry = {self._key(x, r): n for n, (x, r) in zip(self.entry_names(), self.suite.rules())}
+        fields = [F.array(*[F.col(context).getField(entry[k]) for k in decisions[n]]).alias(n) for n in names]
         if with_context:
-            fields.append(F.col("__ctx").alias("context"))
+            fields.append(F.col(context).alias("context"))
         res = F.struct(*fields)
-        bad = b.bad_record()
-        if bad is not None:
-            res = F.when(bad, F.lit(None)).otherwise(res)
+        for bad in (s.binding.bad_record(), F.col(context).isNull() if s.binding.errors_null == "result" else None):
+            if bad is not None:
+                res = F.when(bad, F.lit(None)).otherwise(res)
         if as_json:
             res = F.to_json(res)
-        return b.cleanup(staged.withColumn(out, res).drop("__ctx"))
+        return s.cleanup(staged.withColumn(out, res).drop(context))
 
 
 @dataclass(frozen=True)
@@ -240,37 +240,94 @@ def conditions(rule_table) -> list[Condition]:
             else Condition(rid, {"location": GROUPS[test], "department": (dept,)}) for rid, test, dept in rule_table]
 
 
+def condition_frame(spark: SparkSession, rules: Sequence[Condition]) -> DataFrame:
+    """The rules as a frame for :func:`rule_hits`: rule_id, missing, and an array column of values for each field."""
+    fields = sorted({f for r in rules for f in r.values})
+    kinds = {f: _array_type(f, [v for r in rules for v in r.values.get(f, ())]) for f in fields}
+    rows = [(r.rule_id, list(r.missing), *[list(r.values[f]) if f in r.values else None for f in fields]) for r in rules]
+    ddl = "".join(f", {quoted(f)} array<{kinds[f]}>" for f in fields)
+    return spark.createDataFrame(rows, f"rule_id int, missing array<string>{ddl}")
+
+
+def _array_type(field: str, values: list) -> str:
+    kinds = {type(v) for v in values if v is not None}
+    for types, name in ((({bool}), "boolean"), ({int}, "bigint"), ({int, float}, "double"), ({Decimal}, "decimal(38,18)"),
+                        ({datetime}, "timestamp"), ({date}, "date"), ({bytes}, "binary"), ({str}, "string")):
+        if kinds <= types:
+            return name if kinds else "string"
+    raise ValueError(f"values of {field!r} are of different types: {sorted(k.__name__ for k in kinds)}")
+
+
+def _common_type(df: DataFrame, a: T.DataType, b: T.DataType) -> str:
+    """The type in which Spark compares the two."""
+    null = lambda t: F.lit(None).cast(t)
+    return df.limit(0).select(F.array(null(a), null(b)).alias("x")).schema["x"].dataType.elementType.simpleString()
+
+
 def rule_hits(spark: SparkSession, records: DataFrame, rules, key: str, binding: Binding | None = None) -> DataFrame:
     """(key, rule_id) for every rule that is TRUE on a record, by one equi-join.
 
-    ``rules``: :class:`Condition` rows over any fields, or the benchmark's
-    rule table.  Rules over the same fields share a shape.  A record emits
-    one probe a shape - its values as text - and one join with the rules in
-    long form (a row for each combination of values) finds those it meets.
-    One scan of the records; output <= rules x records.  A NULL value matches
-    nothing, as a NULL rule result is not TRUE; a bad record matches nothing.
+    ``rules`` is a frame of any size: ``rule_id``, optionally ``missing``
+    (array of fields that must be null or blank) and for each field a column
+    with the value, or an array of the values, that the rule allows; NULL
+    where it does not ask for the field.  :class:`Condition` rows and the
+    benchmark's rule table are made into one.
+
+    Rules over the same fields share a shape.  The executors expand each rule
+    to a row for each combination of its values; a record emits one probe for
+    each shape - its own values, typed, in the type that Spark compares both
+    in - and one join finds the rules that it meets.  Only the shapes reach
+    the driver.  One scan of the records; output <= rules x records; a row
+    that lists a value twice counts once, two rows with one id count each.  A NULL value matches
+    nothing, as a NULL rule result is not TRUE; a value that the common type
+    can't hold matches nothing; a bad record matches nothing.
     """
-    rules = [r if isinstance(r, Condition) else conditions([r])[0] for r in rules]
-    b = binding or bind_fields()
-    prepared = b.prepare(records)
+    if not isinstance(rules, DataFrame):
+        rules = condition_frame(spark, [r if isinstance(r, Condition) else conditions([r])[0] for r in rules])
+    b = (binding or bind_fields()).over(records)
+    fields = [f for f in rules.columns if f.lower() not in ("rule_id", "missing")]
+    if {"asked", "was_asked"} & {f.lower() for f in fields}:
+        raise ValueError("fields named asked or was_asked: rename them")
+    missing = F.sort_array(F.col("missing")) if "missing" in rules.columns else F.lit(None).cast("array<string>")
+    missing = F.coalesce(missing, F.array().cast("array<string>"))
+    prepared = b.prepare(records, {*fields, *_named_missing(rules, missing)})
     bad = b.bad_record()
     if bad is not None:
         prepared = prepared.where(~F.coalesce(bad, F.lit(False)))
-    shapes = sorted({(tuple(sorted(r.values)), tuple(sorted(r.missing))) for r in rules})
-    long_form = [(shapes.index((tuple(sorted(r.values)), tuple(sorted(r.missing)))), [str(v) for v in combination], r.rule_id)
-                 for r in rules for combination in product(*[r.values[f] for f in sorted(r.values)])]
-    table = spark.createDataFrame(long_form, "rule_shape int, rule_values array<string>, rule_id int")
-    value = lambda f: F.expr(b.ref(f))
+
+    own = {f: prepared.select(F.expr(b.ref(f)).alias("x")).schema["x"].dataType for f in fields}
+    asked = F.concat_ws(NAME_MARK, *[F.when(F.col(quoted(f)).isNotNull(), F.lit(f)) for f in fields])
+    kinds, table = {}, rules.select("rule_id", F.concat_ws(NAME_MARK, missing).alias("missing"), asked.alias("asked"),
+                                    *[quoted(f) for f in fields])
+    for f in fields:
+        kind, value = table.schema[f].dataType, F.col(quoted(f))
+        if not isinstance(kind, T.ArrayType):
+            kind, value = T.ArrayType(kind), F.when(value.isNotNull(), F.array(value))
+        kinds[f] = _common_type(prepared, own[f], kind.elementType)
+        # a rule that does not ask for the field keeps one row, with NULL; a value that can't be cast goes
+        allowed = F.coalesce(F.array_distinct(value.try_cast(f"array<{kinds[f]}>")), F.array(F.lit(None).cast(kinds[f])))
+        table = (table.withColumn("was_asked", value.isNotNull()).withColumn(f, F.explode(allowed))
+                 .where(F.col(quoted(f)).isNotNull() | ~F.col("was_asked")))
+    table = table.select("rule_id", F.struct("asked", "missing", *[quoted(f) for f in fields]).alias("met"))
+
     probes = []
-    for i, (fields, missing) in enumerate(shapes):
+    for shape in rules.select(asked.alias("asked"), F.concat_ws(NAME_MARK, missing).alias("missing")).distinct().collect():
+        names, absent = ({n for n in shape[c].split(NAME_MARK) if n} for c in ("asked", "missing"))
+        values = {f: F.expr(b.ref(f)).try_cast(kinds[f]) if f in names else F.lit(None).cast(kinds[f]) for f in fields}
         met = F.lit(True)
-        for f in fields:
-            met = met & value(f).isNotNull()
-        for f in missing:
-            met = met & is_missing(value(f))
-        probes.append(F.when(met, F.struct(F.lit(i).alias("shape"), F.array(
-            *[value(f).cast("string") for f in fields]).cast("array<string>").alias("values"))))
-    probe = (prepared.select(F.col(key).alias(key), F.explode(F.array(*probes)).alias("p")).where(F.col("p").isNotNull())
-             .select(key, "p.shape", "p.values"))
-    return join_small(probe, table, [("shape", "rule_shape"), ("values", "rule_values")],
-                      small_bytes=sum(24 + sum(len(v) + 8 for v in row[1]) for row in long_form)).select(key, "rule_id")
+        for f in sorted(names):
+            met = met & values[f].isNotNull()
+        for f in sorted(absent):
+            met = met & is_missing(F.expr(b.ref(f)))
+        probes.append(F.when(met, F.struct(*[F.lit(shape[c]).alias(c) for c in ("asked", "missing")],
+                                           *[v.alias(f) for f, v in values.items()])))
+    if not probes:  # no rules
+        probes = [F.lit(None).cast(table.schema["met"].dataType)]
+    probe = (prepared.select(F.col(key).alias("key"), F.explode(F.array(*probes)).alias("own"))
+             .where(F.col("own").isNotNull()))
+    return join_small(probe, table, [("own", "met")]).select(F.col("key").alias(key), "rule_id")
+
+
+def _named_missing(rules: DataFrame, missing: Column) -> set[str]:
+    """Fields that some rule wants missing: as many as there are, whatever the number of rules."""
+    return {r[0] for r in rules.select(F.explode(missing).alias("f")).distinct().collect()}

@@ -6,7 +6,6 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # A side of at most this many bytes (as text) is broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -29,82 +28,3 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[tuple[str, str]],
     if (text_bytes(small) if small_bytes is None else small_bytes) <= limit:
         small = F.broadcast(small)
     return big.join(small, [big[b] == small[s] for b, s in on], how)
-
-
-def _partitions(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def hot_keys(big: DataFrame, cols: Sequence[str], partitions: int | None = None) -> list[tuple[tuple, int]]:
-    """Keys of ``big`` too large for one task, each with the number of slices it needs.
-
-    With ``partitions`` reduce tasks (default: the shuffle partition
-    setting) a task should take about ``total / partitions`` rows; a key
-    with more is hot and gets ``ceil(count / per_task)`` slices.  Exact: a
-    row count and a grouping aggregation over the key columns only (partial
-    per task).  At most ``partitions`` keys can be hot, so the list brought
-    to the driver is bounded whatever the size of ``big``.  NULL keys are
-    left out (an equi-join never matches them; :func:`skew_join` spreads them).
-
-    Both passes read ``big`` again: cheap for a Parquet scan (key columns
-    only), not for an expensive derived frame, which is better written to
-    the shared folder (``sources.io.scratch_path``) and read back first.
-    """
-    parts = partitions or _partitions(big.sparkSession)
-    total = big.count()
-    per_task = max(1, -(-total // parts))
-    cond = F.col("__n") > per_task
-    for c in cols:
-        cond = cond & F.col(c).isNotNull()
-    rows = big.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).where(cond).collect()
-    return [(tuple(r[c] for c in cols), -(-r["__n"] // per_task)) for r in rows]
-
-
-def skew_join(big: DataFrame, small: DataFrame, on: Sequence[tuple[str, str]], how: str = "inner",
-              salt_key: str | None = None, hot: list[tuple[tuple, int]] | None = None,
-              partitions: int | None = None) -> DataFrame:
-    """Shuffle equi-join in which every hot key is split into task-sized slices.
-
-    ``hot`` is (key, slices) from :func:`hot_keys`.  A row of ``big`` with a
-    hot key gets a salt in 0..slices-1, a row with a NULL key (it matches
-    nothing, but would otherwise all hash to one task) a salt over all
-    partitions, every other row salt 0.  Rows of ``small`` with a hot key are
-    repeated once per slice, the rest appear once with salt 0, so each big
-    row meets exactly the small rows it would meet without salting: nothing
-    is dropped or duplicated, and the extra shuffle is the small rows of hot
-    keys times their slices.  The hot-key table has at most ``partitions``
-    rows and is broadcast to mark both sides.
-
-    The salt must be the same when a lost task recomputes: a hash of
-    ``salt_key`` (a unique column) or, by default, of the whole row.
-    """
-    spark = big.sparkSession
-    parts = partitions or _partitions(spark)
-    bcols = [b for b, _ in on]
-    if hot is None:
-        # a stream has no finished input to count: only NULL keys are spread
-        # there, and a hot key is left to AQE's skew-join split
-        hot = [] if big.isStreaming else hot_keys(big, bcols, parts)
-    fields = {f.name: f for f in big.schema.fields}
-    hk = [f"__hk{i}" for i in range(len(bcols))]
-    schema = T.StructType([T.StructField(h, fields[b].dataType) for h, b in zip(hk, bcols)]
-                          + [T.StructField("__slices", T.LongType())])
-    table = F.broadcast(spark.createDataFrame([(*k, n) for k, n in hot], schema))
-
-    salt_cols = [F.col(salt_key)] if salt_key else [
-        F.col(f.name) for f in big.schema.fields if "map<" not in f.dataType.simpleString()]  # maps are not hashable
-    h = F.xxhash64(*salt_cols)
-    any_null = F.lit(False)
-    for c in bcols:
-        any_null = any_null | F.col(c).isNull()
-    marked = big.join(table, [big[b] == table[x] for b, x in zip(bcols, hk)], "left").drop(*hk)
-    salted_big = marked.withColumn(
-        "__salt", F.when(any_null, F.pmod(h, F.lit(parts)))
-        .when(F.col("__slices").isNotNull(), F.pmod(h, F.col("__slices")))
-        .otherwise(F.lit(0).cast("bigint"))).drop("__slices")
-    smarked = small.join(table, [small[s] == table[x] for (_, s), x in zip(on, hk)], "left").drop(*hk)
-    salts = F.when(F.col("__slices").isNotNull(), F.sequence(F.lit(0).cast("bigint"), F.col("__slices") - 1)).otherwise(
-        F.array(F.lit(0).cast("bigint")))
-    salted_small = smarked.withColumn("__salt", F.explode(salts)).drop("__slices")
-    cond = [salted_big[b] == salted_small[s] for b, s in on] + [salted_big["__salt"] == salted_small["__salt"]]
-    return salted_big.join(salted_small, cond, how).drop(salted_big["__salt"]).drop(salted_small["__salt"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ruleframe.model import RuleSuite
-from ruleframe.operators.runner import suite_result, with_vector
+from ruleframe.operators.runner import null_without_vector, suite_result, with_vector
 from ruleframe.sources.bindings import Binding, bind_fields
 
 
@@ -87,7 +87,7 @@ def distinct_suite_results(spark: SparkSession, df: DataFrame, suite: RuleSuite,
     b = binding or bind_fields()
     v = with_vector(spark, df, suite, b, out="__v")
     per_vector = v.groupBy("__v").agg(F.count(F.lit(1)).alias("__n"))
-    res = per_vector.select(suite_result(F.col("__v"), suite, compat, b.bad_record() is not None).alias("__r"), "__n")
+    res = per_vector.select(suite_result(F.col("__v"), suite, compat, null_without_vector(b), whole=True).alias("__r"), "__n")
     dtype = res.schema["__r"].dataType
     return res.groupBy(comparable(F.col("__r"), dtype).alias(out)).agg(F.sum("__n").alias("n"))
 

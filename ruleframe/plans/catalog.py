@@ -20,14 +20,14 @@ from ruleframe.operators.decision import (Condition, DecisionModel, DecisionTabl
 from ruleframe.operators.joins import join_small
 from ruleframe.operators.results import distinct_suite_results, flatten_audit, flatten_vector, rule_counts, suite_counts
 from ruleframe.operators.runner import audit, audit_compat, rule_column, run_rules, template_vector, with_vector
-from ruleframe.sources.bindings import bind_fields, bind_json, bind_struct, typed_record
+from ruleframe.sources.bindings import bind_fields, bind_json, bind_struct, lossless, typed_record
 from ruleframe.sources.io import cache_count, count_evaluated, is_folder, read_parquet, scratch_path, write_parquet
 from ruleframe.sources.records import generate_records
 from ruleframe.sources.tables import customer_edge_records, customer_records, read_table
 from ruleframe.streaming.stream import run_to_parquet
 from ruleframe.suites import (DECISION_SUITE_RULES, GROUPS, ORDERS_FIELDS, ORDERS_RULE_SETS, PRIORITY_GROUPS, RECORD_FIELDS,
-                              SQL_SUITE_RULES, baseline_rules, decision_suite, orders_suite, record_ddl, sql_quote,
-                              sql_suite)
+                              SQL_SUITE_RULES, baseline_rules, decision_suite, make_suite, orders_suite, record_ddl,
+                              sql_quote, sql_suite)
 
 RULE_IDS = [r for r, _, _ in SQL_SUITE_RULES]
 N_RULES = len(RULE_IDS)
@@ -479,6 +479,136 @@ def typed_input(spark, sf_dir):
     return typed.withColumns({c: F.col(c).cast("string") for c in ("id", "page")})
 
 
+# ---- rules over other rules, nested records, errors, rules from a table, libraries -------------------------
+
+def _chain() -> RuleSuite:
+    """Rules that use other rules' results, before and after their own place."""
+    rules = (Rule(Id(1, 1), "{department} IN ('sales', 'hr')", name="people"), Rule(Id(2, 1), "{id} % 3 = 0"),
+             Rule(Id(3, 1), "{people} AND {r2}"), Rule(Id(4, 1), "NOT {r3} OR {abroad}"),
+             Rule(Id(5, 1), "`dq is applicable for`('Non UK', {location})", name="abroad"),
+             Rule(Id(6, 1), "{r4} AND NOT {r2} AND {page} < 9"))
+    return RuleSuite(Id(8, 1), (RuleSet(Id(1, 1), rules),), sql_suite().functions)
+
+
+def entry_chain(spark, sf_dir):
+    """The vector, the audit and the decision model's entries of rules over other rules."""
+    suite = _chain()
+    out = with_vector(spark, customer_edge_records(spark, sf_dir), suite, out="v")
+    out = run_rules(spark, out, suite)
+    out = DecisionModel(suite).evaluate(spark, out, service=None, out="d", with_context=True)
+    entries = [F.col("d.context").getField(n).alias(f"c{i}") for i, n in enumerate(suite.entry_names(), 1)]
+    return out.select("key", F.col("quality.any_failed").alias("any_failed"), *flatten_vector(F.col("v"), 6), *entries)
+
+
+NESTED_DDL = ("customer STRUCT<id: BIGINT, address: STRUCT<city: STRING, zone: STRUCT<code: STRING, page: BIGINT, spare: STRING>>>, "
+              "tags ARRAY<STRUCT<name: STRING, weight: INT>>")
+NESTED_RULES = ("{customer.address.city} = 'US' AND {customer.id} % 2 = 0", "{customer.address.zone.code} LIKE 'A%'",
+                "{Customer.Address.Zone.Page} > 10 OR {town} IS NULL", "array_contains({tags.name}, {town})")
+
+
+def nested_paths(spark, sf_dir):
+    """One suite over nested fields, a nested struct and nested JSON."""
+    e = customer_edge_records(spark, sf_dir)
+    zone = F.struct(F.col("idPrefix").alias("code"), "page", F.lit("unused").alias("spare"))
+    customer = F.struct(F.col("key").alias("id"), F.struct(F.col("location").alias("city"), zone.alias("zone")).alias("address"))
+    tags = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("weight")) for i, n in enumerate(("US", "CH"))])
+    out = e.select("key", customer.alias("customer"), tags.alias("tags"))
+    out = out.withColumn("record", F.struct("customer", "tags")).withColumn("text", F.to_json("record"))
+    suite = RuleSuite(Id(10, 1), (RuleSet(Id(1, 1), tuple(Rule(Id(i, 1), t) for i, t in enumerate(NESTED_RULES, 1))),))
+    town = "customer.address.city"
+    for name, b in (("f", bind_fields({"town": town})), ("s", bind_struct("record", {"town": f"record.{town}"})),
+                    ("j", bind_json("text", NESTED_DDL, columns={"town": town}))):
+        out = with_vector(spark, out, suite, b, out=f"v{name}")
+    return out.select("key", *[c for n in "fsj" for c in flatten_vector(F.col(f"v{n}"), len(NESTED_RULES), n)])
+
+
+# Each fails on some rows: written as ::, as a function, implicitly, by division, index, date, number and overflow.
+FAILING_RULES = ("{v}::int > 700", "int({v}) > 700", "{v} > 700", "100 / {page} > 10", "array(1, 2)[{page}] = 1",
+                 "to_date({v}, 'yyyy') > DATE'0800-01-01'", "to_number({v}, '999') > 700", "2147483600 + cast({page} AS INT) > 0",
+                 "if({page} = 3, raise_error('three'), {page} > 1)", "{page} % 2 = 0")
+
+
+def rule_errors_null(spark, sf_dir):
+    """Rules that fail are NULL; with "result" a row with a failing rule has no result at all."""
+    e = customer_edge_records(spark, sf_dir)
+    v = F.lpad(F.pmod("key", F.lit(1000)).cast("string"), 4, "0")
+    df = e.select("key", "page", F.when(F.col("balance") < 0, F.concat(F.lit("x"), v)).otherwise(F.substring(v, 2, 3)).alias("v"))
+    suite = RuleSuite(Id(11, 1), (RuleSet(Id(1, 1), tuple(Rule(Id(i, 1), t) for i, t in enumerate(FAILING_RULES, 1))),))
+    out = with_vector(spark, df, suite, bind_fields(errors_null="rule"), out="each")
+    some = RuleSuite(Id(12, 1), (RuleSet(Id(1, 1), suite.sets[0].rules[:3]),))
+    out = with_vector(spark, out, some, bind_fields(errors_null="result"), out="whole")
+    return out.select("key", *flatten_vector(F.col("each"), len(FAILING_RULES)), F.col("whole").isNull().alias("no_result"),
+                      *flatten_vector(F.col("whole"), 3, "w"))
+
+
+def rules_frame_hits(spark, sf_dir):
+    """Rules from a table: each day's statuses and prices of urgent orders, met by any order."""
+    orders = _orders(spark, sf_dir)
+    day = F.col("o_orderdate").cast("date")
+    rules = orders.where("o_orderpriority = '1-URGENT'").groupBy(day.alias("day")).agg(
+        F.collect_set("o_orderstatus").alias("status"), F.datediff(F.first(day), F.lit("1990-01-01").cast("date")).alias("rule_id"))
+    prices = orders.where("o_orderpriority = '1-URGENT' AND o_orderkey % 10 = 0").select(
+        (-F.col("o_orderkey")).cast("int").alias("rule_id"), F.col("o_totalprice").alias("price"))
+    rules = rules.unionByName(prices, allowMissingColumns=True)
+    records = orders.select("o_orderkey", day.alias("day"), "o_orderstatus", F.col("o_totalprice").cast("decimal(15,2)").alias("total"))
+    return rule_hits(spark, records, rules, "o_orderkey", bind_fields({"status": "o_orderstatus", "price": "total"}))
+
+
+def _two_libraries() -> RuleSuite:
+    """Two libraries with the same function names, the second under a prefix and with a function over its others."""
+    either = FunctionDef("either", (("g", "STRING"), ("loc", "STRING"), ("v", "STRING")), "BOOLEAN",
+                         "isMissing(v) OR `dq is applicable for`(g, loc)", Id(7, 2))
+    rules = (Rule(Id(1, 1), "`dq is applicable for`({grp}, {location})"),
+             Rule(Id(2, 3), "`model.dq is applicable for`({grp}, {location})"),
+             Rule(Id(3, 1), "`model.either`({grp}, {location}, {id}) AND {id} % 2 = 0"), Rule(Id(4, 1), "isMissing({id})"),
+             Rule(Id(5, 1), "{id} > 100"))
+    base = RuleSuite(Id(13, 1), (RuleSet(Id(1, 1), rules),), sql_suite().functions)
+    model = (make_suite(default=None).functions[0], make_suite().functions[1], either)
+    return base.with_functions(model, "model.")
+
+
+def imported_library(spark, sf_dir):
+    suite = _two_libraries()
+    out = with_vector(spark, _grp_records(spark, sf_dir), suite)
+    return out.select("key", *flatten_vector(F.col("quality"), 5))
+
+
+def _grp_records(spark, sf_dir):
+    e = customer_edge_records(spark, sf_dir)
+    return e.select("key", "id", "location", case_lookup(F.col("code"), SEGMENT_GROUP).alias("grp"))
+
+
+def function_usage(spark, sf_dir):
+    """Every function of two libraries: identity, rules that depend on it, and how often those are TRUE."""
+    suite = _two_libraries()
+    counts = suite_counts(with_vector(spark, _grp_records(spark, sf_dir), suite), "quality", suite)
+    uses = suite.function_metadata(spark)
+    both = join_small(uses, counts.select(F.col("rule_id").alias("counted"), "n_true"), [("rule_id", "counted")], how="left")
+    return both.groupBy("function_name", "function_id", "function_version").agg(
+        F.count("rule_id").alias("n_rules"), F.count_if("direct").alias("n_direct"),
+        F.coalesce(F.sum("n_true"), F.lit(0)).cast("bigint").alias("n_true"))
+
+
+# Text and other values that lose something in the declared type on some rows.
+LOSSY_FIELDS = (("price", "DECIMAL(12,1)"), ("stamp", "DATE"), ("big", "FLOAT"), ("status", "CHAR(3)"), ("total", "INT"),
+                ("moment", "DATE"), ("whole", "FLOAT"))
+
+
+def typed_loss(spark, sf_dir):
+    """One flag for each pair of types: whether the order's value keeps its meaning."""
+    o, key = _orders(spark, sf_dir), F.col("o_orderkey")
+    cents = (key % 7).cast("string")
+    df = o.select(
+        key.alias("key"), F.concat((key % 900).cast("string"), F.lit("."), cents, F.lit("0")).alias("price"),
+        F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(key % 3 == 0, F.lit(" 10:00:00")).otherwise(F.lit(""))).alias("stamp"),
+        (F.lit(16777216) + key).cast("string").alias("big"),
+        F.concat("o_orderstatus", F.substring("o_orderpriority", 3, 3)).alias("status_4"),
+        F.col("o_orderstatus").alias("status_1"), F.col("o_totalprice").alias("total"),
+        F.timestamp_seconds(key * 43200).cast("timestamp_ntz").alias("moment"), (F.lit(16777216) + key).alias("whole"))
+    df = df.withColumn("status", F.when(F.col("key") % 2 == 0, F.col("status_4")).otherwise(F.col("status_1")))
+    return df.select("key", *[lossless(df, name, typ)[1].alias(f"{name}_ok") for name, typ in LOSSY_FIELDS])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gen_records": gen_records,
     "copy_records": copy_records,
@@ -531,4 +661,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orders_rule_hits": orders_rule_hits,
     "orders_audit": orders_audit,
     "orders_rule_counts": orders_rule_counts,
+    "entry_chain": entry_chain,
+    "nested_paths": nested_paths,
+    "rule_errors_null": rule_errors_null,
+    "rules_frame_hits": rules_frame_hits,
+    "imported_library": imported_library,
+    "function_usage": function_usage,
+    "typed_loss": typed_loss,
 }

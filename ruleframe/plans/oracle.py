@@ -298,3 +298,49 @@ ORACLE["orders_rule_counts"] = " UNION ALL ".join(
     f"count(*) FILTER (WHERE {p} IS NULL) AS n_null FROM orders" for rid, p in _op.items())
 ORACLE["orders_rule_hits"] = " UNION ALL ".join(
     f"SELECT o_orderkey, {rid} AS rule_id FROM orders WHERE {p}" for rid, p in _op.items() if rid < 6)
+
+_chain = """
+a AS (SELECT *, department IN ('sales', 'hr') AS e1, id % 3 = 0 AS e2, location IN ('US', 'CH', 'MX', 'BR') AS e5 FROM edge),
+b AS (SELECT *, e1 AND e2 AS e3 FROM a), d AS (SELECT *, NOT e3 OR e5 AS e4 FROM b),
+f AS (SELECT *, e4 AND NOT e2 AND page < 9 AS e6 FROM d)"""
+_e = [f"e{i}" for i in range(1, 7)]
+ORACLE["entry_chain"] = _w(EDGE).rstrip() + f", {_chain} SELECT key, {_any_failed(_e)} AS any_failed, " + ", ".join(
+    f"e{i} AS r{i}, e{i} AS c{i}" for i in range(1, 7)) + " FROM f"
+_nested = ("location = 'US' AND key % 2 = 0", "idPrefix LIKE 'A%'", "page > 10 OR location IS NULL",
+           "CASE WHEN location IS NULL THEN NULL ELSE location IN ('US', 'CH') END")
+ORACLE["nested_paths"] = _w(EDGE) + "SELECT key, " + ", ".join(
+    f"{p} AS {n}{i}" for n in "fsj" for i, p in enumerate(_nested, 1)) + " FROM edge"
+_number = "CASE WHEN balance < 0 THEN NULL ELSE key % 1000 END"
+_failing = (f"{_number} > 700", f"{_number} > 700", f"{_number} > 700",
+            "CASE WHEN page <> 0 THEN 100.0 / page > 10 END", "CASE page WHEN 0 THEN true WHEN 1 THEN false END",
+            "NULL::BOOLEAN", f"{_number} > 700", "CASE WHEN 2147483600 + page <= 2147483647 THEN true END",
+            "CASE WHEN page <> 3 THEN page > 1 END", "page % 2 = 0")
+ORACLE["rule_errors_null"] = _w(EDGE) + "SELECT key, " + ", ".join(
+    f"{p} AS r{i}" for i, p in enumerate(_failing, 1)) + ", balance < 0 AS no_result, " + ", ".join(
+    f"{_number} > 700 AS w{i}" for i in (1, 2, 3)) + " FROM edge"
+ORACLE["rules_frame_hits"] = """
+WITH u AS (SELECT o_orderdate::DATE AS day, o_orderstatus AS status, o_totalprice AS price, o_orderkey AS k
+           FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT o_orderkey, date_diff('day', DATE '1990-01-01', day)::INTEGER AS rule_id
+FROM orders JOIN (SELECT DISTINCT day, status FROM u) ON o_orderdate::DATE = day AND o_orderstatus = status
+UNION ALL SELECT o_orderkey, (-k)::INTEGER FROM orders JOIN u ON o_totalprice = price AND k % 10 = 0"""
+_grp = _case("code", SEGMENT_GROUP)
+_known_grp = f"{_grp} IN ({', '.join(_s(g) for g in GROUPS)})"
+_member = "(" + " OR ".join(f"({_grp} = {_s(g)} AND {_in(g)})" for g in GROUPS) + ")"
+_sql_member = f"CASE WHEN location IS NULL THEN NULL ELSE COALESCE({_member}, false) END"
+_model_member = f"CASE WHEN location IS NULL OR {_grp} IS NULL OR NOT {_known_grp} THEN NULL ELSE {_member} END"
+_library = (_sql_member, _model_member, f"(({_missing('id')} OR {_model_member}) AND id % 2 = 0)", _missing("id"), "id > 100")
+ORACLE["imported_library"] = _w(EDGE) + "SELECT key, " + ", ".join(
+    f"{p} AS r{i}" for i, p in enumerate(_library, 1)) + " FROM edge"
+_uses = (("dq is applicable for", 5, 1, 1, (1,)), ("isMissing", 6, 1, 1, (4,)),
+         ("model.dq is applicable for", 5, 1, 1, (2, 3)), ("model.isMissing", 6, 1, 0, (3,)), ("model.either", 7, 2, 1, (3,)))
+ORACLE["function_usage"] = _w(EDGE) + " UNION ALL ".join(
+    f"SELECT {_s(name)} AS function_name, {fid} AS function_id, {version} AS function_version, {len(rules)}::BIGINT AS n_rules, "
+    f"{direct}::BIGINT AS n_direct, (" + " + ".join(f"count(*) FILTER (WHERE {_library[r - 1]})" for r in rules) + ") AS n_true FROM edge"
+    for name, fid, version, direct, rules in _uses)
+ORACLE["typed_loss"] = """
+SELECT o_orderkey AS key, true AS price_ok, o_orderkey % 3 <> 0 AS stamp_ok,
+       o_orderkey % 2 = 0 AND (o_orderkey < 16777216 OR o_orderkey % 4 = 0) AS big_ok, o_orderkey % 2 <> 0 AS status_ok,
+       o_totalprice = floor(o_totalprice) AS total_ok, o_orderkey % 2 = 0 AS moment_ok,
+       o_orderkey % 2 = 0 AND (o_orderkey < 16777216 OR o_orderkey % 4 = 0) AS whole_ok
+FROM orders"""

@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Set only when the session has none (local tests): then a fresh local
-    folder is used.  On a cluster this must be a shared file system path.
+    Set here only when a local session has none (tests): then a fresh local
+    folder is used.  On a cluster a session without one raises.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         except Exception:  # sessions without a SparkContext (Spark Connect)
             d = None
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
         # ``spark.checkpoint.dir`` is a core setting that a running session
         # may not change; the context's checkpoint folder can still be set.
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ruleframe-ckpt-"))

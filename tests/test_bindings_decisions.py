@@ -105,36 +105,31 @@ def test_join_small_above_the_limit_matches_broadcast(spark):
         assert "BroadcastHashJoin" in plan_text(known, "simple") and known.exceptAll(bcast).count() == 0
 
 
-def test_skew_join_salts_only_hot_keys(spark):
-    """A third of the rows on one key and a block of NULL keys: same rows as a broadcast, spread tasks."""
-    from ruleframe.operators.joins import hot_keys, skew_join
-
+def test_join_beyond_the_broadcast_limit_splits_hot_keys(spark):
+    """A third of the rows on one key and a block of NULL keys: same rows as a broadcast, the hot key in several tasks."""
     big = spark.range(30000).select(
-        F.col("id").alias("rid"),
+        F.col("id").alias("rid"), F.sha2(F.col("id").cast("string"), 512).alias("wide"),
         F.when(F.col("id") < 10000, F.lit(5)).when(F.col("id") < 12000, F.lit(None))
-        .otherwise(F.col("id")).cast("int").alias("k"))
+        .otherwise(F.col("id")).cast("int").alias("k")).repartition(8)
     small = spark.range(20000).select(F.col("id").cast("int").alias("sk"), (F.col("id") * 10).alias("v"))
-    # 8 partitions: 3,750 rows per task, so the 10,000-row key needs 3 slices
-    assert hot_keys(big, ["k"], partitions=8) == [((5,), 3)]
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # keep the shuffle join
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         for how in ("inner", "left"):
-            salted = skew_join(big, small, [("k", "sk")], how, salt_key="rid", partitions=16).select("rid", "v")
+            shuffled = join_small(big, small, [("k", "sk")], how=how, limit=0).select("rid", "v")
             bcast = join_small(big, small, [("k", "sk")], 20000, how=how).select("rid", "v")
-            assert salted.count() == bcast.count() == (30000 if how == "left" else 18000)
-            assert salted.exceptAll(bcast).count() == 0 and bcast.exceptAll(salted).count() == 0
-        # the hot key's 10,000 rows are cut into 6 slices (16 partitions: 1,875 rows per task); hashed
-        # into 16 shuffle partitions the largest task holds well under half of them, not all
-        spark.conf.set("spark.sql.shuffle.partitions", "16")
-        j = skew_join(big, small, [("k", "sk")], "left", salt_key="rid")
-        tasks = [r["n"] for r in j.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
-                 .collect()]
-        assert sum(tasks) == 30000 and max(tasks) < 5000
+            assert shuffled.count() == bcast.count() == (30000 if how == "left" else 18000)
+            assert shuffled.exceptAll(bcast).count() == 0 and bcast.exceptAll(shuffled).count() == 0
+        j = join_small(big, small, [("k", "sk")], how="left", limit=0)
+        tasks = [r["n"] for r in j.groupBy(F.spark_partition_id().alias("p")).agg(
+            F.count_if((F.col("k") == 5) & (F.length("wide") > 0)).alias("n")).collect() if r["n"]]
+        assert sum(tasks) == 10000 and len(tasks) > 1
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for k in settings:
+            spark.conf.unset(k)
 
 
 def test_decision_model_service_and_json(spark):

@@ -17,7 +17,8 @@ from conftest import SF001
 
 # Queries that end in an aggregation: one shuffle of per-task partial results.
 AGGREGATING = {"suite_count", "suite_cache_count", "suite_metadata", "rule_counts", "distinct_results",
-               "decision_table_conflicts", "orders_rule_counts", "wide_rule_counts", "decision_table_lookup"}
+               "decision_table_conflicts", "orders_rule_counts", "wide_rule_counts", "decision_table_lookup", "function_usage",
+               "rules_frame_hits"}
 # Columns of the scanned tables that no query needs.
 UNUSED = ("c_name", "o_custkey", "o_orderdate", "n_comment")
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "SortMergeJoin", "ShuffledHashJoin",
@@ -65,6 +66,9 @@ def test_counts_evaluate_rules(spark):
 # code, and distinct results make maps comparable on aggregated rows only.
 INTERPRETED_OK = ("from_json(",)
 AFTER_AGGREGATION = {"distinct_results"}
+# A vector of more than runner.WIDE rules leaves whole-stage code on purpose (its one method would be too long
+# for the JVM to compile): generated code of its own, told by the guard that vector_of appends.
+WIDE_SUITES = {"wide_rule_counts"}
 
 
 def test_row_operators_in_whole_stage_codegen(spark):
@@ -76,7 +80,7 @@ def test_row_operators_in_whole_stage_codegen(spark):
             for line in body.splitlines():
                 if not re.match(r"^[\s:+\-|]*(Project|Filter|Generate) ", line):
                     continue  # a line starting with "*(n)" is inside whole-stage codegen
-                if any(k in line for k in INTERPRETED_OK):
+                if any(k in line for k in INTERPRETED_OK) or name in WIDE_SUITES and "filter(array((xxhash64(" in line:
                     continue
                 assert name in AFTER_AGGREGATION and "__n" in line, f"{name}: {line.strip()[:160]}"
     finally:

@@ -51,11 +51,11 @@ def test_stream_equals_batch(spark):
     assert streamed.exceptAll(batch).count() == 0
 
 
-def test_skew_join_on_a_stream(spark):
-    """A streaming big side skips the hot-key count; the salted stream-static join gives the batch rows."""
+def test_join_of_a_stream_with_hot_and_null_keys(spark):
+    """The stream-static join by shuffle gives the batch rows."""
     from pyspark.sql import functions as F
 
-    from ruleframe.operators.joins import skew_join
+    from ruleframe.operators.joins import join_small
     from ruleframe.streaming import run_to_parquet
 
     base = scratch_path(spark, "stream-skew")
@@ -66,7 +66,7 @@ def test_skew_join_on_a_stream(spark):
     write_parquet(rows, src)
     small = spark.range(50).select(F.col("id").cast("int").alias("sk"), (F.col("id") * 10).alias("v"))
     stream = spark.readStream.schema("rid bigint, k int").parquet(src)
-    joined = skew_join(stream, small, [("k", "sk")], "left", salt_key="rid")
+    joined = join_small(stream, small, [("k", "sk")], how="left", limit=0)
     assert joined.isStreaming
     run_to_parquet(joined.select("rid", "v"), os.path.join(base, "sink"), os.path.join(base, "ckpt"), 120)
     got = spark.read.parquet(os.path.join(base, "sink"))

@@ -72,18 +72,17 @@ KEY = st.tuples(st.sampled_from([None, 0, 1, 2, 3]), st.sampled_from([None, "a",
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(KEY, min_size=1, max_size=80), st.lists(KEY, min_size=0, max_size=12),
-       st.sampled_from(["inner", "left"]), st.integers(min_value=1, max_value=16))
-def test_skew_join_matches_nested_loops(spark, big_keys, small_keys, how, partitions):
-    """Salted shuffle join = brute-force join, for any task size (all rows kept, none doubled)."""
+       st.sampled_from(["inner", "left"]), st.sampled_from([0, 1 << 20]))
+def test_join_small_matches_nested_loops(spark, big_keys, small_keys, how, limit):
+    """Join by broadcast or shuffle = brute-force join (all rows kept, none doubled)."""
     from collections import Counter
 
-    from ruleframe.operators.joins import hot_keys, skew_join
+    from ruleframe.operators.joins import join_small
 
     big = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(big_keys)], "rid int, a int, b string")
     small = spark.createDataFrame([(j, a, b) for j, (a, b) in enumerate(small_keys)], "sid int, sa int, sb string")
-    hot = hot_keys(big, ["a", "b"], partitions)
-    got = Counter(tuple(r) for r in skew_join(big, small, [("a", "sa"), ("b", "sb")], how, salt_key="rid",
-                                              hot=hot, partitions=partitions).select("rid", "sid").collect())
+    got = Counter(tuple(r) for r in join_small(big, small, [("a", "sa"), ("b", "sb")], how=how,
+                                               limit=limit).select("rid", "sid").collect())
     want = Counter()
     for i, (a, b) in enumerate(big_keys):
         hits = [j for j, (sa, sb) in enumerate(small_keys)
