@@ -6,7 +6,8 @@ case reads the Parquet, appends its result column and writes to the no-op
 sink (full evaluation, output discarded).  ``$BENCH_WARMUPS`` (2) warm-ups
 and ``$BENCH_RUNS`` (4) measured runs per case; the median is reported.
 The same cases also run on generated 100k and 1M rows
-(``$BENCH_GEN_SIZES``), reported with an ``@100k`` / ``@1m`` suffix.
+(``$BENCH_GEN_SIZES``), reported with an ``@100k`` / ``@1m`` suffix; wide
+suites over the orders table with an ``@wide`` suffix (not in the sum).
 
 Prints one JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
 """
@@ -23,6 +24,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from ruleframe.model import Id, Rule, RuleSet, RuleSuite  # noqa: E402
 from ruleframe.operators.decision import DecisionModel, rule_hits  # noqa: E402
 from ruleframe.operators.results import distinct_suite_results, rule_counts  # noqa: E402
 from ruleframe.operators.runner import audit_compat, run_rules, template_vector, with_vector  # noqa: E402
@@ -75,6 +77,15 @@ def _cases(spark, data, sf_dir):
     return cases
 
 
+def _wide_cases(spark, sf_dir):
+    """Suites of 15 to 1,000 rules over the orders table: the cost of a rule should not grow with their number."""
+    orders = read_table(spark, sf_dir, "orders")
+    rules = [Rule(Id(k), f"(cast({{o_totalprice}} AS BIGINT) % {k % 50 + 2} = {k % 5} AND {{o_orderstatus}} <> 'P') "
+                         f"OR {{o_custkey}} % {k % 31 + 2} = 1") for k in range(1000)]
+    suites = {n: RuleSuite(Id(1), (RuleSet(Id(1), tuple(rules[:n])),)) for n in (15, 100, 400, 1000)}
+    return {f"rules_{n}@wide": lambda s=s: write_noop(with_vector(spark, orders, s)) for n, s in suites.items()}, orders.count()
+
+
 def _measure(fn, warmups, runs):
     for _ in range(warmups):
         fn()
@@ -122,6 +133,10 @@ def main() -> None:
         totals[label or "sf"] = round(sum(v for k, v in medians.items() if k.endswith(label) and
                                           (label or "@" not in k)), 4)
 
+    wide, rows["@wide"] = _wide_cases(spark, sf_dir)
+    for name, fn in wide.items():
+        medians[name], spread[name] = _measure(fn, warmups, runs)
+
     def rps(k, v):
         label = k[k.index("@"):] if "@" in k else "sf"
         return round(rows[label] / v) if v > 0 else None
@@ -136,6 +151,7 @@ def main() -> None:
         "rows": rows,
         "totals": totals,
         "rows_per_sec": {k: rps(k, v) for k, v in medians.items() if not k.startswith(("customer_", "orders_"))},
+        "usec_per_order_rule": {k: round(1e6 * medians[k] / rows["@wide"] / int(k[6:k.index("@")]), 4) for k in wide},
         "setup_sec": round(setup_sec, 3),
         "cpus": ncpu,
         "driver_memory": spark.conf.get("spark.driver.memory", "default"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date, datetime
 from decimal import Decimal
+from math import prod
 from typing import Any, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -282,23 +283,25 @@ def rule_hits(spark: SparkSession, records: DataFrame, rules, key: str, binding:
     nothing, as a NULL rule result is not TRUE; a value that the common type
     can't hold matches nothing; a bad record matches nothing.
     """
+    listed = None
     if not isinstance(rules, DataFrame):
-        rules = condition_frame(spark, [r if isinstance(r, Condition) else conditions([r])[0] for r in rules])
+        listed = [r if isinstance(r, Condition) else conditions([r])[0] for r in rules]
+        rules = condition_frame(spark, listed)
     b = (binding or bind_fields()).over(records)
     fields = [f for f in rules.columns if f.lower() not in ("rule_id", "missing")]
     if {"asked", "was_asked"} & {f.lower() for f in fields}:
         raise ValueError("fields named asked or was_asked: rename them")
     missing = F.sort_array(F.col("missing")) if "missing" in rules.columns else F.lit(None).cast("array<string>")
     missing = F.coalesce(missing, F.array().cast("array<string>"))
-    prepared = b.prepare(records, {*fields, *_named_missing(rules, missing)})
+    shapes = _shapes(listed, rules, fields, missing)
+    prepared = b.prepare(records, {*fields, *(f for _, absent in shapes for f in absent)})
     bad = b.bad_record()
     if bad is not None:
         prepared = prepared.where(~F.coalesce(bad, F.lit(False)))
 
     own = {f: prepared.select(F.expr(b.ref(f)).alias("x")).schema["x"].dataType for f in fields}
-    asked = F.concat_ws(NAME_MARK, *[F.when(F.col(quoted(f)).isNotNull(), F.lit(f)) for f in fields])
-    kinds, table = {}, rules.select("rule_id", F.concat_ws(NAME_MARK, missing).alias("missing"), asked.alias("asked"),
-                                    *[quoted(f) for f in fields])
+    kinds, table = {}, rules.select("rule_id", F.concat_ws(NAME_MARK, missing).alias("missing"),
+                                    _asked(fields).alias("asked"), *[quoted(f) for f in fields])
     for f in fields:
         kind, value = table.schema[f].dataType, F.col(quoted(f))
         if not isinstance(kind, T.ArrayType):
@@ -311,23 +314,34 @@ def rule_hits(spark: SparkSession, records: DataFrame, rules, key: str, binding:
     table = table.select("rule_id", F.struct("asked", "missing", *[quoted(f) for f in fields]).alias("met"))
 
     probes = []
-    for shape in rules.select(asked.alias("asked"), F.concat_ws(NAME_MARK, missing).alias("missing")).distinct().collect():
-        names, absent = ({n for n in shape[c].split(NAME_MARK) if n} for c in ("asked", "missing"))
+    for names, absent in shapes:
         values = {f: F.expr(b.ref(f)).try_cast(kinds[f]) if f in names else F.lit(None).cast(kinds[f]) for f in fields}
         met = F.lit(True)
-        for f in sorted(names):
+        for f in names:
             met = met & values[f].isNotNull()
-        for f in sorted(absent):
+        for f in absent:
             met = met & is_missing(F.expr(b.ref(f)))
-        probes.append(F.when(met, F.struct(*[F.lit(shape[c]).alias(c) for c in ("asked", "missing")],
-                                           *[v.alias(f) for f, v in values.items()])))
+        texts = [F.lit(NAME_MARK.join(x)).alias(c) for x, c in ((names, "asked"), (absent, "missing"))]
+        probes.append(F.when(met, F.struct(*texts, *[v.alias(f) for f, v in values.items()])))
     if not probes:  # no rules
         probes = [F.lit(None).cast(table.schema["met"].dataType)]
     probe = (prepared.select(F.col(key).alias("key"), F.explode(F.array(*probes)).alias("own"))
              .where(F.col("own").isNotNull()))
-    return join_small(probe, table, [("own", "met")]).select(F.col("key").alias(key), "rule_id")
+    # a driver-side list is measured here, a frame by one aggregation
+    size = None if listed is None else sum(
+        prod(map(len, r.values.values())) * (64 * (1 + len(fields)) + sum(
+            max((4 * len(str(v)) for v in vs), default=0) for vs in r.values.values())) for r in listed)
+    return join_small(probe, table, [("own", "met")], size).select(F.col("key").alias(key), "rule_id")
 
 
-def _named_missing(rules: DataFrame, missing: Column) -> set[str]:
-    """Fields that some rule wants missing: as many as there are, whatever the number of rules."""
-    return {r[0] for r in rules.select(F.explode(missing).alias("f")).distinct().collect()}
+def _asked(fields: Sequence[str]) -> Column:
+    """The fields that a rule asks for, as one text."""
+    return F.concat_ws(NAME_MARK, *[F.when(F.col(quoted(f)).isNotNull(), F.lit(f)) for f in fields])
+
+
+def _shapes(listed: list[Condition] | None, rules: DataFrame, fields: Sequence[str], missing: Column) -> list[tuple]:
+    """Distinct (fields asked for, fields that must be missing): as many as there are, whatever the number of rules."""
+    if listed is not None:
+        return sorted({(tuple(f for f in fields if f in r.values), tuple(sorted(r.missing))) for r in listed})
+    rows = rules.select(_asked(fields).alias("asked"), F.concat_ws(NAME_MARK, missing).alias("missing")).distinct().collect()
+    return sorted(tuple(tuple(n for n in r[c].split(NAME_MARK) if n) for c in ("asked", "missing")) for r in rows)

@@ -524,7 +524,7 @@ def nested_paths(spark, sf_dir):
 
 # Each fails on some rows: written as ::, as a function, implicitly, by division, index, date, number and overflow.
 FAILING_RULES = ("{v}::int > 700", "int({v}) > 700", "{v} > 700", "100 / {page} > 10", "array(1, 2)[{page}] = 1",
-                 "to_date({v}, 'yyyy') > DATE'0800-01-01'", "to_number({v}, '999') > 700", "2147483600 + cast({page} AS INT) > 0",
+                 "to_date(concat('2', {v}), 'yyyy') > DATE'2500-01-01'", "to_number({v}, '999') > 700", "2147483640 + cast({page} AS INT) > 0",
                  "if({page} = 3, raise_error('three'), {page} > 1)", "{page} % 2 = 0")
 
 

@@ -313,7 +313,7 @@ ORACLE["nested_paths"] = _w(EDGE) + "SELECT key, " + ", ".join(
 _number = "CASE WHEN balance < 0 THEN NULL ELSE key % 1000 END"
 _failing = (f"{_number} > 700", f"{_number} > 700", f"{_number} > 700",
             "CASE WHEN page <> 0 THEN 100.0 / page > 10 END", "CASE page WHEN 0 THEN true WHEN 1 THEN false END",
-            "NULL::BOOLEAN", f"{_number} > 700", "CASE WHEN 2147483600 + page <= 2147483647 THEN true END",
+            f"{_number} > 500", f"{_number} > 700", "CASE WHEN 2147483640 + page <= 2147483647 THEN true END",
             "CASE WHEN page <> 3 THEN page > 1 END", "page % 2 = 0")
 ORACLE["rule_errors_null"] = _w(EDGE) + "SELECT key, " + ", ".join(
     f"{p} AS r{i}" for i, p in enumerate(_failing, 1)) + ", balance < 0 AS no_result, " + ", ".join(
