@@ -331,7 +331,10 @@ def rule_hits(spark: SparkSession, records: DataFrame, rules, key: str, binding:
     size = None if listed is None else sum(
         prod(map(len, r.values.values())) * (64 * (1 + len(fields)) + sum(
             max((4 * len(str(v)) for v in vs), default=0) for vs in r.values.values())) for r in listed)
-    return join_small(probe, table, [("own", "met")], size).select(F.col("key").alias(key), "rule_id")
+    # by a hash, one long, then by the values
+    probe, table = probe.withColumn("own_hash", F.xxhash64("own")), table.withColumn("met_hash", F.xxhash64("met"))
+    hits = join_small(probe, table, [("own_hash", "met_hash")], size).where(F.col("own") == F.col("met"))
+    return hits.select(F.col("key").alias(key), "rule_id")
 
 
 def _asked(fields: Sequence[str]) -> Column:
