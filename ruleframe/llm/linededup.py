@@ -8,7 +8,9 @@ the corpus keeps its first occurrence, in the order of doc_id and then line;
 the others are removed after their bytes were compared.  From a removed chunk
 the removal goes on over neighbouring lines as long as each pair of lines is
 itself such a repeat, which takes in the ragged ends of a passage.  A run of
-``RUN_PAIRS`` repeated pairs is a repeated chunk too, wherever the cuts fell.
+``RUN_PAIRS`` or more repeated pairs whose lines hold ``LEAST_BYTES`` together
+is a repeated chunk too, wherever the cuts fell; blank lines and closing
+brackets that code, poems and tables share are none.
 
 Chunks are found by hash: only keys are aggregated, and only texts of
 repeated chunks are compared.  Documents are joined once.
@@ -93,6 +95,23 @@ def _marks(found: Column, kind: int) -> Column:
                                     lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"))))
 
 
+def _strong_runs(pairs: Column, lines: Column) -> Column:
+    """Marks of the runs of RUN_PAIRS or more repeated pairs in a row whose lines hold LEAST_BYTES together."""
+    starts = F.transform(pairs, lambda m: m["start"])
+
+    def runs(s: Column) -> Column:
+        first = F.filter(s, lambda x, j: F.coalesce(F.get(s, j - 1) != x - 1, F.lit(True)))
+        last = F.filter(s, lambda x, j: F.coalesce(F.get(s, j + 1) != x + 1, F.lit(True)))
+        return F.zip_with(first, last, lambda a, z: F.struct(a.alias("start"), (z - a + 2).alias("size")))
+
+    def sized(r: Column) -> Column:
+        return F.aggregate(F.slice(lines, r["start"] + 1, r["size"]), F.lit(0), lambda n, x: n + F.octet_length(x))
+
+    # the starts are bound once, through a one-element array
+    found = F.transform(F.array(starts), runs)[0]
+    return F.filter(F.filter(found, lambda r: r["size"] > RUN_PAIRS), lambda r: sized(r) >= LEAST_BYTES)
+
+
 def _kept_lines(lines: Column, found: Column) -> Column:
     """Lines left of a document with ``found`` repeats: R marks a removed line, = a repeated pair."""
     n = F.size(lines)
@@ -107,14 +126,16 @@ def _kept_lines(lines: Column, found: Column) -> Column:
             F.repeat(F.lit(mark), m["size"] if size is None else F.lit(size)))), ""))[0]
         return F.rpad(F.coalesce(done, F.lit("")), n, gap)
 
-    line = F.split(runs(_marks(found, CHUNK), None, "k", "R"), "")
-    pair = F.split(runs(_marks(found, PAIR), 1, "-", "="), "")
-    both = F.transform(F.array(F.struct(line.alias("line"), pair.alias("pair"))), lambda z: F.array_join(
-        F.transform(F.slice(z["line"], 1, n), lambda c, i: F.concat(c, F.get(z["pair"], i))), ""))[0]
+    chunk = F.split(runs(_marks(found, CHUNK), None, "k", "R"), "")
+    pairs = _marks(found, PAIR)
+    pair = F.split(runs(pairs, 1, "-", "="), "")
+    run = F.split(runs(_strong_runs(pairs, lines), None, "k", "R"), "")
+    both = F.transform(F.array(F.struct(chunk.alias("chunk"), run.alias("run"), pair.alias("pair"))), lambda z: F.array_join(
+        F.transform(F.slice(z["chunk"], 1, n), lambda c, i: F.concat(
+            F.least(c, F.get(z["run"], i)), F.get(z["pair"], i))), ""))[0]  # R sorts before k
     spread = lambda s: F.regexp_replace(s, r"((?<=R)=|\G(?!^)=)k", "$1R")
     # both ways over the string of "line pair line pair ..."; the last pair sign is none
-    runs_marked = F.regexp_replace(F.substring(both, F.lit(1), 2 * n - 1), "k(?=(?:=[kR]){%d})" % RUN_PAIRS, "R")
-    onward = spread(runs_marked)
+    onward = spread(F.substring(both, F.lit(1), 2 * n - 1))
     return F.transform(F.array(F.split(F.reverse(spread(F.reverse(onward))), "")), lambda s: F.filter(
         lines, lambda x, i: F.get(s, 2 * i) == "k"))[0]
 

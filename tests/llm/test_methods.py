@@ -217,3 +217,18 @@ def test_colliding_hashes_remove_equal_bytes_only(spark, monkeypatch):
     lines = [f"line {c} " * 12 for c in "abc"]
     rows = [(1, lines[0]), (2, lines[1]), (3, lines[0] + "\n" + lines[2]), (4, lines[1])]
     assert _lines(spark, rows) == {1: [lines[0]], 2: [lines[1]], 3: [lines[2]], 4: [""]}
+
+
+@pytest.mark.parametrize("shared", [[""] * 6, ["    }", "  }", " }", "}", ""], ["a", "b", "c", "d", "e", "f", "g"]])
+def test_short_lines_that_texts_share_stay(spark, shared):
+    """Blank lines, closing brackets and one-letter lines hold too few bytes, in the text itself and across texts."""
+    rows = [(i, "\n".join([f"own beginning {i}", *shared, f"own end {i}"])) for i in range(4)]
+    assert _lines(spark, rows) == {i: t.split("\n") for i, t in rows}
+
+
+def test_a_run_of_short_lines_with_enough_bytes_goes(spark):
+    shared = [f"row {c} of this table" for c in "abcdef"]  # no line is long, none a chunk by itself
+    rows = [(i, "\n".join([f"own beginning {i}", *shared, f"own end {i}"])) for i in range(3)]
+    got = _lines(spark, rows)
+    assert got[0] == rows[0][1].split("\n")
+    assert all(got[i] == [f"own beginning {i}", f"own end {i}"] for i in (1, 2))

@@ -201,9 +201,14 @@ def plain_line_dedup(docs):
         for i, what in places[1:]:
             gone[i].update(what) if kind == "chunk" else pairs[i].add(what)
     for i, lines in cut.items():
-        for k in range(len(lines) - 4):
-            if all(k + j in pairs[i] for j in range(4)):
-                gone[i].update(range(k, k + 5))
+        size, k = [len(x.encode()) for x in lines], 0
+        while k < len(lines):  # runs of repeated pairs: at least four, with 48 bytes in their lines
+            end = k
+            while end in pairs[i]:
+                end += 1
+            if end - k >= 4 and sum(size[k:end + 1]) >= 48:
+                gone[i].update(range(k, end + 1))
+            k = end + 1
         if gone[i]:
             for k in [*range(len(lines) - 1)]:
                 if k in gone[i] and k in pairs[i]:
