@@ -4,7 +4,8 @@ The tokenizer's pieces never hold a space mark after another character, so a
 text may be cut before every run of spaces and the token counts of the cuts
 add up (checked when the model is loaded).  Tier one is a broadcast table of
 the most frequent cuts (pre-tokens) with their lengths; tier two is a bounded
-cache in each Python worker for the rest.  No pre-token of a document is
+cache in each Python worker for the rest (at most CACHE_ROWS pre-tokens of
+CACHE_CHARS characters; longer ones are encoded where they occur).  No pre-token of a document is
 shuffled: the frequent ones are found from per-task summaries of bounded size.
 
 Defined results: a NULL text counts as empty (0 tokens); repeated rows are
@@ -30,6 +31,7 @@ TABLE_ROWS = 32_768     # entries of the broadcast table
 TABLE_CHARS = 48        # longest pre-token in it: the table stays below 10 MB
 SUMMARY_ROWS = 8_192    # counters of one task's summary
 CACHE_ROWS = 400_000    # pre-tokens in a worker's cache
+CACHE_CHARS = 64        # longest pre-token kept in it: a text without spaces is one pre-token of any length
 
 
 @lru_cache(maxsize=4)
@@ -59,7 +61,9 @@ class Lengths(dict):
         if len(self) >= self.most:
             self.clear()
         # the model adds one leading space itself, except to an empty text
-        n = self[cut] = len(self.model.encode(cut[1:])) if len(cut) > 1 else 1
+        n = len(self.model.encode(cut[1:])) if len(cut) > 1 else 1
+        if len(cut) <= CACHE_CHARS:
+            self[cut] = n
         return n
 
 
