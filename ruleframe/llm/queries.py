@@ -193,9 +193,19 @@ fit AS (
   FROM (SELECT DISTINCT * FROM u) JOIN r ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p))
 SELECT u.page_id, u.host, u.path, fit.rule,
        CASE WHEN fit.rule IS NOT NULL THEN fit.verdict
-            WHEN u.host LIKE '%spam-farm%' OR u.host LIKE '%cheap-pills%' OR u.host LIKE '%casino%'
-                 OR u.host LIKE '%adult-%' THEN 'block'
-            ELSE 'allow' END AS verdict
+            WHEN regexp_matches(u.host, 'spam-farm|cheap-pills|casino|adult-|pokerstar|roulette|jackpot|betting|gambling'
+                   || '|lottery|payday|viagra|cialis|replica-watch|porn|escort-|webcam-girls|hookup|torrent|warez|keygen'
+                   || '|cracked-|free-iphone|get-rich|crypto-double|forex-signal|essay-writ|link-farm|linkfarm'
+                   || '|doorway-page|clickbank|parked-domain|domain-for-sale|malware|phishing|doubleclick|adserver'
+                   || '|adservice|googlesyndication|popunder')
+              OR regexp_matches(u.host, '(^|[.-])(ads|adv|banner|bet|bets|slots|sex|xxx|nude|pills|loan|loans|track|tracker'
+                   || '|tracking|pixel|telemetry|click|clicks|popup|promo|spam|scam|coupon)($|[.-])')
+              OR regexp_matches(u.path, '/(wp-admin|wp-login|wp-json|cgi-bin|admin|login|signin|signup|register|logout|cart'
+                   || '|checkout|basket|account|search|tag|tags|feed|trackback|print|share|redirect|oauth|api|ajax|captcha'
+                   || '|unsubscribe|preview|embed|comment-page)/')
+              OR regexp_matches(u.path, '[.](jpg|jpeg|png|gif|svg|webp|ico|bmp|mp3|mp4|avi|mov|wav|zip|gz|tar|rar|7z|exe|dmg'
+                   || '|iso|apk|bin|css|js|woff|xls|xlsx|ppt|pptx)$')
+            THEN 'block' ELSE 'allow' END AS verdict
 FROM u LEFT JOIN fit ON fit.k = 1 AND u.page_id IS NOT DISTINCT FROM fit.page_id
                     AND u.host = fit.host AND u.path = fit.path
 """

@@ -98,3 +98,22 @@ def test_worker_cache_forgets_but_counts_right():
     cache = tokens.Lengths(tokenizer_file("piece_bpe_32k.model"), most=3)
     assert [cache[f" w{i}"] for i in range(9)] == [len(cache.model.encode(f"w{i}")) for i in range(9)]
     assert len(cache) <= 3
+
+
+def test_block_list():
+    assert len(urls.BLOCK_GLOBS) == len(set(urls.BLOCK_GLOBS)) > 300
+    automaton = urls.GlobAutomaton(list(urls.BLOCK_GLOBS))
+    assert automaton.words > 40
+    hit = {"www.best-casino1.com": "/", "ads.x.org": "/", "x.ads": "", "a-bet-b.net": "/p", "x.org": "/blog/tag/y", "y.org": "/i/a.jpg"}
+    miss = {"adsx.org": "/", "xads.org": "/", "beta.org": "/", "z.org": "/tag", "w.org": "/tags", "v.org": "/a.jpg/b", "u.org": "/ajpg"}
+    found = automaton.match([(h.encode(), p.encode()) for h, p in [*hit.items(), *miss.items()]]).any(axis=1)
+    assert found.tolist() == [True] * len(hit) + [False] * len(miss)
+
+
+def test_long_pre_tokens_are_not_cached():
+    path = tokenizer_file("piece_bpe_32k.model")
+    cache = tokens.Lengths(path)
+    for text in ("x" * 100_000, "日本" * 40, "short"):
+        cut, = tokens.cuts(text)
+        assert cache[cut] == len(tokens.tokenizer(path).encode(text))
+    assert list(cache) == [" short"]
