@@ -1,6 +1,8 @@
 """The methods inside the operators, on small planted cases."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -232,3 +234,104 @@ def test_a_run_of_short_lines_with_enough_bytes_goes(spark):
     got = _lines(spark, rows)
     assert got[0] == rows[0][1].split("\n")
     assert all(got[i] == [f"own beginning {i}", f"own end {i}"] for i in (1, 2))
+
+
+CORPUS = ["the cat sat on the mat", "A dog sat on the log", "the dog and the cat ran", None, "", "the the the cat",
+          "on and on the mat ran a dog", "zebra once", "The cat sat on a log and a mat"] * 3
+
+
+def _plain_model(docs, types, of):
+    """(log10 score of a text) from the definition: class given the class before, then the word's share of its class."""
+    lines = [[0, *types.of(lm.words_of(t or "")).tolist(), 0] for t in docs]
+    grid = Counter((int(of[a]), int(of[b])) for line in lines for a, b in zip(line, line[1:]))
+    # the end of a document is the context of the next one's beginning: counted once
+    counts = Counter(w for t in docs for w in lm.words_of(t or ""))
+    size, distinct = Counter(), Counter()
+    for w, n in counts.items():
+        c = int(of[types.of([w])[0]])
+        size[c] += n
+        distinct[c] += 1
+    total = sum(size.values())
+    prior = {c: (size[c] + 1) / (total + lm.CLASSES) for c in range(lm.CLASSES)}
+    prior[0] = (len(docs) + 1) / (total + len(docs) + lm.CLASSES)
+    norm = sum(prior.values())
+
+    def step(a, b):
+        row = sum(n for (x, _), n in grid.items() if x == a)
+        return (grid[a, b] + lm.PRIOR * prior[b] / norm) / (row + lm.PRIOR)
+
+    def score(text):
+        words = lm.words_of(text or "")
+        line = [0, *(int(of[t]) for t in types.of(words)), 0]
+        out = sum(math.log10(step(a, b)) for a, b in zip(line, line[1:]))
+        return out + sum(math.log10((counts[w] + 1) / (size[c] + distinct[c] + 1)) for w, c in zip(words, line[1:]))
+
+    return score
+
+
+def test_class_model_scores_equal_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TABLE", 9)  # some words meet their counts by the join
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CORPUS)], "doc_id bigint, text string").coalesce(1)
+    model = lm.learn(df)
+    assert 1 < len(model.types.own) <= 9
+    plain = _plain_model(CORPUS, model.types, model.of)
+    new = [(100, "the zebra sat"), (101, "unseen words only"), (102, None), (103, "cat " * 50)]
+    every = df.union(spark.createDataFrame(new, df.schema))
+    texts = dict(enumerate(CORPUS)) | dict(new)
+    for r in lm.score(every, model).collect():
+        assert math.isclose(r.score, plain(texts[r.doc_id]), rel_tol=1e-9), texts[r.doc_id]
+
+
+def test_contexts_and_class_bigrams_equal_counts(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CORPUS)], "doc_id bigint, text string").coalesce(1)
+    types = lm.Types({w: i for i, w in enumerate([b"the", b"cat", b"on"], 1)})
+    of = np.random.default_rng(1).integers(1, 5, types.size)
+    of[0] = 0
+    chain = [0]
+    for t in CORPUS:
+        chain += [*types.of(lm.words_of(t or "")).tolist(), 0]
+    want = Counter()
+    for a, b in zip(chain, chain[1:]):
+        want[a, int(of[b])] += 1
+        want[b, lm.CLASSES + int(of[a])] += 1
+        want[a, 2 * lm.CLASSES] += a == b
+    cells = lm.contexts(lm.type_lines(df, types), of)
+    assert {(r.type, r.at): r.n for r in cells.collect()} == {k: n for k, n in want.items() if n}
+    grid = lm.class_bigrams(cells, of)
+    assert {(a, b): n for (a, b), n in np.ndenumerate(grid) if n} == {
+        k: n for k, n in Counter((int(of[a]), int(of[b])) for a, b in zip(chain, chain[1:])).items()}
+
+
+def test_gains_are_differences_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    bigrams = rng.poisson(2, (12, 12)).astype(float)
+    of = np.array([0, *rng.integers(1, 4, 11)])
+    grid_of = lambda c: np.array([[bigrams[np.ix_(c == a, c == b)].sum() for b in range(4)] for a in range(4)])
+    for w in range(1, 12):
+        o = np.array([bigrams[w, of == c].sum() for c in range(4)])
+        i = np.array([bigrams[of == c, w].sum() for c in range(4)])
+        grid, own, a = grid_of(of), bigrams[w, w], of[w]
+        o[a] -= own
+        i[a] -= own
+        grid[a] -= o
+        grid[:, a] -= i
+        grid[a, a] -= own
+        gain = lm.gains(grid, o, i, own)
+        to = lambda b: np.where(np.arange(12) == w, b, of)
+        for b in (1, 2, 3):
+            assert math.isclose(gain[b] - gain[1], lm.likelihood(grid_of(to(b))) - lm.likelihood(grid_of(to(1))), abs_tol=1e-6)
+
+
+def test_all_words_move_in_rounds(spark, monkeypatch):
+    """Words outside the seed exchange join the class of words used like them."""
+    monkeypatch.setattr(lm, "SEED", 4)
+    rng = random.Random(2)
+    nouns, verbs = [f"n{i}x{i % 50}" for i in range(200)], [f"v{i}y{i % 50}" for i in range(200)]
+    docs = [" ".join(w for _ in range(20) for w in ("the", rng.choice(nouns), rng.choice(verbs))) for _ in range(250)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id bigint, text string")
+    model = lm.learn(df)
+    of = {w: int(model.of[t]) for w, t in model.types.own.items()}
+    assert len(of) == 401
+    kinds = Counter((of[w.encode()], w[0]) for w in nouns + verbs)
+    mixed = sum(min(kinds[c, "n"], kinds[c, "v"]) for c in set(of.values()))
+    assert mixed < 0.02 * len(of)
