@@ -295,9 +295,9 @@ def test_contexts_and_class_bigrams_equal_counts(spark):
         want[a, int(of[b])] += 1
         want[b, lm.CLASSES + int(of[a])] += 1
         want[a, 2 * lm.CLASSES] += a == b
-    cells = lm.contexts(lm.type_lines(df, types), of)
-    assert {(r.type, r.at): r.n for r in cells.collect()} == {k: n for k, n in want.items() if n}
-    grid = lm.class_bigrams(cells, of)
+    lines = lm.type_lines(df, types)
+    assert {(r.type, r.at): r.n for r in lm.contexts(lines, of).collect()} == {k: n for k, n in want.items() if n}
+    grid = lm.class_bigrams(lines, of)
     assert {(a, b): n for (a, b), n in np.ndenumerate(grid) if n} == {
         k: n for k, n in Counter((int(of[a]), int(of[b])) for a, b in zip(chain, chain[1:])).items()}
 
@@ -335,3 +335,26 @@ def test_all_words_move_in_rounds(spark, monkeypatch):
     kinds = Counter((of[w.encode()], w[0]) for w in nouns + verbs)
     mixed = sum(min(kinds[c, "n"], kinds[c, "v"]) for c in set(of.values()))
     assert mixed < 0.02 * len(of)
+
+
+@pytest.mark.parametrize("n", [1, 256, 700])
+def test_places_of_many_matches(spark, n):
+    """Code points, with wider characters between the matches."""
+    rng = random.Random(n)
+    text, want = "", []
+    for i in range(n):
+        text += "é " * rng.randint(1, 4)
+        mail = f"user{i}@host{i % 7}.example"
+        want.append((len(text), len(text) + len(mail)))
+        text += mail + " "
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    spans = pii.find(df).first().pii.base
+    assert [(s.start, s.end) for s in spans if s.kind == "email"] == want
+
+
+def test_columns_named_like_scratch_columns_stay(spark):
+    names = ("__base", "__wide", "___WIDE")
+    df = spark.createDataFrame([(1, "a@b.c")], "doc_id int, text string").withColumns({c: F.lit(f"own {c}") for c in names})
+    row = pii.find(df).first()
+    assert all(row[c] == f"own {c}" for c in names) and len(row.pii.base) == 1
+
