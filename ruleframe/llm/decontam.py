@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleframe.llm.common import texts, written
+from ruleframe.llm.common import fresh, texts, written
 from ruleframe.llm.fmindex import FMIndex
 
 WINDOW = 13
@@ -157,18 +157,19 @@ def search(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: s
         F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()]
     if blocks == 1:
         return docs.withColumn(out, _searcher(block(0), spark, shard_words)(F.col(text_col)))
-    key = [F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__h"),
-           F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("__s")]
+    h, s, found = (fresh(docs, n) for n in ("__h", "__s", "__found"))
+    key = [F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(h),
+           F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias(s)]
     parts = [written(docs.select(text_col).withColumn(out, _searcher(block(b), spark, shard_words)(F.col(text_col)))
                      .select(*key, f"{out}.*").distinct(), "hits") for b in range(blocks)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    joined = every.groupBy("__h", "__s").agg(
+    joined = every.groupBy(h, s).agg(
         F.struct(F.max("n_words").alias("n_words"), _merged(F.flatten(F.collect_list("spans"))).alias("spans"),
-                 F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).alias("__found"))
-    own = docs.withColumns({"__h": key[0], "__s": key[1]})
-    return own.join(joined, ["__h", "__s"], "left").withColumn(out, F.col("__found")).drop("__h", "__s", "__found")
+                 F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).alias(found))
+    own = docs.withColumns({h: key[0], s: key[1]})
+    return own.join(joined, [h, s], "left").withColumn(out, F.col(found)).drop(h, s, found)
 
 
 def n_hit(hits: str = "hits") -> Column:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleframe.llm.common import written
+from ruleframe.llm.common import fresh, written
 
 ROLL = 2
 DIVISOR = 2
@@ -142,7 +142,18 @@ def _kept_lines(lines: Column, found: Column) -> Column:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text left, and n_lines and n_removed (lines before, and removed)."""
-    own = docs.drop("n_lines", "n_removed").withColumn("__h", _hash(F.col(text_col)))
+    docs = docs.drop("n_lines", "n_removed")
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    # other columns travel as one, whatever their names
+    packed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"),
+                         F.struct(F.lit(0).alias(fresh(docs, "none")), *[F.col(f"`{c}`") for c in others]).alias("row"))
+    out = _deduplicated(packed, "doc", "text")
+    own = {id_col: F.col("doc"), text_col: F.col("text")}
+    return out.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns], "n_lines", "n_removed")
+
+
+def _deduplicated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    own = docs.withColumn("__h", _hash(F.col(text_col)))
     key = [F.col(id_col).alias("id"), F.col("__h").alias("h")]
     keys = (own.where(F.col(text_col).isNotNull()).select(*key, F.inline(_keys(F.col(text_col))))
             .select("id", "h", "kind", "start", "size", "key"))

@@ -32,7 +32,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleframe.llm.common import written
+from ruleframe.llm.common import fresh, written
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_ROWS = 20_000
@@ -294,21 +294,22 @@ def find(docs: DataFrame, text_col: str = "text", out: str = "pii", model: tuple
     named = lambda spans, k: F.transform(spans, lambda s: F.struct(
         F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     base = base_spans(text)
-    df = docs.withColumn("__base", F.concat(*[named(base[k], k) for k in KINDS]))
+    found, wide = fresh(docs, "__base"), fresh(docs, "__wide")
+    df = docs.withColumn(found, F.concat(*[named(base[k], k) for k in KINDS]))
     added = F.array().cast(span)
     if model is not None:
         margin, least = model
         every = F.concat(*[_proposals(text, w) for w in WIDE])
-        df = df.withColumn("__wide", F.filter(every, lambda c: ~_touches(c, F.col("__base"))))
-        df = df.withColumn("__wide", F.expr(
-            f"transform(filter(__wide, c -> {margin} >= double('{least!r}')), "
+        df = df.withColumn(wide, F.filter(every, lambda c: ~_touches(c, F.col(found))))
+        df = df.withColumn(wide, F.expr(
+            f"transform(filter({wide}, c -> {margin} >= double('{least!r}')), "
             "c -> named_struct('kind', c.kind_name, 'start', c.start, 'end', c.end))"))
         # of selected proposals of a kind that overlap, the one listed first stays
-        added = F.filter("__wide", lambda c, i: ~F.exists(
-            F.slice("__wide", 1, i), lambda s: (s["kind"] == c["kind"]) & (s["start"] < c["end"])
+        added = F.filter(wide, lambda c, i: ~F.exists(
+            F.slice(wide, 1, i), lambda s: (s["kind"] == c["kind"]) & (s["start"] < c["end"])
             & (c["start"] < s["end"]))).cast(span)
-    df = df.withColumn(out, F.struct(F.col("__base").cast(span).alias("base"), added.alias("added")))
-    return df.drop("__base", "__wide")
+    df = df.withColumn(out, F.struct(F.col(found).cast(span).alias("base"), added.alias("added")))
+    return df.drop(found, wide)
 
 
 def listed(spans: Column) -> Column:
