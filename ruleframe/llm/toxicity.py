@@ -127,7 +127,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, id_col: st
              .where(F.col("id").isNotNull() & F.col("label").isNotNull()).withColumnRenamed("id", id_col)
              .where(usable).groupBy(id_col).agg(F.max("label").alias("label")))
     share = min(1.0, most / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))
+    steps = 10**6 if share >= 1e-3 else 10**15  # fine enough for any number of labelled rows
+    picked = known.where(F.pmod(F.xxhash64(id_col), F.lit(steps)) < int(share * steps))
     picked = picked.withColumnRenamed(id_col, "id")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
     own = own.groupBy("id", "label").agg(F.max("text").alias("text"))  # one row for each id: keeps the bound

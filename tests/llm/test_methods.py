@@ -131,6 +131,16 @@ def test_factorization_machine_learns_a_pair():
     assert p[0] > 0.8 and p[3] > 0.8 and p[1] < 0.2 and p[2] < 0.2
 
 
+def test_factorization_machine_scores_all_pairs():
+    rng = np.random.default_rng(9)
+    m = toxicity.FactorizationMachine({}, 0.3, rng.normal(size=12), rng.normal(size=(12, 4)))
+    rows = [np.array(x, np.int64) for x in ([], [3], [0, 5], [1, 2, 7, 11], list(range(12)))]
+    for row, p in zip(rows, m.score(rows)):
+        z = m.bias + sum(m.weight[i] for i in row)
+        z += sum(m.factors[i] @ m.factors[j] for a, i in enumerate(row) for j in row[a + 1:])
+        assert math.isclose(p, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
 def test_training_keeps_a_pair_of_balanced_words(spark):
     """As above through training_rows() and train(): either word is as common in both classes."""
     rng = np.random.default_rng(6)

@@ -75,6 +75,11 @@ def test_toxicity_learns(duck, got):
     rows = got("op1")
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    # what it learned from (one held-out document of the small table is toxic: too few to judge by)
+    pos, neg = ([r.score for r in rows if toxic.get(r.doc_id) == t and not r.held_out] for t in (1, 0))
+    assert len(pos) >= 5 and sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) >= 0.95 * len(pos) * len(neg)
+    assert sum(x >= 0.5 for x in pos) >= 0.9 * len(pos) and not any(x >= 0.5 for x in neg)
+    assert not any(r.predicted for r in rows if toxic.get(r.doc_id) == 0)
 
 
 def test_simhash(got, texts):
