@@ -4,20 +4,23 @@ A word is predicted by its class given the class of the word before, and then
 by its share of its class.  Classes come from exchange clustering: words move
 to the class that most raises the likelihood of the training bigrams.
 
-Every word with ``LEAST_COUNT`` occurrences is clustered by its own bigrams,
-as long as they fit the broadcast table of ``TABLE`` words (the count that
-takes to be in it grows with the corpus); only the words below go by their
-endings (``ENDINGS`` buckets).  The classes start from a sequential exchange
-over the ``SEED`` most frequent words, in one task; then all words move in
-distributed rounds: Spark sums each word's counts with the classes before and
-after it, and each word takes its best class against those of the round
-before - all words in the first round, then every other one in turn, so that
-words don't run after each other.  Rounds go on (``ROUNDS`` at most) while the
-likelihood rises.
-
-Counts cover all training documents.  The counts of the ``TABLE`` most
-frequent words are broadcast; the rest of a document's words meet their
-counts in one join, by word.
+Every word with ``LEAST_COUNT`` occurrences is clustered by its own bigrams;
+only the words below go by their endings (``ENDINGS`` buckets).  The classes
+start from a sequential exchange over the ``SEED`` most frequent words, in one
+task; then all words move in distributed rounds: Spark sums each word's counts
+with the classes before and after it, and each word takes its best class
+against those of the round before - all words in the first round, then every
+other one in turn, so that words don't run after each other.  Rounds go on
+(``ROUNDS`` at most) while the likelihood rises.
+
+The ``TABLE`` most frequent words are broadcast with their counts and classes.
+All other words with ``LEAST_COUNT`` occurrences, however many and however
+long, are late words: they go along with their endings in those rounds, then
+each moves by its own bigrams.  Their counts, classes and pairs stay in Spark,
+keyed by word; only class bigrams reach the driver.
+
+Counts cover all training documents.  The words of a document that are not in
+the table meet their counts and classes in one join, by word.
 
 Defined results: a NULL or empty text is the end token alone; words without
 training count take the smoothed share of an unseen word; repeated rows each
@@ -86,17 +89,30 @@ def word_counts(training: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass
 class Types:
-    """Word -> type: the end token, a word of its own (most frequent first), or a bucket of endings."""
+    """Word -> type: the end token, a word of its own (most frequent first), a bucket of endings, or, once they
+    have moved, the late words of a class."""
 
     own: dict[bytes, int]
+    late: DataFrame | None = None  # rows (word, class); only the driver can look them up
+
+    @property
+    def first(self) -> int:
+        """The first bucket of endings."""
+        return 1 + len(self.own)
 
     @property
     def size(self) -> int:
-        return 1 + len(self.own) + ENDINGS
+        return self.first + ENDINGS
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        get, first = self.own.get, 1 + len(self.own)
-        return np.array([get(w) or first + _ending(w) for w in words], np.int64)
+        get, first = self.own.get, self.first
+        found = np.array([get(w) or first + _ending(w) for w in words], np.int64)
+        if self.late is not None:
+            rest = {words[i] for i in np.flatnonzero(found >= first).tolist()}
+            late = {bytes(r["word"]): self.size + r["class"]
+                    for r in self.late.where(F.col("word").isin([bytearray(w) for w in rest])).collect()}
+            found = np.array([late.get(w, t) for w, t in zip(words, found.tolist())], np.int64)
+        return found
 
     def seeds(self) -> np.ndarray:
         """Type -> type of the seed exchange: the end token, the SEED first words, a bucket of endings."""
@@ -183,24 +199,96 @@ def _best(grid: np.ndarray, a: int, o: np.ndarray, i: np.ndarray, own: float) ->
     return b if gain[b] > gain[a] + 1e-6 else int(a)
 
 
+def gains_of_all(grid: np.ndarray, of: np.ndarray, o: np.ndarray, i: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """``gains`` of many types at once, each taken out of its class in ``of`` and out of ``grid``.
+
+    A row of ``o`` and ``i`` are a type's counts with the classes after and before it, those with itself included.
+    """
+    each = np.arange(len(of))
+    o, i = o.astype(float), i.astype(float)
+    o[each, of] -= own
+    i[each, of] -= own
+    after, before, own = o.sum(axis=1, keepdims=True), i.sum(axis=1, keepdims=True), own[:, None].astype(float)
+    rows, columns, now = (np.tile(x, (len(of), 1)) for x in (grid.sum(axis=1), grid.sum(axis=0), np.diagonal(grid)))
+    rows[each, of] -= (after + own)[:, 0]
+    columns[each, of] -= (before + own)[:, 0]
+    now[each, of] -= o[each, of] + i[each, of] + own[:, 0]
+    gain = _added(grid, of, o, i, own) + _added(grid.T, of, i, o, own)
+    gain += _f(now + o + i + own) - _f(now + o) - _f(now + i) + _f(now)
+    gain -= _f(rows + after + own) - _f(rows) + _f(columns + before + own) - _f(columns)
+    gain[:, 0] = -np.inf  # the end token's
+    return gain
+
+
+def _added(grid: np.ndarray, of: np.ndarray, x: np.ndarray, y: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """By type and class c: the sum of f(g[c, j] + x[j]) - f(g[c, j]) over j, g being the grid without the type:
+    row of its class less x, column less y, the cell of both also less own."""
+    out = np.zeros(x.shape)
+    t, j = np.nonzero(x)
+    if not len(t):
+        return out
+    n, a = x[t, j], of[t]
+    # most counts are small: cells of equal column and count are worked out once
+    pair, place = np.unique(n * len(grid) + j, return_inverse=True)
+    cells = grid.T[(pair % len(grid)).astype(np.int64)]
+    step = (_f(cells + (pair // len(grid))[:, None]) - _f(cells))[place]
+    without = grid[a, j] - n
+    step[np.arange(len(t)), a] = _f(without + n) - _f(without)
+    at = np.flatnonzero(j == a)  # the column of its class
+    cells = grid.T[a[at]] - y[t[at]]
+    cells[np.arange(len(at)), a[at]] -= n[at] + own[t[at], 0]
+    step[at] = _f(cells + n[at, None]) - _f(cells)
+    starts = np.flatnonzero(np.diff(t, prepend=-1))
+    out[t[starts]] = np.add.reduceat(step, starts, axis=0)
+    return out
+
+
+def best_classes(grid: np.ndarray, of: np.ndarray, o: np.ndarray, i: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Each type's best class; it stays where nothing is gained."""
+    out = of.copy()
+    for at in range(0, len(of), 512):  # bounds the cells in memory
+        part = slice(at, at + 512)
+        gain = gains_of_all(grid, of[part], o[part], i[part], own[part])
+        best, each = gain.argmax(axis=1), np.arange(len(gain))
+        out[part] = np.where(gain[each, best] > gain[each, of[part]] + 1e-6, best, of[part])
+    return out
+
+
 def type_lines(training: DataFrame, types: Types, text_col: str = "text") -> DataFrame:
-    """Written rows (line): each training document as the array of its words' types."""
+    """Written rows (line, rest): each training document as the array of its words' types, and its words without
+    a type of their own, in order."""
     shared = training.sparkSession.sparkContext.broadcast(types)
 
-    @F.arrow_udf("array<int>")
-    def line(text: pa.Array) -> pa.Array:
-        return pa.array([shared.value.of(words_of(t)).astype(np.int32) for t in texts(text)], pa.list_(pa.int32()))
+    @F.arrow_udf("line array<int>, rest array<binary>")
+    def typed(text: pa.Array) -> pa.Array:
+        types, lines, rest, ends = shared.value, [], [], [0]
+        for t in texts(text):
+            words = words_of(t)
+            line = types.of(words)
+            lines.append(line.astype(np.int32))
+            rest += [words[i] for i in np.flatnonzero(line >= types.first).tolist()]
+            ends.append(len(rest))
+        rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rest, pa.binary()))
+        return pa.StructArray.from_arrays([pa.array(lines, pa.list_(pa.int32())), rest], names=["line", "rest"])
 
-    return written(training.select(line.asNondeterministic()(F.col(text_col)).alias("line")), "lines")
+    return written(training.select(typed.asNondeterministic()(F.col(text_col)).alias("t")).select("t.*"), "lines")
 
 
-def _chains(batches):
-    """All lines of a slice in a row, with the end token before, between and after them."""
+def _slices(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
-            part = batch.column(0).slice(at, 1024)
-            ends = np.asarray(pc.list_value_length(part)).cumsum()
-            yield np.concatenate([[END], np.insert(part.flatten().to_numpy().astype(np.int64), ends, END)])
+            yield batch.slice(at, 1024)
+
+
+def _chain(lines: pa.Array) -> np.ndarray:
+    """All lines in a row, with the end token before, between and after them."""
+    ends = np.asarray(pc.list_value_length(lines)).cumsum()
+    return np.concatenate([[END], np.insert(lines.flatten().to_numpy().astype(np.int64), ends, END)])
+
+
+def _chains(batches):
+    for part in _slices(batches):
+        yield _chain(part.column(0))
 
 
 def seed_classes(lines: DataFrame, types: Types) -> np.ndarray:
@@ -219,7 +307,7 @@ def seed_classes(lines: DataFrame, types: Types) -> np.ndarray:
             np.add.at(total, s[:-1] * n + s[1:], 1)
         yield from _cells({"cell": np.flatnonzero(total)}, total)
 
-    cells = written(lines.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")), "bigrams")
+    cells = written(lines.select("line").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")), "bigrams")
 
     def cluster(batches):
         bigrams = np.zeros(n * n)
@@ -253,7 +341,7 @@ def contexts(lines: DataFrame, of: np.ndarray) -> DataFrame:
             np.add.at(total, a[chain[:-1] == chain[1:]] + 2 * CLASSES, 1)
         yield from _cells({"cell": np.flatnonzero(total)}, total)
 
-    counted = lines.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    counted = lines.select("line").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     return written(counted.select(F.expr(f"cast(cell div {width} AS INT)").alias("type"),
                                   (F.col("cell") % width).cast("int").alias("at"), "n"), "contexts")
 
@@ -270,7 +358,7 @@ def class_bigrams(lines: DataFrame, of: np.ndarray) -> np.ndarray:
         yield from _cells({"cell": np.flatnonzero(total)}, total)
 
     grid = np.zeros(CLASSES * CLASSES)
-    for r in lines.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in lines.select("line").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         grid[r["cell"]] = r["n"]
     return grid.reshape(CLASSES, CLASSES)
 
@@ -282,13 +370,11 @@ def moved(cells: DataFrame, of: np.ndarray, grid: np.ndarray) -> np.ndarray:
     @F.arrow_udf("int")
     def best(types: pa.Array, cells: pa.Array) -> pa.Array:
         of, grid = shared.value
-        out = []
-        for t, own in zip(types.to_pylist(), cells):
-            count = np.zeros(2 * CLASSES + 1)
-            count[own.values.field("at").to_numpy()] = own.values.field("n").to_numpy()
-            o, i = count[:CLASSES].copy(), count[CLASSES:-1].copy()
-            out.append(_best(grid.copy(), of[t], o, i, count[-1]))
-        return pa.array(out, pa.int32())
+        count = np.zeros((len(types), 2 * CLASSES + 1))
+        flat = cells.flatten()
+        count[_rows_of(cells), flat.field("at").to_numpy()] = flat.field("n").to_numpy()
+        best = best_classes(grid, of[types.to_numpy()], count[:, :CLASSES], count[:, CLASSES:-1], count[:, -1])
+        return pa.array(best, pa.int32())
 
     rows = cells.where(F.col("type") != END).groupBy("type").agg(F.collect_list(F.struct("at", "n")).alias("cells"))  # at most 129
     out = of.copy()
@@ -297,9 +383,8 @@ def moved(cells: DataFrame, of: np.ndarray, grid: np.ndarray) -> np.ndarray:
     return out
 
 
-def classes_of_types(training: DataFrame, types: Types, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+def classes_of_types(lines: DataFrame, types: Types) -> tuple[np.ndarray, np.ndarray]:
     """Class of each type, and the class bigram counts."""
-    lines = type_lines(training, types, text_col)
     of = seed_classes(lines, types)
     best = of, class_bigrams(lines, of)
     for turn in range(ROUNDS):
@@ -313,6 +398,97 @@ def classes_of_types(training: DataFrame, types: Types, text_col: str = "text")
     return best
 
 
+def _rows_of(lists: pa.Array) -> np.ndarray:
+    """The row of each value in the flattened lists; NULL is an empty list."""
+    return np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists).fill_null(0)))
+
+
+def around(lines: DataFrame, types: Types, of: np.ndarray) -> DataFrame:
+    """Written rows (word, next, cell, n) of the words without a type of their own.
+
+    ``next`` NULL: how often the word stands between two classes; ``cell`` is
+    (class before * CLASSES + class after) * 2, plus 1 if it is followed by
+    itself.  ``cell`` NULL: how often it is followed by the word ``next``,
+    which has no type of its own either.
+    """
+    shared, first, kinds = lines.sparkSession.sparkContext.broadcast(of), types.first, 2 * CLASSES * CLASSES
+
+    def count(batches):
+        for part in _slices(batches):
+            chain = _chain(part.column(0))
+            place = np.flatnonzero(chain >= first)
+            words = part.column(1).flatten().dictionary_encode()
+            word, words = words.indices.to_numpy().astype(np.int64), words.dictionary
+            follow = np.flatnonzero(np.diff(place) == 1)
+            same = np.zeros(len(place), np.int64)
+            same[follow] = word[follow] == word[follow + 1]
+            c = shared.value[chain]
+            cell, n = np.unique(word * kinds + (c[place - 1] * CLASSES + c[place + 1]) * 2 + same, return_counts=True)
+            pair, times = np.unique(word[follow] * len(words) + word[follow + 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [words.take(pa.array(cell // kinds)), pa.nulls(len(cell), pa.binary()),
+                 pa.array(cell % kinds, pa.int32()), pa.array(n, pa.int64())], names=["word", "next", "cell", "n"])
+            if len(pair):
+                yield pa.RecordBatch.from_arrays(
+                    [words.take(pa.array(pair // len(words))), words.take(pa.array(pair % len(words))),
+                     pa.nulls(len(pair), pa.int32()), pa.array(times, pa.int64())], names=["word", "next", "cell", "n"])
+
+    return written(lines.select("line", "rest").mapInArrow(count, "word binary, next binary, cell int, n bigint")
+                   .groupBy("word", "next", "cell").agg(F.sum("n").alias("n")), "around")
+
+
+def late_classes(lines: DataFrame, types: Types, of: np.ndarray, grid: np.ndarray) -> tuple[DataFrame | None, np.ndarray]:
+    """Rows (word, class) of the late words after each moved by its own bigrams, and the class bigrams then.
+
+    No rows and the class bigrams as they were if the likelihood does not rise.
+    """
+    every, first = around(lines, types, of), types.first
+    shared = lines.sparkSession.sparkContext.broadcast((of, grid))
+
+    def move(batches):
+        """A row for each word, and the task's changes of the class bigrams by cell (``word`` NULL).
+
+        Each side of a bigram is counted as if the other side stayed.
+        """
+        of, grid = shared.value
+        change = np.zeros((CLASSES, CLASSES), np.int64)
+        for part in _slices(batches):
+            words, cells = part.column(0), part.column(1)
+            flat, row = cells.flatten(), _rows_of(cells)
+            cell, n = flat.field("cell").to_numpy().astype(np.int64), flat.field("n").to_numpy()
+            o, i = (np.bincount(row * CLASSES + c, n, len(words) * CLASSES).reshape(-1, CLASSES)
+                    for c in (cell // 2 % CLASSES, cell // 2 // CLASSES))
+            was = of[[first + _ending(w) for w in words.to_pylist()]]
+            now = best_classes(grid, was, o, i, np.bincount(row, n * (cell % 2), len(words)))
+            for to, sign in ((now, 1), (was, -1)):
+                np.add.at(change, to, sign * o.astype(np.int64))
+                np.add.at(change.T, to, sign * i.astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [words.cast(pa.binary()), pa.array(was, pa.int32()), pa.array(now, pa.int32()),
+                 pa.nulls(len(words), pa.int64())], names=["word", "was", "class", "n"])
+        a, b = np.nonzero(change)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(a), pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(change[a, b])],
+            names=["word", "was", "class", "n"])
+
+    words = (every.where(F.col("next").isNull()).groupBy("word")
+             .agg(F.collect_list(F.struct("cell", "n")).alias("cells"), F.sum("n").alias("n"))  # 2 CLASSES squared at most
+             .where(F.col("n") >= LEAST_COUNT))
+    done = written(words.select("word", "cells").mapInArrow(move, "word binary, was int, class int, n bigint"), "late")
+    late, after = done.where(F.col("word").isNotNull()).drop("n"), grid.copy()
+    # where both words of a pair moved, the bigram goes from one pair of classes to the other
+    changed = late.where(F.col("was") != F.col("class"))
+    a, b = changed.toDF("word", "a", "to_a"), changed.toDF("next", "b", "to_b")
+    pairs = (every.where(F.col("next").isNotNull()).select("word", "next", "n").join(a, "word").join(b, "next")
+             .select(F.expr("stack(4, a, b, n, to_a, to_b, n, a, to_b, -n, to_a, b, -n) AS (was, class, n)")))
+    for rows in (done.where(F.col("word").isNull()), pairs):
+        for r in rows.groupBy("was", "class").agg(F.sum("n").alias("n")).collect():  # at most CLASSES squared
+            after[r["was"], r["class"]] += r["n"]
+    if likelihood(after) <= likelihood(grid):
+        return None, grid
+    return late.drop("was"), after
+
+
 def _half(n: int, turn: int) -> np.ndarray:
     """About half of n types, another half in the next turn; neighbours in frequency fall on both sides."""
     mixed = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -331,18 +507,22 @@ class Model:
     ends: int                 # count of the end token
     tokens: int
     distinct: int
-    counts: DataFrame | None = None
+    counts: DataFrame | None = None  # rows (word, n, class) of all words
 
 
 def learn(training: DataFrame, text_col: str = "text") -> Model:
     counts = word_counts(training, text_col)
-    totals = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"),
-                        F.sum(F.when(F.col("word") == b" ", F.col("n"))).alias("ends")).first()
-    top = most_frequent(counts.where((F.octet_length("word") <= TABLE_BYTES) & (F.col("word") != b" ")),
-                        "word", "n", TABLE)
+    ended = F.col("word") == b" "
+    totals = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(ended, F.col("n"))).alias("ends"),
+                        F.count_if(~ended & (F.col("n") >= LEAST_COUNT)).alias("clustered")).first()
+    top = most_frequent(counts.where((F.octet_length("word") <= TABLE_BYTES) & ~ended), "word", "n", TABLE)
     table = {bytes(r["word"]): r["n"] for r in top}
     types = Types({bytes(r["word"]): 1 + i for i, r in enumerate(r for r in top if r["n"] >= LEAST_COUNT)})
-    of, grid = classes_of_types(training, types, text_col)
+    lines = type_lines(training, types, text_col)
+    of, grid = classes_of_types(lines, types)
+    late = None
+    if totals["clustered"] > len(types.own):
+        late, grid = late_classes(lines, types, of, grid)
     shared = training.sparkSession.sparkContext.broadcast((types, of))
 
     @F.arrow_udf("int")
@@ -350,21 +530,28 @@ def learn(training: DataFrame, text_col: str = "text") -> Model:
         types, of = shared.value
         return pa.array(of[types.of(word.to_pylist())], pa.int32())
 
+    by_type = F.when(ended, F.lit(END)).otherwise(class_of("word"))
+    if late is not None:
+        known = counts.join(late, "word", "left").select("word", "n", F.coalesce("class", by_type).alias("class"))
+    else:
+        known = counts.select("word", "n", by_type.alias("class"))
+    known = written(known, "vocabulary")
     # per class: tokens, distinct words, and one share for unseen words
-    words = counts.where(F.col("word") != b" ").select(class_of("word").alias("class"), "n")
     sizes = np.zeros((CLASSES, 2))
-    for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+    for r in known.where(~ended).groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         sizes[r["class"]] = r["n"], r["v"]
     unigram = (sizes[:, 0] + 1) / (sizes[:, 0] + 1).sum()
     unigram[0] = ((totals["ends"] or 0) + 1) / (sizes[:, 0].sum() + (totals["ends"] or 0) + CLASSES)
     unigram /= unigram.sum()
     transition = np.log10((grid + PRIOR * unigram) / (grid.sum(axis=1, keepdims=True) + PRIOR))
     share = np.log10(sizes.sum(axis=1) + 1)
-    return Model(types, of, transition, share, table, totals["ends"] or 0, totals["n"] or 0, totals["v"] or 0, counts)
+    # types of late words follow those of the lines: one for each class
+    return Model(Types(types.own, late), np.concatenate([of, np.arange(CLASSES)]), transition, share, table,
+                 totals["ends"] or 0, totals["n"] or 0, totals["v"] or 0, known)
 
 
-SCORED = ("n_tokens bigint, known bigint, logs double, chain double, "
-          "rest array<struct<word: binary, times: bigint>>")
+SCORED = ("n_tokens bigint, known bigint, logs double, chain double, rest array<struct<word: binary, times: bigint>>, "
+          "by_ending array<int>, left array<int>, right array<int>")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
@@ -373,45 +560,81 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     base_score is the add-one unigram; score the class model, in which a
     word's share of its class is (count + 1) / (class tokens + words + 1).
+
+    Bigrams of table words are scored where the text is read.  Those with
+    another word wait for its class: they are written as pairs of codes, a
+    class or CLASSES + the word's place among the document's other words.
     """
-    counts, model.counts = model.counts, None
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    model.counts = counts
+    own, of, counts = model.types.own, model.of, model.counts
+    endings = of[1 + len(own):1 + len(own) + ENDINGS]
+    place = {w: 1 + i for i, w in enumerate(model.table)}  # words of the table by place; 0: another word
+    classes = np.array([0, *(of[own[w]] if w in own else endings[_ending(w)] for w in model.table)], np.int64)
+    logs = np.log10(np.array([0, *model.table.values()]) + 1.0)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (place, classes, logs, endings, model.transition, model.share, model.ends))
 
     @F.arrow_udf(SCORED)
     def scored(text: pa.Array) -> pa.Array:
-        m = shared.value
-        get, sums, more_words, more_times, ends = m.table.get, [], [], [], [0]
+        place, classes, logs, endings, transition, share, n_ends = shared.value
+        get, sums, words_out, times_out, codes_out, pair_ends, ends = place.get, [], [], [], [], [0], [0]
         for t in texts(text):
             words = words_of(t)
-            n = np.array([get(w, 0) for w in words], np.int64)
-            rest = Counter(words[i] for i in np.flatnonzero(n == 0).tolist())
-            of = np.concatenate([[0], m.of[m.types.of(words)], [0]]) if words else np.zeros(2, np.int64)
-            chain = m.transition[of[:-1], of[1:]].sum() - m.share[of[1:-1]].sum()
-            logs = np.log10(n[n > 0] + 1.0).sum() + np.log10(m.ends + 1.0)
-            sums.append((len(words) + 1, int((n > 0).sum()) + (m.ends > 0), logs, chain))
-            more_words += rest.keys()
-            more_times += rest.values()
-            ends.append(len(more_words))
-        rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
-            [pa.array(more_words, pa.binary()), pa.array(more_times, pa.int64())], names=["word", "times"]))
+            at = np.array([get(w, 0) for w in words], np.int64)
+            out = np.flatnonzero(at == 0)
+            rest: dict[bytes, int] = {}
+            codes = np.array([rest.setdefault(words[i], len(rest)) for i in out.tolist()], np.int64)
+            line = np.zeros(len(words) + 2, np.int64)
+            line[1:-1] = classes[at]
+            line[1 + out] = CLASSES + codes
+            waits = (line[:-1] >= CLASSES) | (line[1:] >= CLASSES)
+            left, right = line[:-1], line[1:]
+            chain = transition[left[~waits], right[~waits]].sum() - share[classes[at[at > 0]]].sum()
+            sums.append((len(words) + 1, len(words) - len(out) + (n_ends > 0), logs[at].sum() + np.log10(n_ends + 1.0), chain))
+            words_out += rest
+            times_out.append(np.bincount(codes, minlength=len(rest)))
+            codes_out.append(np.stack([left[waits], right[waits]]))
+            pair_ends.append(pair_ends[-1] + int(waits.sum()))
+            ends.append(len(words_out))
+        times = np.concatenate(times_out or [np.zeros(0, np.int64)])
+        left, right = np.concatenate(codes_out or [np.zeros((2, 0), np.int64)], axis=1).astype(np.int32)
+        by_ending = endings[[_ending(w) for w in words_out]] if words_out else np.zeros(0)
+        ends, pair_ends = pa.array(ends, pa.int32()), pa.array(pair_ends, pa.int32())
+        rest = pa.StructArray.from_arrays([pa.array(words_out, pa.binary()), pa.array(times, pa.int64())], names=["word", "times"])
         columns = list(zip(*sums)) or [[]] * 4
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.StructArray.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), rest],
-                                          names=["n_tokens", "known", "logs", "chain", "rest"])
+        return pa.StructArray.from_arrays(
+            [*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.ListArray.from_arrays(ends, rest),
+             pa.ListArray.from_arrays(ends, pa.array(by_ending.astype(np.int32))),
+             pa.ListArray.from_arrays(pair_ends, pa.array(left)), pa.ListArray.from_arrays(pair_ends, pa.array(right))],
+            names=["n_tokens", "known", "logs", "chain", "rest", "by_ending", "left", "right"])
+
+    @F.arrow_udf("double")
+    def waiting(by_ending: pa.Array, left: pa.Array, right: pa.Array, late: pa.Array) -> pa.Array:
+        """The pairs that wait for classes, by ending if the word is not among ``late`` (at, class)."""
+        transition, share = shared.value[4:6]
+        first = np.concatenate([[0], np.asarray(pc.list_value_length(by_ending)).cumsum()])
+        of = np.concatenate([np.arange(CLASSES), by_ending.flatten().to_numpy()])
+        found, row = late.flatten(), _rows_of(left)
+        of[CLASSES + first[_rows_of(late)] + found.field("at").to_numpy()] = found.field("class").to_numpy()
+        a, b = (np.where(c < CLASSES, c, c + first[row]) for c in (left.flatten().to_numpy(), right.flatten().to_numpy()))
+        steps = transition[of[a], of[b]] - np.where(b < CLASSES, 0.0, share[of[b]])
+        return pa.array(np.bincount(row, steps, len(left)))
 
     # written once: the row number below then names the same row in every later read
     rows = written(docs.select(F.col(id_col).alias("doc_id"), *more,
                                scored.asNondeterministic()(F.col(text_col)).alias("s"))
                    .withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row", F.inline("s.rest")).join(counts, "word")
-    found = rare.groupBy("row").agg(F.sum("times").alias("known"),
-                                    F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
-    whole = rows.join(found.withColumnsRenamed({"known": "more_known", "logs": "more_logs"}), "row", "left")
+    rare = (rows.select("row", F.posexplode("s.rest").alias("at", "r"))
+            .select("row", "at", "r.word", "r.times").join(counts, "word"))
+    found = rare.groupBy("row").agg(
+        F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"),
+        F.collect_list(F.when(F.col("n") >= LEAST_COUNT, F.struct("at", "class"))).alias("late"))
+    whole = rows.join(found, "row", "left")
     logs = F.col("s.logs") + F.coalesce("more_logs", F.lit(0.0))
     names = [c for c in rows.columns if c not in ("s", "row")]
     return whole.select(
         *names, "s.n_tokens", (F.col("s.known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         (logs - F.col("s.n_tokens") * F.log10(F.lit(float(model.tokens + model.distinct + 1)))).alias("base_score"),
-        (logs - F.log10(F.lit(model.ends + 1.0)) + F.col("s.chain")).alias("score"))
+        (logs - F.log10(F.lit(model.ends + 1.0)) + F.col("s.chain")
+         + waiting("s.by_ending", "s.left", "s.right", "late")).alias("score"))

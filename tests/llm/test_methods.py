@@ -347,6 +347,60 @@ def test_all_words_move_in_rounds(spark, monkeypatch):
     assert mixed < 0.02 * len(of)
 
 
+def test_words_beyond_the_table_move_by_their_own_bigrams(spark, monkeypatch):
+    """All have one ending, so that only their bigrams tell them apart; some are longer than the table takes."""
+    monkeypatch.setattr(lm, "TABLE", 202)
+    rng = random.Random(2)
+    long = "w" * lm.TABLE_BYTES
+    common = {k: [f"{k}{i}" for i in range(100)] for k in "nv"}
+    late = {k: [f"{long if i % 9 == 0 else ''}{k}{i}end" for i in range(100)] for k in "nv"}
+    docs = []
+    for _ in range(400):
+        kinds = rng.choices("nv", k=60)
+        docs.append(" ".join(w for k in kinds for w in ("the" if k == "n" else "to", rng.choice(common[k] * 3 + late[k]))))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id bigint, text string")
+    model = lm.learn(df)
+    assert len(model.types.own) <= 202 and not any(w.encode() in model.types.own for w in late["n"] + late["v"])
+    of = {k: model.of[model.types.of([w.encode() for w in late[k]])].tolist() for k in "nv"}
+    kinds = Counter((c, k) for k in "nv" for c in of[k])
+    mixed = sum(min(kinds[c, "n"], kinds[c, "v"]) for c in set(of["n"]))
+    assert mixed < 0.02 * 200
+
+
+@pytest.mark.parametrize("table", [1, 4, 12])
+def test_scores_with_late_words_equal_the_definition(spark, monkeypatch, table):
+    """Late words beside late words, beside themselves, and beside words of the table; rare and unseen ones."""
+    monkeypatch.setattr(lm, "TABLE", table)
+    rng = random.Random(table)
+    words = ["the", "of", *(f"w{i}" for i in range(30)), "x" * 65, "y" * 70]
+    docs = [" ".join(rng.choices(words, [40, 20, *range(30, 0, -1), 30, 5], k=rng.randint(0, 30))) for _ in range(60)]
+    docs += ["w3 w3 w3 w4 w4 w5", None, "", "rare words here"] * 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id bigint, text string").coalesce(1)
+    model = lm.learn(df)
+    rest = sorted(w for w, n in Counter(w for t in docs for w in lm.words_of(t or "")).items()
+                  if n >= lm.LEAST_COUNT and w not in model.types.own)
+    late = {bytes(r["word"]): r["class"] for r in model.types.late.collect()}
+    assert sorted(late) == rest and len(set(late.values())) > 1
+    plain = _plain_model(docs, model.types, model.of)
+    new = [(1000, "w3 unseen w3 w3 unseen w9 the"), (1001, "unseen words"), (1002, "x" * 65 + " w1")]
+    texts = dict(enumerate(docs)) | dict(new)
+    for r in lm.score(df.union(spark.createDataFrame(new, df.schema)), model).collect():
+        assert math.isclose(r.score, plain(texts[r.doc_id]), rel_tol=1e-9), texts[r.doc_id]
+
+
+def test_best_classes_of_many_are_those_of_each():
+    rng = np.random.default_rng(4)
+    n, classes = 700, 6
+    bigrams = rng.poisson(0.3, (n, n)).astype(float) * rng.choice([1, 1, 5], (n, 1))
+    of = np.array([0, *rng.integers(1, classes, n - 1)])
+    of[:classes] = range(classes)
+    member = np.eye(classes)[of]
+    grid, o, i, own = member.T @ bigrams @ member, bigrams @ member, bigrams.T @ member, np.diagonal(bigrams)
+    got = lm.best_classes(grid, of[1:], o[1:], i[1:], own[1:])
+    assert got.tolist() == [lm._best(grid.copy(), of[w], o[w].copy(), i[w].copy(), own[w]) for w in range(1, n)]
+    assert (got != of[1:]).any()
+
+
 @pytest.mark.parametrize("n", [1, 256, 700])
 def test_places_of_many_matches(spark, n):
     """Code points, with wider characters between the matches."""
