@@ -256,20 +256,19 @@ def best_classes(grid: np.ndarray, of: np.ndarray, o: np.ndarray, i: np.ndarray,
 
 def type_lines(training: DataFrame, types: Types, text_col: str = "text") -> DataFrame:
     """Written rows (line, rest): each training document as the array of its words' types, and its words without
-    a type of their own, in order."""
+    a type of their own, in order, with blanks between them."""
     shared = training.sparkSession.sparkContext.broadcast(types)
 
-    @F.arrow_udf("line array<int>, rest array<binary>")
+    @F.arrow_udf("line array<int>, rest binary")
     def typed(text: pa.Array) -> pa.Array:
-        types, lines, rest, ends = shared.value, [], [], [0]
+        types, lines, rest = shared.value, [], []
         for t in texts(text):
             words = words_of(t)
             line = types.of(words)
             lines.append(line.astype(np.int32))
-            rest += [words[i] for i in np.flatnonzero(line >= types.first).tolist()]
-            ends.append(len(rest))
-        rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rest, pa.binary()))
-        return pa.StructArray.from_arrays([pa.array(lines, pa.list_(pa.int32())), rest], names=["line", "rest"])
+            rest.append(b" ".join([words[i] for i in np.flatnonzero(line >= types.first).tolist()]))
+        return pa.StructArray.from_arrays([pa.array(lines, pa.list_(pa.int32())), pa.array(rest, pa.binary())],
+                                          names=["line", "rest"])
 
     return written(training.select(typed.asNondeterministic()(F.col(text_col)).alias("t")).select("t.*"), "lines")
 
@@ -417,7 +416,7 @@ def around(lines: DataFrame, types: Types, of: np.ndarray) -> DataFrame:
         for part in _slices(batches):
             chain = _chain(part.column(0))
             place = np.flatnonzero(chain >= first)
-            words = part.column(1).flatten().dictionary_encode()
+            words = pa.array(b" ".join(part.column(1).to_pylist()).split(), pa.binary()).dictionary_encode()
             word, words = words.indices.to_numpy().astype(np.int64), words.dictionary
             follow = np.flatnonzero(np.diff(place) == 1)
             same = np.zeros(len(place), np.int64)
@@ -479,8 +478,19 @@ def late_classes(lines: DataFrame, types: Types, of: np.ndarray, grid: np.ndarra
     # where both words of a pair moved, the bigram goes from one pair of classes to the other
     changed = late.where(F.col("was") != F.col("class"))
     a, b = changed.toDF("word", "a", "to_a"), changed.toDF("next", "b", "to_b")
-    pairs = (every.where(F.col("next").isNotNull()).select("word", "next", "n").join(a, "word").join(b, "next")
-             .select(F.expr("stack(4, a, b, n, to_a, to_b, n, a, to_b, -n, to_a, b, -n) AS (was, class, n)")))
+    pairs = every.where(F.col("next").isNotNull()).select("word", "next", "n").join(a, "word").join(b, "next")
+
+    def both(batches):
+        change = np.zeros((CLASSES, CLASSES), np.int64)
+        for batch in batches:
+            a, to_a, b, to_b, n = (c.to_numpy() for c in batch.columns)
+            for x, y, sign in ((a, b, 1), (to_a, to_b, 1), (a, to_b, -1), (to_a, b, -1)):
+                np.add.at(change, (x, y), sign * n)
+        x, y = np.nonzero(change)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(change[x, y])],
+                                         names=["was", "class", "n"])
+
+    pairs = pairs.select("a", "to_a", "b", "to_b", "n").mapInArrow(both, "was int, class int, n bigint")
     for rows in (done.where(F.col("word").isNull()), pairs):
         for r in rows.groupBy("was", "class").agg(F.sum("n").alias("n")).collect():  # at most CLASSES squared
             after[r["was"], r["class"]] += r["n"]
@@ -551,7 +561,7 @@ def learn(training: DataFrame, text_col: str = "text") -> Model:
 
 
 SCORED = ("n_tokens bigint, known bigint, logs double, chain double, rest array<struct<word: binary, times: bigint>>, "
-          "by_ending array<int>, left array<int>, right array<int>")
+          "codes binary")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
@@ -562,8 +572,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     word's share of its class is (count + 1) / (class tokens + words + 1).
 
     Bigrams of table words are scored where the text is read.  Those with
-    another word wait for its class: they are written as pairs of codes, a
-    class or CLASSES + the word's place among the document's other words.
+    another word wait for its class: they are written as int32 codes, first
+    the number of other words and their classes by ending, then all left and
+    all right sides, each a class or CLASSES + the word's place among them.
     """
     own, of, counts = model.types.own, model.of, model.counts
     endings = of[1 + len(own):1 + len(own) + ENDINGS]
@@ -576,7 +587,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     @F.arrow_udf(SCORED)
     def scored(text: pa.Array) -> pa.Array:
         place, classes, logs, endings, transition, share, n_ends = shared.value
-        get, sums, words_out, times_out, codes_out, pair_ends, ends = place.get, [], [], [], [], [0], [0]
+        get, sums, words_out, times_out, codes_out, ends = place.get, [], [], [], [], [0]
         for t in texts(text):
             words = words_of(t)
             at = np.array([get(w, 0) for w in words], np.int64)
@@ -592,33 +603,32 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             sums.append((len(words) + 1, len(words) - len(out) + (n_ends > 0), logs[at].sum() + np.log10(n_ends + 1.0), chain))
             words_out += rest
             times_out.append(np.bincount(codes, minlength=len(rest)))
-            codes_out.append(np.stack([left[waits], right[waits]]))
-            pair_ends.append(pair_ends[-1] + int(waits.sum()))
+            codes_out.append(np.concatenate([[len(rest)], *([endings[[_ending(w) for w in rest]]] if rest else []),
+                                             left[waits], right[waits]]).astype(np.int32).tobytes())
             ends.append(len(words_out))
         times = np.concatenate(times_out or [np.zeros(0, np.int64)])
-        left, right = np.concatenate(codes_out or [np.zeros((2, 0), np.int64)], axis=1).astype(np.int32)
-        by_ending = endings[[_ending(w) for w in words_out]] if words_out else np.zeros(0)
-        ends, pair_ends = pa.array(ends, pa.int32()), pa.array(pair_ends, pa.int32())
         rest = pa.StructArray.from_arrays([pa.array(words_out, pa.binary()), pa.array(times, pa.int64())], names=["word", "times"])
         columns = list(zip(*sums)) or [[]] * 4
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.StructArray.from_arrays(
-            [*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.ListArray.from_arrays(ends, rest),
-             pa.ListArray.from_arrays(ends, pa.array(by_ending.astype(np.int32))),
-             pa.ListArray.from_arrays(pair_ends, pa.array(left)), pa.ListArray.from_arrays(pair_ends, pa.array(right))],
-            names=["n_tokens", "known", "logs", "chain", "rest", "by_ending", "left", "right"])
+            [*(pa.array(c, k) for c, k in zip(columns, kinds)),
+             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest), pa.array(codes_out, pa.binary())],
+            names=["n_tokens", "known", "logs", "chain", "rest", "codes"])
 
     @F.arrow_udf("double")
-    def waiting(by_ending: pa.Array, left: pa.Array, right: pa.Array, late: pa.Array) -> pa.Array:
+    def waiting(codes: pa.Array, late: pa.Array) -> pa.Array:
         """The pairs that wait for classes, by ending if the word is not among ``late`` (at, class)."""
         transition, share = shared.value[4:6]
-        first = np.concatenate([[0], np.asarray(pc.list_value_length(by_ending)).cumsum()])
-        of = np.concatenate([np.arange(CLASSES), by_ending.flatten().to_numpy()])
-        found, row = late.flatten(), _rows_of(left)
-        of[CLASSES + first[_rows_of(late)] + found.field("at").to_numpy()] = found.field("class").to_numpy()
-        a, b = (np.where(c < CLASSES, c, c + first[row]) for c in (left.flatten().to_numpy(), right.flatten().to_numpy()))
-        steps = transition[of[a], of[b]] - np.where(b < CLASSES, 0.0, share[of[b]])
-        return pa.array(np.bincount(row, steps, len(left)))
+        found, ends = late.flatten(), np.asarray(pc.list_value_length(late).fill_null(0)).cumsum()
+        places, now, out = found.field("at").to_numpy(), found.field("class").to_numpy(), []
+        for k, code in enumerate(codes):
+            code = np.frombuffer(code.as_buffer(), np.int32)
+            n, begin = 1 + code[0], ends[k - 1] if k else 0
+            of = np.concatenate([np.arange(CLASSES), code[1:n]])
+            of[CLASSES + places[begin:ends[k]]] = now[begin:ends[k]]
+            left, right = code[n:].reshape(2, -1)
+            out.append(transition[of[left], of[right]].sum() - share[of[right[right >= CLASSES]]].sum())
+        return pa.array(out, pa.float64())
 
     # written once: the row number below then names the same row in every later read
     rows = written(docs.select(F.col(id_col).alias("doc_id"), *more,
@@ -637,4 +647,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         (logs - F.col("s.n_tokens") * F.log10(F.lit(float(model.tokens + model.distinct + 1)))).alias("base_score"),
         (logs - F.log10(F.lit(model.ends + 1.0)) + F.col("s.chain")
-         + waiting("s.by_ending", "s.left", "s.right", "late")).alias("score"))
+         + waiting("s.codes", "late")).alias("score"))
