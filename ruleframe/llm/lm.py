@@ -13,14 +13,16 @@ against those of the round before - all words in the first round, then every
 other one in turn, so that words don't run after each other.  Rounds go on
 (``ROUNDS`` at most) while the likelihood rises.
 
-The ``TABLE`` most frequent words are broadcast with their counts and classes.
+The ``TABLE`` most frequent of them are broadcast with their counts and classes.
 All other words with ``LEAST_COUNT`` occurrences, however many and however
 long, are late words: they go along with their endings in those rounds, then
 each moves by its own bigrams.  Their counts, classes and pairs stay in Spark,
 keyed by word; only class bigrams reach the driver.
 
-Counts cover all training documents.  The words of a document that are not in
-the table meet their counts and classes in one join, by word.
+Counts cover all training documents.  Each text is split into types once, in a
+written table that the counts of bigrams and the scores read.  The words of a
+document that are not in the broadcast table meet their counts and classes in
+one join, by word.
 
 Defined results: a NULL or empty text is the end token alone; words without
 training count take the smoothed share of an unseen word; repeated rows each
@@ -31,7 +33,6 @@ document every count is 0; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleframe.llm.common import most_frequent, texts, written
+from ruleframe.llm.common import fresh, most_frequent, written
 
 LEAST_COUNT = 4        # occurrences of a word clustered by itself
 ENDINGS = 256          # buckets of endings for all other words
@@ -51,7 +52,9 @@ ROUNDS = 1             # in which all words move; four more raise the likelihood
 TABLE = 131_072        # words whose counts are broadcast
 TABLE_BYTES = 64       # longest of them
 PRIOR = 10.0           # weight of the class unigram in a transition
-FLUSH = 200_000        # words of a task's counter
+TEXT_BYTES = 16 << 20  # of text handled at a time inside a task (and a longer row by itself)
+LINE_BYTES = 2 << 20   # of lines
+BLOCK = 16_384         # cells of a counter that are dealt out together: types of any frequency
 END = 0                # type of the end token; also the context before a first word
 
 
@@ -59,25 +62,34 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-# ---- counts ------------------------------------------------------------------------------
+def _parts(column: pa.Array, most: int):
+    """(begin, end) of runs of rows: one of any length, and others with fewer than ``most`` bytes together."""
+    group = np.asarray(pc.binary_length(column).fill_null(0)).cumsum(dtype=np.int64) // most
+    starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+    return list(zip(starts, [*starts[1:], len(column)]))
 
-def _count(batches):
-    """Word counts of one task, handed on whenever the counter is full; the end token is b' '."""
-    count: Counter = Counter()
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()),
-                                           pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+def _split(text: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """``words_of`` all texts in a row, and their number by text; NULL has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text.fill_null("")))
+    n, words = np.asarray(pc.list_value_length(lists)), lists.flatten().cast(pa.binary())
+    found = np.asarray(pc.binary_length(words)) > 0  # blanks at an end leave an empty word there
+    if not found.all():
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[found], minlength=len(n))
+        words = words.filter(pa.array(found))
+    return n.astype(np.int64), words
+
+
+# ---- counts ------------------------------------------------------------------------------
 
+def _count(batches):
+    """Word counts of one task, by parts of its texts; the end token is b' '."""
     for batch in batches:
-        for t in texts(batch.column(0)):
-            count.update(words_of(t))
-            count[b" "] += 1
-            if len(count) > FLUSH:
-                yield out()
-                count.clear()
-    if count:
-        yield out()
+        text = batch.column(0)
+        for begin, end in _parts(text, TEXT_BYTES):
+            count = _split(text.slice(begin, end - begin))[1].value_counts()
+            yield pa.RecordBatch.from_arrays([count.field("values"), count.field("counts")], names=["word", "n"])
+        yield pa.RecordBatch.from_pydict({"word": [b" "], "n": [len(text)]})
 
 
 def word_counts(training: DataFrame, text_col: str = "text") -> DataFrame:
@@ -254,23 +266,48 @@ def best_classes(grid: np.ndarray, of: np.ndarray, o: np.ndarray, i: np.ndarray,
     return out
 
 
-def type_lines(training: DataFrame, types: Types, text_col: str = "text") -> DataFrame:
-    """Written rows (line, rest): each training document as the array of its words' types, and its words without
-    a type of their own, in order, with blanks between them."""
-    shared = training.sparkSession.sparkContext.broadcast(types)
-
-    @F.arrow_udf("line array<int>, rest binary")
+def type_lines(docs: DataFrame, types: Types, text_col: str = "text", more: tuple[Column, ...] = ()) -> DataFrame:
+    """Written rows (*more, s, row): s.line are the types of each document's words as int32, s.rest its words without
+    a type of their own, in order, with blanks between them; ``row`` names the row in every later read."""
+    own = pa.array(list(types.own), pa.binary())
+    shared = docs.sparkSession.sparkContext.broadcast(own)
+
+    def typed_part(text: pa.Array, own: pa.Array) -> pa.Array:
+        n, words = _split(text)
+        found = pc.index_in(words, value_set=own)
+        line = 1 + np.asarray(found.fill_null(0)).astype(np.int32)
+        out = np.flatnonzero(np.asarray(found.is_null()))
+        rest = words.take(pa.array(out))
+        line[out] = [1 + len(own) + _ending(w) for w in rest.to_pylist()]
+        row = np.repeat(np.arange(len(n)), n)[out]
+        lists = pa.ListArray.from_arrays(pa.array(_ends(np.bincount(row, minlength=len(n))), pa.int32()), rest)
+        return pa.StructArray.from_arrays([_binaries(line, n), pc.binary_join(lists, b" ")], names=["line", "rest"])
+
+    @F.arrow_udf("line binary, rest binary")
     def typed(text: pa.Array) -> pa.Array:
-        types, lines, rest = shared.value, [], []
-        for t in texts(text):
-            words = words_of(t)
-            line = types.of(words)
-            lines.append(line.astype(np.int32))
-            rest.append(b" ".join([words[i] for i in np.flatnonzero(line >= types.first).tolist()]))
-        return pa.StructArray.from_arrays([pa.array(lines, pa.list_(pa.int32())), pa.array(rest, pa.binary())],
-                                          names=["line", "rest"])
+        own = shared.value
+        return pa.concat_arrays([typed_part(text.slice(a, b - a), own) for a, b in _parts(text, TEXT_BYTES)]
+                                or [typed_part(text, own)])
+
+    return written(docs.select(*more, typed.asNondeterministic()(F.col(text_col)).alias("s"))
+                   .withColumn("row", F.monotonically_increasing_id()), "lines")
+
 
-    return written(training.select(typed.asNondeterministic()(F.col(text_col)).alias("t")).select("t.*"), "lines")
+def _ends(n: np.ndarray) -> np.ndarray:
+    """Where each of n's runs begins, and the end of all."""
+    return np.concatenate([[0], n.cumsum()])
+
+
+def _binaries(codes: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Runs of n int32 codes as bytes, a run in each row."""
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * _ends(n)).astype(np.int32)),
+                                                       pa.py_buffer(codes.astype("<i4"))])
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The int32 codes of all rows, and their number by row."""
+    return (np.frombuffer(b"".join(column.to_pylist()), "<i4").astype(np.int64),
+            np.asarray(pc.binary_length(column)).astype(np.int64) // 4)
 
 
 def _slices(batches):
@@ -279,42 +316,97 @@ def _slices(batches):
             yield batch.slice(at, 1024)
 
 
+def _line_slices(batches):
+    for batch in batches:
+        for begin, end in _parts(batch.column(0), LINE_BYTES):
+            yield batch.slice(begin, end - begin)
+
+
 def _chain(lines: pa.Array) -> np.ndarray:
     """All lines in a row, with the end token before, between and after them."""
-    ends = np.asarray(pc.list_value_length(lines)).cumsum()
-    return np.concatenate([[END], np.insert(lines.flatten().to_numpy().astype(np.int64), ends, END)])
+    codes, n = _codes(lines)
+    return np.concatenate([[END], np.insert(codes, n.cumsum(), END)])
 
 
 def _chains(batches):
-    for part in _slices(batches):
+    for part in _line_slices(batches):
         yield _chain(part.column(0))
 
 
-def seed_classes(lines: DataFrame, types: Types) -> np.ndarray:
-    """Class of each type after the exchange over the seed types.
+def counted(lines: DataFrame, types: int, width: int, tally, each, schema: str) -> DataFrame:
+    """The batches of ``each(types, counts)`` over all lines, for some types at a time, with ``width`` counts of each.
 
-    Tasks count their bigrams densely and hand on the cells that occur; the
-    exchange runs in one task over SEED + ENDINGS types squared at most.
+    ``tally(total, chain)`` counts some lines into the task's counter of types
+    x width cells.  A task hands on the cells that occur, in a row for each
+    block of about BLOCK cells, as 16-bit places and counts of 1 to 4 bytes;
+    they are added up where the block is dealt to.  A block takes types at
+    equal steps, so that the frequent ones are spread over all blocks.
     """
-    seed = types.seeds()
-    n = int(seed.max()) + 1
+    step = -(-types // max(BLOCK // width, 1))
 
     def count(batches):
-        total = np.zeros(n * n, np.int64)
+        total = np.zeros(types * width, np.uint32)
         for chain in _chains(batches):
-            s = seed[chain]
-            np.add.at(total, s[:-1] * n + s[1:], 1)
-        yield from _cells({"cell": np.flatnonzero(total)}, total)
+            tally(total, chain)
+        total = total.reshape(types, width)
+        for at in range(0, step, 64):  # blocks of a batch
+            out = []
+            for block in range(at, min(at + 64, step)):
+                part = total[block::step].ravel()
+                cells = np.flatnonzero(part)
+                if len(cells):
+                    n = part[cells]
+                    n = n.astype(np.min_scalar_type(n.max()).newbyteorder("<"))
+                    out.append((block, n.tobytes(), cells.astype("<u2").tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))],
+                                                 names=["block", "n", "cells"])
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}  # all blocks together: one counter
+        for batch in batches:
+            for block, n, cells in zip(*(c.to_pylist() for c in batch.columns)):
+                total = totals.setdefault(block, np.zeros(len(range(block, types, step)) * width, np.int64))
+                cells = np.frombuffer(cells, "<u2")
+                total[cells] += np.frombuffer(n, f"<u{len(n) // len(cells)}")
+        for block, total in totals.items():
+            yield each(np.arange(block, types, step), total.reshape(-1, width))
+
+    return (lines.select("s.line").mapInArrow(count, "block int, n binary, cells binary")
+            .repartition("block").mapInArrow(add, schema))
 
-    cells = written(lines.select("line").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")), "bigrams")
+
+def seed_classes(lines: DataFrame, types: Types) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each type after the exchange over the seed types, and the class bigram counts.
+
+    The exchange runs in one task over SEED + ENDINGS types squared at most.
+    """
+    seed = types.seeds()
+    n = int(seed.max()) + 1
+
+    def tally(total, chain):
+        s = seed[chain]
+        np.add.at(total, s[:-1] * n + s[1:], 1)
+
+    def each(types, count):
+        return pa.RecordBatch.from_arrays([pa.array(types, pa.int32()), pa.array([x.astype("<i8").tobytes() for x in count])],
+                                          names=["type", "n"])
+
+    cells = written(counted(lines, n, n, tally, each, "type int, n binary"), "bigrams")
 
     def cluster(batches):
-        bigrams = np.zeros(n * n)
-        for b in batches:
-            bigrams[b.column(0).to_numpy()] = b.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array([exchange(bigrams.reshape(n, n)).tolist()], pa.list_(pa.int64()))], names=["of"])
+        bigrams = np.zeros((n, n))
+        for batch in batches:
+            for t, row in zip(*(c.to_pylist() for c in batch.columns)):
+                bigrams[t] = np.frombuffer(row, "<i8")
+        of = exchange(bigrams)
+        grid = np.zeros((CLASSES, CLASSES))
+        a, b = np.nonzero(bigrams)
+        np.add.at(grid, (of[a], of[b]), bigrams[a, b])
+        yield pa.RecordBatch.from_arrays([pa.array([x.ravel().tolist()]) for x in (of, grid)], names=["of", "grid"])
 
-    return np.array(cells.coalesce(1).mapInArrow(cluster, "of array<bigint>").first()["of"], np.int64)[seed]
+    found = cells.coalesce(1).mapInArrow(cluster, "of array<bigint>, grid array<double>").first()
+    return np.array(found["of"], np.int64)[seed], np.array(found["grid"]).reshape(CLASSES, CLASSES)
 
 
 def _cells(columns: dict[str, np.ndarray], total: np.ndarray):
@@ -325,24 +417,32 @@ def _cells(columns: dict[str, np.ndarray], total: np.ndarray):
         yield pa.RecordBatch.from_pydict(part | {"n": total[place[at:at + 100_000]].astype(np.int64)})
 
 
-def contexts(lines: DataFrame, of: np.ndarray) -> DataFrame:
-    """Written rows (type, at, n): the type's bigrams with the classes after it (at = class) and before it
-    (CLASSES + class), and with itself (2 CLASSES).  A task's counter has types x 129 cells."""
+def of_contexts(lines: DataFrame, of: np.ndarray, each, schema: str) -> DataFrame:
+    """The batches of ``each(types, count)``, for every type that occurs once: ``count`` has a row for each type with its
+    bigrams with the classes after it (at class) and before it (at CLASSES + class), and with itself (at 2 CLASSES)."""
     shared, width = lines.sparkSession.sparkContext.broadcast(of), 2 * CLASSES + 1
 
-    def count(batches):
-        of = shared.value
-        total = np.zeros(len(of) * width, np.int32)
-        for chain in _chains(batches):
-            c, a, z = of[chain], chain[:-1] * width, chain[1:] * width
-            np.add.at(total, a + c[1:], 1)
-            np.add.at(total, z + CLASSES + c[:-1], 1)
-            np.add.at(total, a[chain[:-1] == chain[1:]] + 2 * CLASSES, 1)
-        yield from _cells({"cell": np.flatnonzero(total)}, total)
+    def tally(total, chain):
+        c, a, z = shared.value[chain], chain[:-1] * width, chain[1:] * width
+        np.add.at(total, a + c[1:], 1)
+        np.add.at(total, z + CLASSES + c[:-1], 1)
+        np.add.at(total, a[chain[:-1] == chain[1:]] + 2 * CLASSES, 1)
+
+    def occurring(types, count):
+        found = count.any(axis=1)
+        return each(types[found], count[found])
+
+    return counted(lines, len(of), width, tally, occurring, schema)
 
-    counted = lines.select("line").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    return written(counted.select(F.expr(f"cast(cell div {width} AS INT)").alias("type"),
-                                  (F.col("cell") % width).cast("int").alias("at"), "n"), "contexts")
+
+def contexts(lines: DataFrame, of: np.ndarray) -> DataFrame:
+    """Rows (type, at, n) of the counts of ``of_contexts`` that are not 0."""
+    def each(types, count):
+        row, at = np.nonzero(count)
+        return pa.RecordBatch.from_arrays([pa.array(types[row], pa.int32()), pa.array(at, pa.int32()), pa.array(count[row, at])],
+                                          names=["type", "at", "n"])
+
+    return of_contexts(lines, of, each, "type int, at int, n bigint")
 
 
 def class_bigrams(lines: DataFrame, of: np.ndarray) -> np.ndarray:
@@ -357,38 +457,33 @@ def class_bigrams(lines: DataFrame, of: np.ndarray) -> np.ndarray:
         yield from _cells({"cell": np.flatnonzero(total)}, total)
 
     grid = np.zeros(CLASSES * CLASSES)
-    for r in lines.select("line").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in lines.select("s.line").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         grid[r["cell"]] = r["n"]
     return grid.reshape(CLASSES, CLASSES)
 
 
-def moved(cells: DataFrame, of: np.ndarray, grid: np.ndarray) -> np.ndarray:
+def moved(lines: DataFrame, of: np.ndarray, grid: np.ndarray) -> np.ndarray:
     """Each type's best class against the classes of the round before."""
-    shared = cells.sparkSession.sparkContext.broadcast((of, grid))
+    shared = lines.sparkSession.sparkContext.broadcast((of, grid))
 
-    @F.arrow_udf("int")
-    def best(types: pa.Array, cells: pa.Array) -> pa.Array:
+    def each(types, count):
         of, grid = shared.value
-        count = np.zeros((len(types), 2 * CLASSES + 1))
-        flat = cells.flatten()
-        count[_rows_of(cells), flat.field("at").to_numpy()] = flat.field("n").to_numpy()
-        best = best_classes(grid, of[types.to_numpy()], count[:, :CLASSES], count[:, CLASSES:-1], count[:, -1])
-        return pa.array(best, pa.int32())
+        types, count = types[types != END], count[types != END]
+        best = best_classes(grid, of[types], count[:, :CLASSES], count[:, CLASSES:-1], count[:, -1])
+        return pa.RecordBatch.from_arrays([pa.array(types, pa.int32()), pa.array(best, pa.int32())], names=["type", "class"])
 
-    rows = cells.where(F.col("type") != END).groupBy("type").agg(F.collect_list(F.struct("at", "n")).alias("cells"))  # at most 129
+    now = of_contexts(lines, of, each, "type int, class int").toArrow()  # at most TABLE + ENDINGS
     out = of.copy()
-    for r in rows.select("type", best("type", "cells").alias("class")).toArrow().to_pylist():  # at most TABLE + ENDINGS
-        out[r["type"]] = r["class"]
+    out[now.column("type").to_numpy()] = now.column("class").to_numpy()
     return out
 
 
 def classes_of_types(lines: DataFrame, types: Types) -> tuple[np.ndarray, np.ndarray]:
     """Class of each type, and the class bigram counts."""
-    of = seed_classes(lines, types)
-    best = of, class_bigrams(lines, of)
+    best = seed_classes(lines, types)
     for turn in range(ROUNDS):
         of, grid = best
-        now = moved(contexts(lines, of), of, grid)
+        now = moved(lines, of, grid)
         of = np.where(_half(len(of), turn), of, now) if turn else now
         grid = class_bigrams(lines, of)
         if likelihood(grid) <= likelihood(best[1]):
@@ -403,17 +498,16 @@ def _rows_of(lists: pa.Array) -> np.ndarray:
 
 
 def around(lines: DataFrame, types: Types, of: np.ndarray) -> DataFrame:
-    """Written rows (word, next, cell, n) of the words without a type of their own.
+    """Written rows (word, next, cells, n) of the words without a type of their own, for each part of the lines.
 
-    ``next`` NULL: how often the word stands between two classes; ``cell`` is
-    (class before * CLASSES + class after) * 2, plus 1 if it is followed by
-    itself.  ``cell`` NULL: how often it is followed by the word ``next``,
-    which has no type of its own either.
+    ``next`` NULL: the classes around each occurrence of the word there, (class before * CLASSES + class after) * 2,
+    plus 1 if it is followed by itself, in 16 bits each.  ``cells`` NULL: how often it is followed by the word
+    ``next``, which has no type of its own either.
     """
-    shared, first, kinds = lines.sparkSession.sparkContext.broadcast(of), types.first, 2 * CLASSES * CLASSES
+    shared, first = lines.sparkSession.sparkContext.broadcast(of), types.first
 
     def count(batches):
-        for part in _slices(batches):
+        for part in _line_slices(batches):
             chain = _chain(part.column(0))
             place = np.flatnonzero(chain >= first)
             words = pa.array(b" ".join(part.column(1).to_pylist()).split(), pa.binary()).dictionary_encode()
@@ -422,18 +516,41 @@ def around(lines: DataFrame, types: Types, of: np.ndarray) -> DataFrame:
             same = np.zeros(len(place), np.int64)
             same[follow] = word[follow] == word[follow + 1]
             c = shared.value[chain]
-            cell, n = np.unique(word * kinds + (c[place - 1] * CLASSES + c[place + 1]) * 2 + same, return_counts=True)
+            cells = ((c[place - 1] * CLASSES + c[place + 1]) * 2 + same)[np.argsort(word, kind="stable")].astype("<u2")
+            ends = _ends(2 * np.bincount(word, minlength=len(words)))
+            cells = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(cells)])
+            yield pa.RecordBatch.from_arrays([words, pa.nulls(len(words), pa.binary()), cells, pa.nulls(len(words), pa.int64())],
+                                             names=["word", "next", "cells", "n"])
             pair, times = np.unique(word[follow] * len(words) + word[follow + 1], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [words.take(pa.array(cell // kinds)), pa.nulls(len(cell), pa.binary()),
-                 pa.array(cell % kinds, pa.int32()), pa.array(n, pa.int64())], names=["word", "next", "cell", "n"])
             if len(pair):
                 yield pa.RecordBatch.from_arrays(
                     [words.take(pa.array(pair // len(words))), words.take(pa.array(pair % len(words))),
-                     pa.nulls(len(pair), pa.int32()), pa.array(times, pa.int64())], names=["word", "next", "cell", "n"])
+                     pa.nulls(len(pair), pa.binary()), pa.array(times, pa.int64())], names=["word", "next", "cells", "n"])
 
-    return written(lines.select("line", "rest").mapInArrow(count, "word binary, next binary, cell int, n bigint")
-                   .groupBy("word", "next", "cell").agg(F.sum("n").alias("n")), "around")
+    return written(lines.select("s.line", "s.rest").mapInArrow(count, "word binary, next binary, cells binary, n bigint"), "around")
+
+
+def _sums(batches):
+    """(words, counts) from sorted rows (word, cells) of ``around``: a word's bigrams with the classes after and before
+    it and with itself, as in ``of_contexts``."""
+    width, last = 2 * CLASSES + 1, None  # the last word's rows may go on in the next batch
+    for part in _slices(batches):
+        words = part.column(0).dictionary_encode()
+        row, words = words.indices.to_numpy(), words.dictionary.to_pylist()
+        cells = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").astype(np.int64)
+        at = np.repeat(row.astype(np.int64), np.asarray(pc.binary_length(part.column(1))) // 2) * width
+        places = np.concatenate([at + cells // 2 % CLASSES, at + CLASSES + cells // 2 // CLASSES, (at + 2 * CLASSES)[cells % 2 > 0]])
+        count = np.bincount(places, minlength=len(words) * width).reshape(-1, width)
+        if last is not None:
+            if words[0] == last[0][0]:
+                count[0] += last[1][0]
+            else:
+                words, count = last[0] + words, np.concatenate([last[1], count])
+        if len(words) > 1:
+            yield words[:-1], count[:-1]
+        last = words[-1:], count[-1:]
+    if last is not None:
+        yield last
 
 
 def late_classes(lines: DataFrame, types: Types, of: np.ndarray, grid: np.ndarray) -> tuple[DataFrame | None, np.ndarray]:
@@ -451,29 +568,27 @@ def late_classes(lines: DataFrame, types: Types, of: np.ndarray, grid: np.ndarra
         """
         of, grid = shared.value
         change = np.zeros((CLASSES, CLASSES), np.int64)
-        for part in _slices(batches):
-            words, cells = part.column(0), part.column(1)
-            flat, row = cells.flatten(), _rows_of(cells)
-            cell, n = flat.field("cell").to_numpy().astype(np.int64), flat.field("n").to_numpy()
-            o, i = (np.bincount(row * CLASSES + c, n, len(words) * CLASSES).reshape(-1, CLASSES)
-                    for c in (cell // 2 % CLASSES, cell // 2 // CLASSES))
-            was = of[[first + _ending(w) for w in words.to_pylist()]]
-            now = best_classes(grid, was, o, i, np.bincount(row, n * (cell % 2), len(words)))
+        for words, count in _sums(batches):
+            late = np.flatnonzero(count[:, :CLASSES].sum(axis=1) >= LEAST_COUNT)
+            if not len(late):
+                continue
+            words, count = [words[k] for k in late.tolist()], count[late]
+            o, i = count[:, :CLASSES], count[:, CLASSES:-1]
+            was = of[[first + _ending(w) for w in words]]
+            now = best_classes(grid, was, o, i, count[:, -1])
             for to, sign in ((now, 1), (was, -1)):
-                np.add.at(change, to, sign * o.astype(np.int64))
-                np.add.at(change.T, to, sign * i.astype(np.int64))
+                np.add.at(change, to, sign * o)
+                np.add.at(change.T, to, sign * i)
             yield pa.RecordBatch.from_arrays(
-                [words.cast(pa.binary()), pa.array(was, pa.int32()), pa.array(now, pa.int32()),
+                [pa.array(words, pa.binary()), pa.array(was, pa.int32()), pa.array(now, pa.int32()),
                  pa.nulls(len(words), pa.int64())], names=["word", "was", "class", "n"])
         a, b = np.nonzero(change)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(len(a), pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(change[a, b])],
             names=["word", "was", "class", "n"])
 
-    words = (every.where(F.col("next").isNull()).groupBy("word")
-             .agg(F.collect_list(F.struct("cell", "n")).alias("cells"), F.sum("n").alias("n"))  # 2 CLASSES squared at most
-             .where(F.col("n") >= LEAST_COUNT))
-    done = written(words.select("word", "cells").mapInArrow(move, "word binary, was int, class int, n bigint"), "late")
+    words = every.where(F.col("next").isNull()).select("word", "cells").repartition("word").sortWithinPartitions("word")
+    done = written(words.mapInArrow(move, "word binary, was int, class int, n bigint"), "late")
     late, after = done.where(F.col("word").isNotNull()).drop("n"), grid.copy()
     # where both words of a pair moved, the bigram goes from one pair of classes to the other
     changed = late.where(F.col("was") != F.col("class"))
@@ -513,27 +628,45 @@ class Model:
     of: np.ndarray            # class of each type
     transition: np.ndarray    # log10 P(class | class before)
     share: np.ndarray         # log10 of each class's smoothed total
-    table: dict[bytes, int]   # counts of frequent words
+    table: dict[bytes, int]   # counts of the words with a type of their own
     ends: int                 # count of the end token
     tokens: int
     distinct: int
     counts: DataFrame | None = None  # rows (word, n, class) of all words
 
 
-def learn(training: DataFrame, text_col: str = "text") -> Model:
+@dataclass
+class Vocabulary:
+    counts: DataFrame       # rows (word, n) of all words, the end token among them
+    totals: dict[str, int]  # tokens n, distinct words v, end tokens, words clustered by themselves
+    table: dict[bytes, int]
+    types: Types
+
+
+def vocabulary(training: DataFrame, text_col: str = "text") -> Vocabulary:
     counts = word_counts(training, text_col)
-    ended = F.col("word") == b" "
+    ended, clustered = F.col("word") == b" ", F.col("n") >= LEAST_COUNT
     totals = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(ended, F.col("n"))).alias("ends"),
-                        F.count_if(~ended & (F.col("n") >= LEAST_COUNT)).alias("clustered")).first()
-    top = most_frequent(counts.where((F.octet_length("word") <= TABLE_BYTES) & ~ended), "word", "n", TABLE)
+                        F.count_if(~ended & clustered).alias("clustered")).first()
+    top = most_frequent(counts.where((F.octet_length("word") <= TABLE_BYTES) & clustered & ~ended), "word", "n", TABLE)
     table = {bytes(r["word"]): r["n"] for r in top}
-    types = Types({bytes(r["word"]): 1 + i for i, r in enumerate(r for r in top if r["n"] >= LEAST_COUNT)})
-    lines = type_lines(training, types, text_col)
+    return Vocabulary(counts, {k: v or 0 for k, v in totals.asDict().items()}, table, Types({w: 1 + i for i, w in enumerate(table)}))
+
+
+def learn(training: DataFrame, text_col: str = "text") -> Model:
+    words = vocabulary(training, text_col)
+    return modelled(words, type_lines(training, words.types, text_col))
+
+
+def modelled(words: Vocabulary, lines: DataFrame) -> Model:
+    """The model of the training documents' lines."""
+    counts, totals, types = words.counts, words.totals, words.types
+    ended = F.col("word") == b" "
     of, grid = classes_of_types(lines, types)
     late = None
     if totals["clustered"] > len(types.own):
         late, grid = late_classes(lines, types, of, grid)
-    shared = training.sparkSession.sparkContext.broadcast((types, of))
+    shared = lines.sparkSession.sparkContext.broadcast((types, of))
 
     @F.arrow_udf("int")
     def class_of(word: pa.Array) -> pa.Array:
@@ -551,13 +684,13 @@ def learn(training: DataFrame, text_col: str = "text") -> Model:
     for r in known.where(~ended).groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         sizes[r["class"]] = r["n"], r["v"]
     unigram = (sizes[:, 0] + 1) / (sizes[:, 0] + 1).sum()
-    unigram[0] = ((totals["ends"] or 0) + 1) / (sizes[:, 0].sum() + (totals["ends"] or 0) + CLASSES)
+    unigram[0] = (totals["ends"] + 1) / (sizes[:, 0].sum() + totals["ends"] + CLASSES)
     unigram /= unigram.sum()
     transition = np.log10((grid + PRIOR * unigram) / (grid.sum(axis=1, keepdims=True) + PRIOR))
     share = np.log10(sizes.sum(axis=1) + 1)
     # types of late words follow those of the lines: one for each class
-    return Model(Types(types.own, late), np.concatenate([of, np.arange(CLASSES)]), transition, share, table,
-                 totals["ends"] or 0, totals["n"] or 0, totals["v"] or 0, known)
+    return Model(Types(types.own, late), np.concatenate([of, np.arange(CLASSES)]), transition, share, words.table,
+                 totals["ends"], totals["n"], totals["v"], known)
 
 
 SCORED = ("n_tokens bigint, known bigint, logs double, chain double, rest array<struct<word: binary, times: bigint>>, "
@@ -570,70 +703,102 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     base_score is the add-one unigram; score the class model, in which a
     word's share of its class is (count + 1) / (class tokens + words + 1).
+    """
+    return score_lines(type_lines(docs, model.types, text_col, (F.col(id_col).alias("doc_id"), *more)), model)
+
 
-    Bigrams of table words are scored where the text is read.  Those with
+def learn_and_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text",
+                    more: tuple[Column, ...] = ()) -> DataFrame:
+    """``score`` of all documents by the model of those where ``training`` holds, whose lines serve both."""
+    words = vocabulary(docs.where(training), text_col)
+    columns = (F.col(id_col).alias("doc_id"), *more)
+    learned = fresh(docs.select(*columns), "_training")
+    lines = type_lines(docs, words.types, text_col, (*columns, training.alias(learned)))
+    return score_lines(lines.drop(learned), modelled(words, lines.where(F.col(learned))))
+
+
+def score_lines(lines: DataFrame, model: Model) -> DataFrame:
+    """``score`` of the rows of ``type_lines``.
+
+    Bigrams of table words are scored where the line is read.  Those with
     another word wait for its class: they are written as int32 codes, first
     the number of other words and their classes by ending, then all left and
     all right sides, each a class or CLASSES + the word's place among them.
     """
-    own, of, counts = model.types.own, model.of, model.counts
-    endings = of[1 + len(own):1 + len(own) + ENDINGS]
-    place = {w: 1 + i for i, w in enumerate(model.table)}  # words of the table by place; 0: another word
-    classes = np.array([0, *(of[own[w]] if w in own else endings[_ending(w)] for w in model.table)], np.int64)
-    logs = np.log10(np.array([0, *model.table.values()]) + 1.0)
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (place, classes, logs, endings, model.transition, model.share, model.ends))
-
-    @F.arrow_udf(SCORED)
-    def scored(text: pa.Array) -> pa.Array:
-        place, classes, logs, endings, transition, share, n_ends = shared.value
-        get, sums, words_out, times_out, codes_out, ends = place.get, [], [], [], [], [0]
-        for t in texts(text):
-            words = words_of(t)
-            at = np.array([get(w, 0) for w in words], np.int64)
-            out = np.flatnonzero(at == 0)
-            rest: dict[bytes, int] = {}
-            codes = np.array([rest.setdefault(words[i], len(rest)) for i in out.tolist()], np.int64)
-            line = np.zeros(len(words) + 2, np.int64)
-            line[1:-1] = classes[at]
-            line[1 + out] = CLASSES + codes
-            waits = (line[:-1] >= CLASSES) | (line[1:] >= CLASSES)
-            left, right = line[:-1], line[1:]
-            chain = transition[left[~waits], right[~waits]].sum() - share[classes[at[at > 0]]].sum()
-            sums.append((len(words) + 1, len(words) - len(out) + (n_ends > 0), logs[at].sum() + np.log10(n_ends + 1.0), chain))
-            words_out += rest
-            times_out.append(np.bincount(codes, minlength=len(rest)))
-            codes_out.append(np.concatenate([[len(rest)], *([endings[[_ending(w) for w in rest]]] if rest else []),
-                                             left[waits], right[waits]]).astype(np.int32).tobytes())
-            ends.append(len(words_out))
-        times = np.concatenate(times_out or [np.zeros(0, np.int64)])
-        rest = pa.StructArray.from_arrays([pa.array(words_out, pa.binary()), pa.array(times, pa.int64())], names=["word", "times"])
-        columns = list(zip(*sums)) or [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    first, counts = model.types.first, model.counts
+    logs = np.zeros(len(model.of))  # by type; other words' come by the join
+    logs[1:first] = np.log10(np.array([*model.table.values()]) + 1.0)
+    shared = lines.sparkSession.sparkContext.broadcast((model.of, logs, model.transition, model.share, model.ends))
+
+    def scored_part(lines: pa.Array, rest: pa.Array) -> pa.Array:
+        of, logs, transition, share, n_ends = shared.value
+        types, n = _codes(lines)
+        row, rows, own = np.repeat(np.arange(len(n)), n), len(n), types < first
+        by_row = lambda rows_of, x=None: np.bincount(rows_of, x, rows)
+        # the distinct other words of each row, and each occurrence's place among its row's
+        words = pa.array(b" ".join(rest.to_pylist()).split(), pa.binary()).dictionary_encode()
+        word, words = words.indices.to_numpy().astype(np.int64), words.dictionary
+        out, kinds = np.flatnonzero(~own), max(len(words), 1)
+        pair, one, place, times = np.unique(row[out] * kinds + word, return_index=True, return_inverse=True, return_counts=True)
+        n_rest = by_row(pair // kinds)
+        begin = _ends(n_rest)
+        sides = of[types]
+        endings = sides[out[one]]  # by distinct word
+        sides[out] = CLASSES + place - begin[row[out]]
+        chain = np.concatenate([[END], np.insert(sides, n.cumsum(), END)])
+        left, right, pair_row = chain[:-1], chain[1:], np.repeat(np.arange(rows), n + 1)
+        waits = (left >= CLASSES) | (right >= CLASSES)
+        done = (by_row(pair_row[~waits], transition[left[~waits], right[~waits]])
+                - by_row(row[own], share[sides[own]]))
+        # the codes of a row: 1, n_rest, n_wait, n_wait
+        left, right, pair_row = left[waits], right[waits], pair_row[waits]
+        n_wait = by_row(pair_row)
+        size = 1 + n_rest + 2 * n_wait
+        start, codes = _ends(size)[:-1], np.zeros(size.sum(), np.int32)
+        codes[start] = n_rest
+        codes[np.repeat(start + 1 - begin[:-1], n_rest) + np.arange(len(pair))] = endings
+        at = (start + 1 + n_rest - _ends(n_wait)[:-1])[pair_row] + np.arange(len(pair_row))
+        codes[at], codes[at + n_wait[pair_row]] = left, right
+        others = pa.StructArray.from_arrays([words.take(pa.array(pair % kinds)), pa.array(times, pa.int64())], names=["word", "times"])
         return pa.StructArray.from_arrays(
-            [*(pa.array(c, k) for c, k in zip(columns, kinds)),
-             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest), pa.array(codes_out, pa.binary())],
+            [pa.array(n + 1), pa.array(n - by_row(row[out]) + (n_ends > 0)), pa.array(by_row(row, logs[types]) + np.log10(n_ends + 1.0)),
+             pa.array(done), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), others), _binaries(codes, size)],
             names=["n_tokens", "known", "logs", "chain", "rest", "codes"])
 
+    @F.arrow_udf(SCORED)
+    def scored(lines: pa.Array, rest: pa.Array) -> pa.Array:
+        return pa.concat_arrays([scored_part(lines.slice(a, b - a), rest.slice(a, b - a)) for a, b in _parts(lines, LINE_BYTES)]
+                                or [scored_part(lines, rest)])
+
+    def waiting_part(codes: pa.Array, late: pa.Array) -> np.ndarray:
+        transition, share = shared.value[2:4]
+        flat, size = _codes(codes)
+        start, rows = _ends(size)[:-1], np.arange(len(size))
+        n_rest = flat[start]
+        begin, n_wait = _ends(n_rest), (size - 1 - n_rest) // 2
+        of = flat[np.repeat(start + 1 - begin[:-1], n_rest) + np.arange(begin[-1])]  # class by word
+        found = late.flatten()
+        of[begin[_rows_of(late)] + found.field("at").to_numpy()] = found.field("class").to_numpy()
+        row = np.repeat(rows, n_wait)
+        at = (start + 1 + n_rest - _ends(n_wait)[:-1])[row] + np.arange(len(row))
+
+        def classes(side: np.ndarray) -> np.ndarray:
+            out, other = side.copy(), np.flatnonzero(side >= CLASSES)
+            out[other] = of[begin[row[other]] + side[other] - CLASSES]
+            return out
+
+        right = flat[at + n_wait[row]]
+        to, other = classes(right), right >= CLASSES
+        return (np.bincount(row, transition[classes(flat[at]), to], len(size))
+                - np.bincount(row[other], share[to[other]], len(size)))
+
     @F.arrow_udf("double")
     def waiting(codes: pa.Array, late: pa.Array) -> pa.Array:
         """The pairs that wait for classes, by ending if the word is not among ``late`` (at, class)."""
-        transition, share = shared.value[4:6]
-        found, ends = late.flatten(), np.asarray(pc.list_value_length(late).fill_null(0)).cumsum()
-        places, now, out = found.field("at").to_numpy(), found.field("class").to_numpy(), []
-        for k, code in enumerate(codes):
-            code = np.frombuffer(code.as_buffer(), np.int32)
-            n, begin = 1 + code[0], ends[k - 1] if k else 0
-            of = np.concatenate([np.arange(CLASSES), code[1:n]])
-            of[CLASSES + places[begin:ends[k]]] = now[begin:ends[k]]
-            left, right = code[n:].reshape(2, -1)
-            out.append(transition[of[left], of[right]].sum() - share[of[right[right >= CLASSES]]].sum())
-        return pa.array(out, pa.float64())
-
-    # written once: the row number below then names the same row in every later read
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), *more,
-                               scored.asNondeterministic()(F.col(text_col)).alias("s"))
-                   .withColumn("row", F.monotonically_increasing_id()), "scored")
+        parts = [waiting_part(codes.slice(a, b - a), late.slice(a, b - a)) for a, b in _parts(codes, LINE_BYTES)]
+        return pa.array(np.concatenate(parts or [np.zeros(0)]), pa.float64())
+
+    rows = written(lines.withColumn("s", scored.asNondeterministic()("s.line", "s.rest")), "scored")
     rare = (rows.select("row", F.posexplode("s.rest").alias("at", "r"))
             .select("row", "at", "r.word", "r.times").join(counts, "word"))
     found = rare.groupBy("row").agg(

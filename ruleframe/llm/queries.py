@@ -106,8 +106,7 @@ def op8_cutting_stock(spark, sf_dir):
 def op9_class_ngrams(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
-    model = lm.learn(docs.where(~held_out))
-    return lm.score(docs, model, more=(held_out.alias("held_out"),))
+    return lm.learn_and_score(docs, ~held_out, more=(held_out.alias("held_out"),))
 
 
 @registered

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -388,6 +389,104 @@ def test_scores_with_late_words_equal_the_definition(spark, monkeypatch, table):
         assert math.isclose(r.score, plain(texts[r.doc_id]), rel_tol=1e-9), texts[r.doc_id]
 
 
+def test_texts_are_split_as_words_of():
+    texts = [None, "", " ", "A bC\tD", " lead", "trail \n", "a\x0b\x0cb\rc", "É È x y　", "a" + "".join(map(chr, range(128))) + "Z",
+             " ".join(map(chr, range(128)))]
+    n, words = lm._split(pa.array(texts, pa.string()))
+    want = [lm.words_of(t or "") for t in texts]
+    assert n.tolist() == [len(w) for w in want]
+    assert words.to_pylist() == [w for ws in want for w in ws]
+    assert lm._split(pa.array([], pa.string()))[0].tolist() == []
+
+
+@pytest.mark.parametrize("most", [1, 30, 10**6])
+def test_parts_hold_every_row_once(most):
+    rng = random.Random(most)
+    column = pa.array([None, b"", *(b"x" * rng.randint(0, 50) for _ in range(40)), b""], pa.binary())
+    parts = lm._parts(column, most)
+    assert [i for a, b in parts for i in range(a, b)] == list(range(len(column)))
+    assert all(sum(len(x or b"") for x in column.slice(a + 1, b - a - 1).to_pylist()) < most for a, b in parts)  # after its first row
+    assert lm._parts(column.slice(0, 0), most) == []
+
+
+def test_scores_of_all_documents_split_each_text_twice(spark, monkeypatch):
+    """Once for the counts, once for the lines, which the model and the scores share; the scores are those of two calls."""
+    monkeypatch.setattr(lm, "TABLE", 9)
+    monkeypatch.setattr(lm, "TEXT_BYTES", 60)  # several parts of a batch
+    monkeypatch.setattr(lm, "LINE_BYTES", 60)
+    read, training = spark.sparkContext.accumulator(0), F.col("doc_id") % 3 != 1
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(CORPUS)], "doc_id bigint, text string").coalesce(1)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    got = lm.learn_and_score(docs.withColumn("text", counted.asNondeterministic()("text")), training,
+                             more=(F.col("doc_id").alias("_training"),)).collect()
+    assert len(CORPUS) < read.value <= 2 * len(CORPUS)
+    want = {r.doc_id: r for r in lm.score(docs, lm.learn(docs.where(training))).collect()}
+    assert sorted(r.doc_id for r in got) == sorted(want)
+    for r in got:
+        w = want[r.doc_id]
+        assert (r._training, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id, w.n_tokens, w.n_known, w.train_tokens)
+        assert math.isclose(r.score, w.score, rel_tol=1e-12) and math.isclose(r.base_score, w.base_score, rel_tol=1e-12)
+
+
+def test_cells_are_handed_on_by_block_and_added_up(spark, monkeypatch):
+    """Counts of 1, 2 and 4 bytes, in several tasks and blocks of 2 types; the last block has one."""
+    monkeypatch.setattr(lm, "BLOCK", 7)
+    df = spark.createDataFrame([(i, "a") for i in range(3)], "doc_id bigint, text string").repartition(3)
+    lines = lm.type_lines(df, lm.Types({b"a": 1}))
+    tasks = lines.rdd.getNumPartitions()
+    cells = {0: 1, 9: 255, 10: 256, 12: 65_536, 20: 2**31, 26: 3}
+
+    def tally(total, chain):
+        for cell, n in cells.items():
+            total[cell] = n
+
+    def each(types, count):
+        t, at = np.nonzero(count)
+        return pa.RecordBatch.from_arrays([pa.array(types[t] * 3 + at), pa.array(count[t, at])], names=["cell", "n"])
+
+    counts = lm.counted(lines, 9, 3, tally, each, "cell bigint, n bigint")
+    assert sorted(map(tuple, counts.collect())) == [(c, n * tasks) for c, n in cells.items()]
+
+
+def test_counts_of_types_are_shuffled_once_and_packed(spark):
+    """No row for each cell and no aggregation of them: at most a row for each block and task."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CORPUS)], "doc_id bigint, text string").coalesce(1)
+    types = lm.Types({w: i for i, w in enumerate([b"the", b"cat", b"on"], 1)})
+    of = np.arange(types.size) % lm.CLASSES
+    counts = lm.contexts(lm.type_lines(df, types), of)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("MapInArrow") == 2 and plan.count("RepartitionByExpression") == 1
+    assert counts.count() > 0
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_a_words_rows_are_summed_over_batches(size):
+    rng = np.random.default_rng(size)
+    rows = [(b"w%02d" % (k // 7), rng.integers(0, 2 * lm.CLASSES**2, rng.integers(1, 6))) for k in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()),
+                                           pa.array([c.astype("<u2").tobytes() for _, c in part], pa.binary())], names=["word", "cells"])
+               for part in (rows[k:k + size] for k in range(0, len(rows), size))]
+    got = {}
+    for words, count in lm._sums(batches):
+        for w, x in zip(words, count, strict=True):
+            assert w not in got
+            got[w] = {k: int(n) for k, n in enumerate(x) if n}
+    want = {}
+    for w, cells in rows:
+        mine = want.setdefault(w, Counter())
+        for c in cells.tolist():
+            mine[c // 2 % lm.CLASSES] += 1
+            mine[lm.CLASSES + c // 2 // lm.CLASSES] += 1
+            if c % 2:
+                mine[2 * lm.CLASSES] += 1
+    assert got == want
+
+
 def test_best_classes_of_many_are_those_of_each():
     rng = np.random.default_rng(4)
     n, classes = 700, 6
